@@ -11,6 +11,7 @@ A null text gives null ids, offsets and round_trip; an empty one empty lists. Re
 
 from __future__ import annotations
 
+import base64
 import os
 from array import array
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 CACHE_PIECES = 1_500_000
 SCHEMA = "doc_id long, n_tokens int, ids array<int>, starts array<int>, round_trip boolean"
 
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 _O, _L, _N, _S = 0, 1, 2, 3
 _CLASS = np.zeros(256, np.uint8)
 for _c in range(0x80):
@@ -46,6 +49,18 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
+def ranked(path: str) -> tuple[object, list[bytes]]:
+    """An encoder from a file of ranks (base64 bytes and id a line), with the same pattern and ids, and its pieces."""
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for piece, i in ranks.items():
+        pieces[i] = piece
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), pieces
+
+
 class Codec:
     """A tokeniser file with its byte table. One lives in each Python worker."""
 
@@ -59,25 +74,35 @@ class Codec:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        if path.endswith(".tiktoken"):
+            self.lib, pieces = ranked(path)
+        else:
+            self.lib, pieces = self.library(path)
+        self.table = np.frombuffer(b"".join(pieces), np.uint8)
+        self.ptr = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
+        self.width = np.diff(self.ptr).astype(np.int32)
+        self.clear()
+
+    @staticmethod
+    def library(path: str) -> tuple[object, list[bytes]]:
         from tokenizers import Tokenizer
 
-        self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        lib = Tokenizer.from_file(path)
+        lib.encode_special_tokens = True
         back = byte_chars()
-        vocab = self.lib.get_vocab(with_added_tokens=True)
+        vocab = lib.get_vocab(with_added_tokens=True)
         pieces = [b""] * (max(vocab.values()) + 1)
         for piece, i in vocab.items():
             pieces[i] = bytes(back[c] for c in piece) if all(c in back for c in piece) else piece.encode()
-        self.table = np.frombuffer(b"".join(pieces), np.uint8)
-        self.ptr = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
-        self.width = np.diff(self.ptr).astype(np.int32)
-        self.clear()
+        return lib, pieces
 
     def clear(self) -> None:
         self.index = K.HashIndex(1 << 20)
         self.flat, self.flat_ptr = array("i"), array("q", [0])
 
     def encode_texts(self, texts: list[str]) -> list[list[int]]:
+        if hasattr(self.lib, "encode_ordinary"):
+            return [self.lib.encode_ordinary(t) for t in texts]
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> None:

@@ -5,19 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, minhash, toxicity
-from .common import table
+from . import bpe, decontaminate, langid, lmscore, media, minhash, tokenstore, toxicity, urlfilter, warc
+from .common import cut, new_path, table
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.process(media.rasters(table(spark, sf_dir, "embeddings")))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages as WARC files and reads their response records again."""
+    spark.dataSource.register(warc.Warc)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    path = new_path(spark, "warc")
+    table(spark, sf_dir, "pages").select("page_id", "url", "html").write.format("warc").mode("append").save(path)
+    found = spark.read.format("warc").load(path).filter("type = 'response' AND status = 200")
+    return found.select("page_id", F.col("uri").alias("url"), F.octet_length("payload").alias("bytes"), F.md5("payload").alias("digest"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.apply(table(spark, sf_dir, "pages"), urlfilter.rules_table(spark))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,11 +49,33 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the token files of all documents, and reads of each what a loader would check."""
+    manifest = cut(tokenstore.write(table(spark, sf_dir, "documents"), new_path(spark, "tokens")))
+    stored = tokenstore.read(spark, tokenstore.files(manifest))
+    total = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x)
+    return stored.select("doc_id", "lang", "n_tokens", F.get("tokens", F.lit(0)).alias("first_token"), F.get("tokens", F.col("n_tokens") - 1).alias("last_token"), total.alias("token_sum"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op4_minhash_near_dedup, op7_toxicity, op8_language_id, op10_decontamination)
+    f.__name__: f for f in (op1_byte_bpe, op2_media, op3_warc, op4_minhash_near_dedup, op5_lm_scoring, op6_url_filter, op7_toxicity, op8_language_id, op9_token_output, op10_decontamination)
+}
+_RULES = ", ".join(f"({i}, '{e}', '{a}', {p})" for i, e, a, p in urlfilter.DEFAULT_RULES)
+
+ORACLE: dict[str, str] = {
+    "op3_warc": "SELECT page_id, url, octet_length(encode(html)) AS bytes, md5(html) AS digest FROM pages WHERE html IS NOT NULL",
+    # A URL is under an expression if its host is the expression's or ends with a dot and it, and its path begins with
+    # the expression's path, which is a directory in all rules here; tables have no dot segments or escapes.
+    "op6_url_filter": f"""
+WITH rules(rule_id, expression, action, priority) AS (VALUES {_RULES}),
+parts AS (SELECT DISTINCT url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages WHERE url IS NOT NULL),
+met AS (
+  SELECT url, r.rule_id, r.action, row_number() OVER (PARTITION BY url ORDER BY priority DESC, length(expression) DESC, action = 'allow' DESC, rule_id) AS n
+  FROM parts JOIN rules r ON (host = split_part(expression, '/', 1) OR ends_with(host, '.' || split_part(expression, '/', 1)))
+    AND starts_with(CASE WHEN path = '' THEN '/' ELSE path END, substr(expression, strpos(expression, '/'))))
+SELECT page_id, p.url, rule_id, coalesce(action, 'allow') AS action FROM pages p LEFT JOIN met ON p.url = met.url AND n = 1""",
 }
-ORACLE: dict[str, str] = {}
