@@ -25,6 +25,8 @@ from . import kernel as K
 from .common import cut, map_arrow
 
 MINIMA, BANDS, SHINGLE, AGREE = 128, 32, 3, 0.5
+#: Ids up to this number are broadcast; more are joined by shuffles.
+BROADCAST_IDS = 2_000_000
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2)
@@ -158,11 +160,11 @@ def components(edges: DataFrame) -> DataFrame:
         if state[0] == 0 or state == before:
             break
         before = state
-        both = now.union(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         now = cut(small)
     roots = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     return roots
@@ -178,13 +180,21 @@ def groups(docs: DataFrame) -> DataFrame:
     return placed.join(sizes, "root").select("doc_id", "rep_id")
 
 
+def _small(df: DataFrame) -> tuple[DataFrame, int]:
+    """A written copy of a table of ids, with a broadcast hint if it is small enough, and its number of rows."""
+    kept = cut(df)
+    n = kept.count()
+    return (F.broadcast(kept) if n <= BROADCAST_IDS else kept), n
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """docs without the documents whose group has a smaller doc_id. Of several rows of one kept doc_id and text one
     stays; rows without doc_id, or without words, stay as they are."""
-    gone = groups(docs).filter("doc_id <> rep_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    marked = kept.join(repeated.withColumn("__again", F.lit(True)), "doc_id", "left")
+    gone, _ = _small(groups(docs).filter("doc_id <> rep_id").select("doc_id"))
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated, again = _small(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    if not again:
+        return kept
     w = Window.partitionBy("doc_id", "text").orderBy(F.lit(0))
-    once = marked.filter("__again").withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
-    return marked.filter("__again IS NULL").unionByName(once).select(docs.columns)
+    once = kept.join(repeated, "doc_id", "left_semi").withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
