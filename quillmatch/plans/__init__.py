@@ -1 +1,7 @@
+"""Queries composed of the operators."""
 
+from . import text_queries
+from .registry import ORACLE, QUERIES
+from .text_queries import translit_turn_similarity as flagship
+
+__all__ = ["ORACLE", "QUERIES", "flagship", "text_queries"]
