@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MARKERS = ("todo", "stub", "placeholder", "fixme", "unimplemented", "notimplemented", "notimplementederror")
+MARKERS = tuple("todo fixme stub placeholder unimplemented notimplementederror notimplemented".split())
 STOPWORDS = ("and", "for", "the", "this", "that", "with")
 NUMPY_NEEDLES = ("import numpy", "np.", "numpy.", "import mlx", "mx.", "mlx.", ".astype(", ".item()", ".tolist()", "asarray(")
-TODO = r"//\s*TODO(\([^)]*\))?:\s*(.+)"
+TODO = r"//[ \t]*TODO([(][^)]*[)])?: *(.+)"
 
 
 def has_markers(c: Column) -> Column:
@@ -71,7 +71,7 @@ def todo_context(rows: DataFrame, key: str = "path", around: int = 3) -> DataFra
 
 def provenance(rows: DataFrame, key: str = "path") -> DataFrame:
     """key and origin: the first provenance header in a file's first 50 lines, test headers with "tests:" before it."""
-    mark = r"(?i)port-lint:\s*(source|tests)\s+(\S+)"
+    mark = r"(?i)port-lint:[ ]*(tests|source) +([^ ]+)"
     plain = F.trim(F.regexp_extract("line", r"Transliterated from:\s*(.+)", 1))
     kind, path = F.lower(F.regexp_extract("line", mark, 1)), F.regexp_replace(F.regexp_extract("line", mark, 2), "^codex-rs/", "")
     origin = F.when(plain != "", F.regexp_replace(plain, "^codex-rs/", "")).when(path != "", F.concat(F.when(kind == "tests", "tests:").otherwise(""), path))

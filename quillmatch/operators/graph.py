@@ -69,7 +69,7 @@ def import_rows(files: DataFrame) -> DataFrame:
     from_ = F.regexp_extract(line, r"^from\s+([\w.]+)\s+import\s+", 1)
     names = F.when(from_ != "", F.transform(F.split(F.regexp_replace(F.regexp_extract(line, r"import\s+(.+)$", 1), r"[()]", ""), r"\s*,\s*"), lambda n: F.concat(from_, F.lit("."), F.regexp_replace(F.trim(n), r"\s+as\s+.*$", ""))))
     plain = F.transform(F.split(F.regexp_extract(line, r"^import\s+(.+)$", 1), r"\s*,\s*"), lambda n: F.regexp_replace(F.trim(n), r"\s+as\s+.*$", ""))
-    script = F.coalesce(F.nullif(F.regexp_extract(line, r"""^(?:import|export)\b.*?from\s+['"]([^'"]+)['"]""", 1), F.lit("")), F.lit(""))
+    script = F.coalesce(F.nullif(F.regexp_extract(line, r"""^(?:import|export)\b.*?from +["']([^"']+)["']""", 1), F.lit("")), F.lit(""))
     all_ = F.when(lang == "rust", F.array(rust)).when(lang == "kotlin", F.array(kotlin)).when(lang == "cpp", F.array(cpp)).when(lang == "python", F.coalesce(names, plain)).otherwise(F.array(script))
     raw = files.select(F.col("path").alias("importer"), F.explode(all_).alias("raw")).filter("raw <> ''")
     clean = F.regexp_replace(F.col("raw"), r"\s+as\s+\w+$", "")

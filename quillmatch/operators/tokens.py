@@ -16,9 +16,9 @@ _TICKS = {"kotlin": r"|`[^`]*`?"}
 
 def pattern(lang: str = "", any_sign: str = r"\S") -> str:
     """Comments, raw strings, quoted names, strings, numbers, names, operators, signs - the first that fits."""
-    life = r"'[A-Za-z_][A-Za-z0-9_]*(?!')|" if lang == "rust" else ""
+    life = r"'[_A-Za-z][0-9A-Za-z_]*(?!')|" if lang == "rust" else ""
     strings = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"?|' + life + r"'[^'\\]*+(?:\\.[^'\\]*+)*+'?"
-    return r"//[^\n]*|/\*(?s:.*?)(?:\*/|$)" + _RAW.get(lang, "") + _TICKS.get(lang, "") + "|" + strings + r"|[0-9][A-Za-z0-9_.]*|[A-Za-z_][A-Za-z0-9_]*|" + _OPERATORS + "|" + any_sign
+    return r"//[^\n]*|/\*(?s:.*?)(?:\*/|$)" + _RAW.get(lang, "") + _TICKS.get(lang, "") + "|" + strings + r"|[0-9][A-Za-z0-9_.]*|[_A-Za-z][0-9A-Za-z_]*|" + _OPERATORS + "|" + any_sign
 
 
 def tokens(text: Column, lang: str = "", non_ascii: str = "bytes") -> Column:
@@ -36,7 +36,7 @@ def tokens(text: Column, lang: str = "", non_ascii: str = "bytes") -> Column:
         first = F.substring(t, 1, 1)
         quoted = first.isin('"', "'") | t.rlike(r'^b?r#*"')
         if lang == "rust":
-            quoted = quoted & ~(t.rlike(r"^'[A-Za-z_][A-Za-z0-9_]*$"))
+            quoted = quoted & ~(t.rlike(r"^'[_A-Za-z][0-9A-Za-z_]*$"))
         return (
             F.when(t.startswith("//") | t.startswith("/*") | t.isin(";", "@", "#"), "").when(quoted, "str").when(first == "'", "").when(t.rlike("^[0-9]"), F.concat(F.lit("num:"), t))
             .when(t.rlike("^[A-Za-z_`]"), aliased).when(t.isin("::", "?."), ".").when(t.isin("->", "=>"), "arrow").otherwise(t)

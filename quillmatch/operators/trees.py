@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 NODE_SCHEMA = "unit string, node_id int, parent_id int, child_idx int, depth int, post_id int, subtree_end int, node_type int, label string"
 SAMPLE = 2000
 ARITHMETIC, COMPARISON, LOGICAL, BITWISE, ASSIGNMENT = 75, 76, 77, 78, 79
-OPERATOR_TOKENS = {
-    ARITHMETIC: ("+", "-", "*", "/", "%", "++", "--"), COMPARISON: ("==", "!=", "<", ">", "<=", ">=", "===", "!=="), LOGICAL: ("&&", "||", "!", "and", "or", "not"),
-    BITWISE: ("&", "|", "^", "~", "<<", ">>"), ASSIGNMENT: ("=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^="),
-}
+_TOKENS = {ARITHMETIC: "++ -- % / * - +", COMPARISON: "!== === >= <= > < != ==", LOGICAL: "not or and ! || &&", BITWISE: ">> << ~ ^ | &", ASSIGNMENT: "^= |= &= %= /= *= -= += ="}
+OPERATOR_TOKENS = {kind: tuple(tokens.split()) for kind, tokens in _TOKENS.items()}
 
 
 def rows(unit: str, tree: tuple) -> list[tuple]:

@@ -19,7 +19,7 @@ from .tree_queries import _IMPORTS, _links, imports, units
 AZ, az = N.UPPER, N.LOWER
 _PASCAL = "array_to_string(list_transform(string_split(%s, '_'), p -> upper(p[1:1]) || p[2:]), '')"
 
-# --- units of two corpora, and their headers --------------------------------------------------------------------------
+# units of two corpora, and their headers
 
 _CORPORA = f"""u AS (SELECT p_partkey, lower(p_type) AS dir, replace(p_name, ' ', '_') || '_' || p_partkey AS stem FROM part),
 src AS (SELECT dir || '/' || stem AS key, 'src/' || dir || '/' || stem || '.rs' AS path FROM u),
@@ -188,7 +188,7 @@ def stub_mismatch(spark: SparkSession, sf: str) -> DataFrame:
     return J.stub_mismatch(*functions(spark, sf))
 
 
-# --- symbols ----------------------------------------------------------------------------------------------------------
+# symbols
 
 _KINDS = ["FUNCTION", "STRUCT", "ENUM", "TRAIT", "IMPL_METHOD"]
 _SYMS = f"""b AS (SELECT p_partkey AS id, replace(p_name, ' ', '_') || '_' || (p_partkey % 50) AS name, {_KINDS}[p_size % 5 + 1] AS kind, p_type[1:1] || lower(p_type[2:]) AS owner, p_size, lower(p_type) || '.rs' AS file FROM part),
@@ -332,7 +332,7 @@ def symbol_duplicates_ranked(spark: SparkSession, sf: str) -> DataFrame:
     return j.filter("files > 1").select("name", "n", "dependents").orderBy(F.desc("dependents"), "name").limit(30)
 
 
-# --- reports ----------------------------------------------------------------------------------------------------------
+# reports
 
 _MATCHES = f"""{_IMPORTS}, mt AS (SELECT u.key AS src, u.p_partkey AS id, deg.dependents, ((u.p_partkey * 37) % 100) / 100.0::DOUBLE AS similarity, u.p_partkey % 17 = 0 AS stub, u.p_partkey % 9 AS src_functions, u.p_partkey % 7 AS tgt_functions,
 u.p_partkey % 5 AS src_types, u.p_partkey % 4 AS tgt_types, CASE WHEN u.p_partkey % 13 = 0 THEN 2 ELSE 0 END AS todos, CASE WHEN u.p_partkey % 11 = 0 THEN 1 ELSE 0 END AS lint, u.p_partkey % 3 AS tests, u.p_partkey % 40 AS src_docs, u.p_partkey % 23 AS tgt_docs FROM units u JOIN deg ON deg.key = u.key)"""
@@ -427,7 +427,7 @@ def content_combined(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("id", F.round(M.with_content(c("c"), c("i"), c("h"), c("j"), c("s"), c("e"), c("m")), 6).alias("combined"), F.round(M.body_score(c("c"), c("h"), c("e")), 6).alias("body"))
 
 
-# --- work queue -------------------------------------------------------------------------------------------------------
+# work queue
 
 
 @query(f"WITH {_MATCHES}, t AS (SELECT src AS key, dependents FROM mt WHERE id % 3 = 0 UNION SELECT src, dependents FROM mt WHERE id % 3 <> 0 AND (similarity < 0.85 OR todos > 0 OR lint > 0 OR stub)) SELECT key, dependents, 'pending' AS status FROM t")

@@ -96,7 +96,7 @@ def activity_score(spark: SparkSession, sf: str) -> DataFrame:
     return last.crossJoin(F.broadcast(now)).select("user_id", F.round(N.activity_score(micros / 6e7), 6).alias("activity"))
 
 
-# --- line and text scanners -------------------------------------------------------------------------------------------
+# line and text scanners
 
 _LINES = "SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS l FROM documents WHERE length(text) > 0)"
 
@@ -113,7 +113,7 @@ def _todo_lines(spark, sf):
 
 
 _TODOS = """SELECT user_id AS path, event_id AS pos, CASE event_id % 3 WHEN 0 THEN '// TODO: ' WHEN 1 THEN '// TODO(' || event_type || '): Line ' ELSE '# TODO: ' END || (event_id % 90) AS line FROM events"""
-_TODO = "//\\s*TODO(\\([^)]*\\))?:\\s*(.+)"
+_TODO = "//[ \\t]*TODO([(][^)]*[)])?: *(.+)"
 
 
 @query(f"""SELECT path, pos, coalesce(nullif(translate(regexp_extract(line, '{_TODO}', 1), '()', ''), ''), 'untagged') AS tag, trim(regexp_extract(line, '{_TODO}', 2)) AS message,
@@ -144,7 +144,7 @@ _HEADER_LINES = [
 
 @query(f"""WITH t AS (SELECT * FROM {values(_HEADER_LINES, 'path, pos, line')}), h AS (SELECT path, pos,
 coalesce(nullif(regexp_replace(trim(regexp_extract(line, 'Transliterated from:\\s*(.+)', 1)), '^codex-rs/', ''), ''),
-  CASE WHEN regexp_matches(line, '(?i)port-lint:\\s*(source|tests)\\s+(\\S+)') THEN CASE WHEN lower(regexp_extract(line, '(?i)port-lint:\\s*(source|tests)', 1)) = 'tests' THEN 'tests:' ELSE '' END || regexp_replace(regexp_extract(line, '(?i)port-lint:\\s*(source|tests)\\s+(\\S+)', 2), '^codex-rs/', '') END) AS origin FROM t WHERE pos <= 50)
+  CASE WHEN regexp_matches(line, '(?i)port-lint:[ ]*(tests|source) +([^ ]+)') THEN CASE WHEN lower(regexp_extract(line, '(?i)port-lint:[ ]*(tests|source)', 1)) = 'tests' THEN 'tests:' ELSE '' END || regexp_replace(regexp_extract(line, '(?i)port-lint:[ ]*(tests|source) +([^ ]+)', 2), '^codex-rs/', '') END) AS origin FROM t WHERE pos <= 50)
 SELECT path, arg_min(origin, pos) AS origin FROM h WHERE origin IS NOT NULL GROUP BY path""")
 def header_extract(spark: SparkSession, sf: str) -> DataFrame:
     return X.provenance(spark.createDataFrame(_HEADER_LINES, "path string, pos int, line string"))
@@ -200,9 +200,9 @@ def needle_counts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", X.occurrences(F.col("text"), "th").alias("th"), X.occurrences(F.col("text"), ". ").alias("stops"))
 
 
-# --- tokens -----------------------------------------------------------------------------------------------------------
+# tokens
 
-_TOKENS = '''regexp_extract_all(text, '//[^\\n]*|/\\*(?s:.*?)(?:\\*/|$)|"[^"\\\\]*(?:\\\\.[^"\\\\]*)*"?|''[^''\\\\]*(?:\\\\.[^''\\\\]*)*''?|[0-9][A-Za-z0-9_.]*|[A-Za-z_][A-Za-z0-9_]*|::|\\?\\.|->|=>|==|!=|<=|>=|&&|\\|\\||\\+=|-=|\\*=|/=|%=|[!-~]')'''
+_TOKENS = '''regexp_extract_all(text, '//[^\\n]*|/\\*(?s:.*?)(?:\\*/|$)|"[^"\\\\]*(?:\\\\.[^"\\\\]*)*"?|''[^''\\\\]*(?:\\\\.[^''\\\\]*)*''?|[0-9][A-Za-z0-9_.]*|[_A-Za-z][0-9A-Za-z_]*|::|\\?\\.|->|=>|==|!=|<=|>=|&&|\\|\\||\\+=|-=|\\*=|/=|%=|[!-~]')'''
 _ALIASED = "CASE " + " ".join(f"WHEN c = '{k}' THEN '{v}'" for k, v in K.ALIASES.items()) + " ELSE c END"
 _NORMAL = f"""list_filter(list_transform({_TOKENS}, t -> CASE WHEN starts_with(t, '//') OR starts_with(t, '/*') OR t IN (';', '@', '#') THEN '' WHEN t[1:1] IN ('"', '''') THEN 'str'
 WHEN regexp_matches(t, '^[0-9]') THEN 'num:' || t WHEN regexp_matches(t, '^[A-Za-z_]') THEN translate(t, '{AZ}_', '{az}') WHEN t IN ('::', '?.') THEN '.' WHEN t IN ('->', '=>') THEN 'arrow' ELSE t END), t -> t <> '')"""
@@ -283,14 +283,14 @@ def doc_word_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return M.paired(turn_pairs(spark, sf), counts).select("a", "b", F.round("cosine", 6).alias("doc_cosine"), F.round("jaccard", 6).alias("doc_jaccard"))
 
 
-_RAWID = "list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'), w -> length(w) > 1 AND w NOT IN ('it', 'this'))"
+_RAWID = "list_filter(regexp_extract_all(text, '[_A-Za-z][0-9A-Za-z_]*'), w -> length(w) > 1 AND w NOT IN ('it', 'this'))"
 
 
 @query(f"""WITH {_TURN_PAIRS}, raw AS (SELECT conv_id * 1000 + turn AS unit, unnest({_RAWID}) AS term FROM conversations),
 rc AS (SELECT unit, term, count(*) AS n FROM raw GROUP BY ALL), cc AS (SELECT unit, {_CANON % 'term'} AS term, count(*) AS n FROM raw GROUP BY ALL), {_pair_sql('rc')}, {_pair_sql('cc', 'c')}
 SELECT a, b, round(p.cosine, 6) AS raw_cosine, round(c.cosine, 6) AS canonical_cosine, round(c.jaccard, 6) AS canonical_jaccard FROM pm p JOIN pmc c USING (a, b)""")
 def identifier_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    words = F.filter(F.regexp_extract_all("text", F.lit("([A-Za-z_][A-Za-z0-9_]*)"), 1), lambda w: (F.length(w) > 1) & ~w.isin("it", "this"))
+    words = F.filter(F.regexp_extract_all("text", F.lit("([_A-Za-z][0-9A-Za-z_]*)"), 1), lambda w: (F.length(w) > 1) & ~w.isin("it", "this"))
     raw = K.exploded(turns(spark, sf), words, "unit")
     canon = raw.groupBy("unit", N.canonical(F.col("term")).alias("term")).agg(F.sum("n").alias("n"))
     pairs = turn_pairs(spark, sf)
@@ -298,7 +298,7 @@ def identifier_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(M.paired(pairs, canon).select("a", "b", F.round("cosine", 6).alias("canonical_cosine"), F.round("jaccard", 6).alias("canonical_jaccard")), ["a", "b"])
 
 
-# --- vectors ----------------------------------------------------------------------------------------------------------
+# vectors
 
 _VEC = "SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings"
 

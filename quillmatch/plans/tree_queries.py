@@ -123,7 +123,7 @@ def tree_dump(spark: SparkSession, sf: str) -> DataFrame:
     return T.dump(trees(spark))
 
 
-# --- imports ----------------------------------------------------------------------------------------------------------
+# imports
 
 _UNITS = """units AS (SELECT lower(p_type) || '/' || replace(p_name, ' ', '_') || '_' || p_partkey AS key, replace(p_name, ' ', '_') || '_' || p_partkey AS stem, p_partkey FROM part)"""
 _IMPORTS = f"""{_UNITS}, imports AS (SELECT u.key AS importer, v.stem AS item FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) l JOIN units u ON u.p_partkey = l_partkey JOIN units v ON v.p_partkey = l_suppkey),

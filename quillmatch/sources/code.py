@@ -257,9 +257,9 @@ def parse_nodes(files: DataFrame, types: dict[str, int] | None = None) -> DataFr
 
 
 _DECL = {
-    "rust": re.compile(r"(?P<attrs>(?:#\[[^\]]*\]\s*)*)(?P<vis>pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+(?=fn))*(?P<what>fn|struct|enum|trait|impl|const|type|mod)\b\s*(?P<rest>[^{;]*)"),
-    "kotlin": re.compile(r"(?P<attrs>(?:@\w+(?:\([^)]*\))?\s*)*)(?P<vis>(?:public|private|internal|protected)\s+)?(?P<mod>(?:(?:data|sealed|enum|open|abstract|inline|override|suspend|const|companion|value|annotation|operator|infix|expect|actual)\s+)*)(?P<what>fun|class|interface|object|typealias|val|var)\b(?P<rest>[^{=\n]*)"),
-    "cpp": re.compile(r"(?P<attrs>)(?P<vis>)(?:template\s*<[^>]*>\s*)?(?P<what>class|struct|enum(?:\s+class)?)\s+(?P<rest>[A-Za-z_]\w*[^;{]*)(?=\{)|(?P<fn>[A-Za-z_~][\w:~]*)\s*\((?P<args>[^()]*)\)\s*(?:const\s*)?(?:noexcept\s*)?(?:override\s*)?(?:final\s*)?(?=\{)"),
+    "rust": re.compile(r"(?P<attrs>(?:#\[[^\]]*\]\s*)*)(?P<vis>pub(?:[(][^)]*[)])? +)?(?:async\s+|unsafe\s+|const\s+(?=fn))*(?P<what>fn|struct|enum|trait|impl|const|type|mod)\b\s*(?P<rest>[^{;]*)"),
+    "kotlin": re.compile(r"(?P<attrs>(?:@\w+(?:[(][^)]*[)])?\s*)*)(?P<vis>(?:public|private|internal|protected)\s+)?(?P<mod>(?:(?:data|sealed|enum|open|abstract|inline|override|suspend|const|companion|value|annotation|operator|infix|expect|actual)\s+)*)(?P<what>fun|class|interface|object|typealias|val|var)\b(?P<rest>[^{=\n]*)"),
+    "cpp": re.compile(r"(?P<attrs>)(?P<vis>)(?:template *<[^>]*> *)?(?P<what>class|struct|enum(?:\s+class)?)\s+(?P<rest>[A-Za-z_]\w*[^;{]*)(?=\{)|(?P<fn>[A-Za-z_~][\w:~]*)\s*[(](?P<args>[^()]*)[)]\s*(?:(?:final|override|noexcept|const)\s*)*(?=[{])"),
 }
 _CPP_WORDS = {"if", "for", "while", "switch", "catch", "return", "sizeof", "else", "do", "new", "delete", "throw"}
 
@@ -470,11 +470,11 @@ def unused_parameters(files: DataFrame) -> DataFrame:
 
 
 _FOREIGN = [
-    (r"\bfn\s+\w+\s*\(", "fn"), (r"\blet\s+(?:mut\s+)?\w+", "let"), (r"\bpub(?:\([^)]*\))?\s+(?:fn|struct|enum|trait|mod|use)\b", "pub"), (r"\bimpl\b[^;{]*\{", "impl"), (r"\bmacro_rules\s*!", "macro_rules"),
+    (r"\bfn\s+\w+\s*\(", "fn"), (r"\blet\s+(?:mut\s+)?\w+", "let"), (r"\bpub(?:[(][^)]*[)])? +(?:use|mod|trait|enum|struct|fn)\b", "pub"), (r"\bimpl\b[^;{]*\{", "impl"), (r"\bmacro_rules\s*!", "macro_rules"),
     (r"#\s*\[[^\]]+\]", "attribute"), (r"\b(?:vec|format|println|assert_eq|assert_ne|debug_assert|todo|unimplemented)!\s*[(\[{]", "macro"), (r"\bmatch\s+[^;{]+\{", "match"), (r"\buse\s+\w[\w:]*(?:::|\{)", "use"),
 ]
-_NOTES = [(r"(?im)^\s*(?://+|\*)?\s*kotlin\s*:", "translator-note"), (r"(?i)\(\s*from\s+impl\b[^)]*\)", "impl-note"), (r"(?i)\blifetimes?\b|(?:^|[\s&:<,;(])'[a-z_]\w*\b", "lifetime"), (r"\b(?:dyn|usize|Box|transmute|unsafe)\b", "rust-term"), (r"Send\s*\+\s*Sync", "auto-trait")]
-_HEADER = re.compile(r"^\s*(?:port-lint:\s*(?:source|tests)\s+\S+|(?i:transliterated\s+from:)\s+\S+)\s*$")
+_NOTES = [(r"(?im)^\s*(?://+|\*)?\s*kotlin\s*:", "translator-note"), (r"(?i)[(]\s*from +impl\b", "impl-note"), (r"(?i)\blifetimes?\b|(?:^|[(;,<:&\s])'[a-z_]\w*\b", "lifetime"), (r"\b(?:dyn|usize|Box|transmute|unsafe)\b", "rust-term"), (r"Send\s*\+\s*Sync", "auto-trait")]
+_HEADER = re.compile(r"^\s*(?:port-lint: *(?:tests|source) +\S+|(?i:transliterated\s+from:)\s+\S+)\s*$")
 
 
 def contamination_reasons(text: str) -> list[str]:
@@ -489,7 +489,7 @@ def contamination_reasons(text: str) -> list[str]:
             out.append(reason)
 
     for part, where in ((code, "code"), (notes, "comments")):
-        for m in re.finditer(r"\b[A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]*\b", part):
+        for m in re.finditer(r"(?a)\b[^\W\d_][^\W_]*_\w*", part):
             if re.fullmatch(r"[a-z][a-z0-9]*(?:_[a-z0-9]+)+_?", m[0]):
                 add(f"snake_case {m[0]} in {where}")
                 break
@@ -498,7 +498,7 @@ def contamination_reasons(text: str) -> list[str]:
                 add(f"{name} in {where}")
                 if len(out) >= 4:
                     break
-    if re.search(r"(?i)@(?:file:)?Suppress\s*\([^)]*(?:UNUSED_VARIABLE|unused|FunctionName)[^)]*\)", text):
+    if any(re.search("functionname|unused", m[1]) for m in re.finditer(r"@(?:file:)? *suppress *[(]([^)]*)", text.lower())):
         add("suppression")
     if "UNCHECKED_CAST" in text and (" as Self" in text or " as ParametersSpec" in text):
         add("unchecked cast")

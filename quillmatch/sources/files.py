@@ -15,7 +15,7 @@ SKIP = r"/(target|build|_deps|node_modules|vendor)/|/build_"
 SKIP_DIRECTORY_SCAN = r"/(vendor|build|tmp|\.git)/"
 CONFIG_SCHEMA = "type string, name string, source struct<path:string,language:string>, target struct<path:string,language:string>, reexport_modules array<string>"
 TASK_SCHEMA = "source_root string, target_root string, tasks array<struct<source_path:string,target_path:string,dependents:bigint,similarity:double,status:string,assigned_to:string,assigned_at:string,completed_at:string>>"
-DEFAULT_CONFIG = {"type": "port", "name": "", "source": {"path": "", "language": "rust"}, "target": {"path": "", "language": "kotlin"}, "reexport_modules": []}
+DEFAULT_CONFIG = dict(type="port", name="", source=dict(path="", language="rust"), target=dict(path="", language="kotlin"), reexport_modules=[])
 
 
 def _rows(df: DataFrame, root: str) -> DataFrame:
