@@ -121,7 +121,7 @@ def train(docs: DataFrame) -> Model:
     named = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     some = named.select("doc_id", "lang").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= PER_LANGUAGE).select("doc_id").distinct()
-    rows = named.select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(some, "doc_id").toArrow()
+    rows = named.select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").toArrow()  # a bounded number of ids a language
     centroids, langs = [], []
     names = np.array(rows.column("lang").to_pylist(), object)
     for lang in sorted(set(names)):
