@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Net | None, list[int]]:
     w = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     bound = F.when(F.col("toxic") == 1, min(TRAIN_TOXIC, -(-total[1] // 2))).otherwise(min(TRAIN_CLEAN, -(-total[0] // 2)))
     some = there.withColumn("rank", F.row_number().over(w)).filter((F.col("rank") <= max(TRAIN_TOXIC, TRAIN_CLEAN)) & (F.col("rank") <= bound)).select("doc_id", "toxic")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").join(some, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").join(F.broadcast(some), "doc_id")  # as many ids as the bound, at most
     rows = texts.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     if not rows.num_rows:
         return None, []
