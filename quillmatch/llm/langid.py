@@ -29,12 +29,31 @@ from .common import cut, fold_arrow, map_arrow
 
 CELLS, CENTROIDS, PER_LANGUAGE, ROUNDS = 1 << 13, 3, 500, 8
 SPREAD, SLACK, FAR, CEILING, CEILING_SHORT = 6.0, 0.1, 0.92, 0.95, 0.985
-_ROWS, _SIZE = 256, 1 << 19
+_ROWS, _SIZE, _LONG = 256, 1 << 19, 1 << 21
 
 
 def counts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     """n-gram counts of each text by cell."""
     n = len(off) - 1
+    if n == 1 and len(buf) > _LONG:
+        return sum(_counted(buf[a : b + 2], np.array([0, min(b + 2, len(buf)) - a]), b - a) for a, b in _parts(buf))
+    return _counted(buf, off, len(buf))
+
+
+def _parts(buf: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``_LONG`` bytes that end at ASCII bytes, so no character is cut."""
+    a = 0
+    while a < len(buf):
+        b = min(a + _LONG, len(buf))
+        while b < len(buf) and buf[b] >= 0x80:
+            b += 1
+        yield a, b
+        a = b
+
+
+def _counted(buf: np.ndarray, off: np.ndarray, starts: int) -> np.ndarray:
+    """Counts of the n-grams that begin before ``starts``."""
+    n = len(off) - 1
     low, isw = K.fold(buf)
     s = np.where(isw, low, np.uint8(0x20)).astype(np.uint32)
     doc = np.repeat(np.arange(n), np.diff(off))
@@ -47,7 +66,7 @@ def counts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
             code |= s[x : len(s) - k + 1 + x] << np.uint32(8 * x)
         blank = np.uint32(0x20202020 & ((1 << 8 * k) - 1))
         own = doc[: len(code)]
-        keep = (own == doc[k - 1 :]) & ((code ^ blank) & np.uint32(0xFFFF) != 0)
+        keep = (np.arange(len(code)) < starts) & (own == doc[k - 1 :]) & ((code ^ blank) & np.uint32(0xFFFF) != 0)
         cell = (code * np.uint32(0x9E3779B1 + 0x7F4A7C2E * k & 0xFFFFFFFF)) >> np.uint32(32 - 13)
         out += np.bincount(own[keep] * CELLS + cell[keep], minlength=n * CELLS)
     return out.reshape(n, CELLS).astype(np.float32)

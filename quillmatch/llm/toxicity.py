@@ -31,6 +31,8 @@ TRAIN_TOXIC, TRAIN_CLEAN, EPOCHS, BATCH, LEAST = 1000, 2000, 12, 32, 20
 PREFIXES = (4, 5, 7)
 PAD = max(WIDTHS) - 1
 BINS = 10_000
+#: Words of a text beyond which its parts are scored one after the other; bounds memory only.
+LONG = 100_000
 _SIZE = 1 << 17
 
 
@@ -79,11 +81,25 @@ class Net:
         n = np.diff(w.ptr)
         if not len(w.full):
             return np.zeros(len(n))
-        x, start = self.rows(features(w), w.ptr)
-        top = np.concatenate([np.maximum.reduceat(z, start, axis=0) for z in self.maps(x)], axis=1)
+        feats = features(w)
+        if len(w.full) > LONG and len(n) == 1:
+            top = self.long_top(feats)[None]
+        else:
+            x, start = self.rows(feats, w.ptr)
+            top = np.concatenate([np.maximum.reduceat(z, start, axis=0) for z in self.maps(x)], axis=1)
         v = np.maximum(top + self.bias, 0) @ self.out + self.out_bias
         return np.where(n > 0, 1 / (1 + np.exp(-np.clip(v.astype(np.float64), -30, 30))), 0.0)
 
+    def long_top(self, feats: np.ndarray) -> np.ndarray:
+        """Maxima of one long text, a part at a time; parts overlap by what a filter spans."""
+        total, tops = feats.shape[1], []
+        for a in range(0, total, LONG):
+            part = feats[:, a : a + LONG + PAD]
+            x, _ = self.rows(part, np.array([0, part.shape[1]]))
+            own = len(x) if a + LONG >= total else LONG
+            tops.append(np.concatenate([z[:own].max(0) for z in self.maps(x)]))
+        return np.max(tops, axis=0)
+
     def fit(self, texts: list[str], labels: np.ndarray) -> Net:
         """Adagrad on the logistic loss, both classes weighing the same."""
         g = np.random.default_rng(11)

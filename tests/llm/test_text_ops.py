@@ -277,6 +277,17 @@ def test_convolution_matches_loops():
     assert np.allclose(net.score(w), want, atol=1e-5)
 
 
+def test_long_texts_go_in_parts_with_the_same_result(monkeypatch):
+    text = pa.array([prose(4, 3000).replace("the", "é", 50)])
+    _, _, w = next(kernel.each_chunk(text))
+    net, whole = toxicity.Net(3), langid.counts(*kernel.text_bytes(text))
+    score = net.score(w)
+    monkeypatch.setattr(toxicity, "LONG", 700)
+    monkeypatch.setattr(langid, "_LONG", 1000)
+    assert np.allclose(net.score(w), score, atol=1e-6)
+    assert (langid.counts(*kernel.text_bytes(text)) == whole).all()
+
+
 def test_threshold_has_the_best_f1():
     g = np.random.default_rng(4)
     score = g.integers(0, 100, 400)
