@@ -181,3 +181,40 @@ BUILTINS = tuple(_BUILTINS.split())
 def is_builtin(c: Column) -> Column:
     """A type that needs no import: a known one, or one named like a type parameter."""
     return c.isin(*BUILTINS) | c.rlike("^[A-Z][A-Z0-9_]?$") | c.rlike("^[A-Z][0-9_]{0,2}$")
+
+
+def _alnum(c: Column) -> Column:
+    return ascii_lower(F.regexp_replace(c, "[^0-9A-Za-z]", ""))
+
+
+def expected_target(path: Column, lang: str, has_children: Column | None = None) -> Column:
+    """Where the port of a source file belongs: a leading src or include dropped, directories and stem in the style of the
+    target language. With ``has_children``, a Rust module that is also a directory goes into it."""
+    parts = F.split(path, "/")
+    dirs = F.filter(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda d: ~d.isin("", "."))
+    dirs = F.when((F.size(dirs) > 0) & F.get(dirs, F.lit(0)).isin("src", "include"), F.slice(dirs, 2, 1 << 30)).otherwise(dirs)
+    name, s = file_name(path), stem(path)
+    if lang == "kotlin":
+        dirs, name = F.transform(dirs, _alnum), F.concat(pascal(s), F.lit(".kt"))
+        if has_children is not None:
+            dirs = F.when(has_children & (extension(path) == "rs") & ~s.isin("mod", "lib"), F.array_append(dirs, _alnum(s))).otherwise(dirs)
+    elif lang == "typescript":
+        dirs, name = F.transform(dirs, kebab), F.concat(kebab(s), F.lit(".ts"))
+    elif lang == "cpp":
+        name = F.concat(s, F.lit(".cpp"))
+    elif lang == "python":
+        name = F.concat(ascii_lower(s), F.lit(".py"))
+    return F.array_join(F.array_append(F.filter(dirs, lambda d: d != ""), name), "/")
+
+
+def expected_target_name(path: Column, lang: str) -> Column:
+    return F.replace(F.regexp_replace(expected_target(path, lang), r"\.[^./]*$", ""), F.lit("/"), F.lit("."))
+
+
+def expected_function(name: Column, source: str, target: str) -> Column:
+    return camel(name) if (source, target) == ("rust", "kotlin") else name
+
+
+def provenance_header(path: Column) -> Column:
+    """The header line that names a source file, as a port should carry it."""
+    return F.concat(F.lit("// port-lint: source "), F.regexp_replace(annotation_path(path), "^src/", ""))

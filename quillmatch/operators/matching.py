@@ -158,3 +158,22 @@ def missing_by_dependents(units: DataFrame, degrees: DataFrame, matches: DataFra
 def ranked(df: DataFrame, by: list[Column], name: str = "rank", partition: list[str] | None = None) -> DataFrame:
     w = Window.partitionBy(*(partition or [])).orderBy(*by)
     return df.withColumn(name, F.row_number().over(w))
+
+
+def proposals(src: DataFrame, tgt: DataFrame, scores: DataFrame) -> DataFrame:
+    """src, tgt, the header that the target has and the one it should have, of pairs that met by less than the same path;
+    each once."""
+    s = src.select(F.col("key").alias("src"), N.provenance_header(F.col("path")).alias("expected"))
+    t = tgt.select(F.col("key").alias("tgt"), F.col("origin").alias("found"))
+    return scores.filter("score < 1").join(s, "src").join(t, "tgt").select("src", "tgt", "found", "expected").dropDuplicates()
+
+
+def suspicious(pairs: DataFrame) -> DataFrame:
+    """src, tgt and what of pairs (src, tgt, src_text, tgt_text) of Rust and Kotlin: suppressions, and type aliases that
+    the source doesn't have."""
+    t = F.col("tgt_text")
+    hidden = pairs.filter(F.contains(t, F.lit("@Suppress")) | F.contains(t, F.lit("@file:Suppress")) | F.contains(t, F.lit("SuppressWarnings"))).select("src", "tgt", F.lit("suppression").alias("what"))
+    names = lambda c, word: F.regexp_extract_all(c, F.lit(rf"\b{word}\s+(\w+)"), 1)
+    own = pairs.select("src", "tgt", F.explode(names("tgt_text", "typealias")).alias("name")).withColumn("k", N.canonical(F.col("name")))
+    known = pairs.select("src", "tgt", F.explode(names("src_text", "type")).alias("name")).select("src", "tgt", N.canonical(F.col("name")).alias("k"))
+    return hidden.unionByName(own.join(known, ["src", "tgt", "k"], "left_anti").select("src", "tgt", F.concat(F.lit("typealias "), "name").alias("what")))

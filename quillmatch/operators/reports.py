@@ -68,3 +68,16 @@ def markdown(df: DataFrame, title: str) -> DataFrame:
     spark = df.sparkSession
     body = df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)), F.lit(" |")).alias("value"))
     return spark.createDataFrame([(h,) for h in head], "value string").unionAll(body)
+
+
+def rule_score(text: Column, tree: Column, parity: Column, coverage: Column, penalty: Column) -> Column:
+    """A transliteration's score by rule: text and tree alike, parity of symbols, coverage, less a penalty; 0 to 1."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.35 * text + 0.35 * tree + 0.2 * parity + 0.1 * coverage - penalty))
+
+
+def stub_functions(missing: DataFrame) -> DataFrame:
+    """unit and the text of stubs for its missing functions (unit, name, args), in the order of their names."""
+    from ..functions.names import camel
+
+    line = F.concat(F.lit("fun "), camel(F.col("name")), F.lit("("), "args", F.lit(') { TODO("port") }'))
+    return missing.groupBy("unit").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))

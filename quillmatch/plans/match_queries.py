@@ -480,3 +480,41 @@ def task_rescan(spark: SparkSession, sf: str) -> DataFrame:
     old = task_state(spark, sf).select(F.col("task").alias("key"), "status", F.lit(0).cast("long").alias("dependents"))
     new = old.filter("key % 5 <> 0").select("key", (F.col("key") % 10).alias("dependents"))
     return K.rescan(old, new)
+
+
+# Expected places, proposals, suspicious constructs, planned scores
+
+
+@query(f"""WITH u AS (SELECT p_partkey, lower(p_type) AS dir, replace(p_name, ' ', '_') AS stem FROM part)
+SELECT p_partkey, dir || '/' || {_PASCAL % 'stem'} || '.kt' AS kotlin, dir || '/' || replace(stem, '_', '-') || '.ts' AS typescript, dir || '/' || stem || '.py' AS python, dir || '.' || {_PASCAL % 'stem'} AS name FROM u""")
+def expected_targets(spark: SparkSession, sf: str) -> DataFrame:
+    path = F.concat(F.lit("src/"), F.lower("p_type"), F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".rs"))
+    return table(spark, sf, "part").select("p_partkey", *(N.expected_target(path, x).alias(x) for x in ("kotlin", "typescript", "python")), N.expected_target_name(path, "kotlin").alias("name"))
+
+
+@query(f"WITH {_CORPORA} SELECT DISTINCT src, tgt, origin AS found, '// port-lint: source ' || regexp_replace(path, '^src/', '') AS expected FROM scores JOIN src s ON s.key = src JOIN t USING (tgt) WHERE score < 1")
+def provenance_proposals(spark: SparkSession, sf: str) -> DataFrame:
+    s, t = corpora(spark, sf)
+    return J.proposals(s, t, J.header_scores(s, t))
+
+
+_PAIRS = [("a.rs", "A.kt", "pub type FooBar = u8;", "typealias FooBar = Byte\ntypealias Extra = Int"), ("b.rs", "B.kt", "fn x() {}", '@file:Suppress("x")\nfun x() {}'), ("c.rs", "C.kt", "", "")]
+
+
+@query("SELECT * FROM (VALUES ('a.rs', 'A.kt', 'typealias Extra'), ('b.rs', 'B.kt', 'suppression')) AS t(src, tgt, what)")
+def suspicious_constructs(spark: SparkSession, sf: str) -> DataFrame:
+    return J.suspicious(spark.createDataFrame(_PAIRS, "src string, tgt string, src_text string, tgt_text string"))
+
+
+@query(f"WITH {_MATCHES} SELECT src, round(greatest(0.0, least(1.0, 0.35 * similarity + 0.35 * (id % 10) / 10.0 + 0.2 * (id % 7) / 7.0 + 0.1 * (id % 3) / 3.0 - lint * 0.05)), 6) AS score FROM mt")
+def rule_scores(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("id")
+    return matches(spark, sf).select("src", F.round(R.rule_score(F.col("similarity"), (k % 10) / 10.0, (k % 7) / 7.0, (k % 3) / 3.0, F.col("lint") * 0.05), 6).alias("score"))
+
+
+_LACKING = [("a", "shift_by", "n: Int"), ("a", "new", ""), ("b", "fmt", "f: Formatter")]
+
+
+@query("SELECT * FROM (VALUES ('a', 'fun new() { TODO(\"port\") }' || chr(10) || 'fun shiftBy(n: Int) { TODO(\"port\") }'), ('b', 'fun fmt(f: Formatter) { TODO(\"port\") }')) AS t(unit, text)")
+def generated_stubs(spark: SparkSession, sf: str) -> DataFrame:
+    return R.stub_functions(spark.createDataFrame(_LACKING, "unit string, name string, args string"))
