@@ -27,7 +27,7 @@ from .common import list_array, map_arrow
 
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Distinct pieces that a worker remembers before it starts afresh: bounds memory only, never results.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 500_000
 SCHEMA = "doc_id long, n_tokens int, ids array<int>, starts array<int>, round_trip boolean"
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -68,6 +69,15 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def tidy() -> None:
+    """Gives memory that a partition's arrays held back to the system, as workers live on for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library; it keeps the memory
+
+
 def fold_arrow(df: DataFrame, start: Callable[[], object], step: Callable[[object, pa.RecordBatch], None], end: Callable[[object], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow that gathers into start() over a whole partition and yields end() once."""
     kind = T.StructType.fromDDL(schema)
@@ -78,6 +88,7 @@ def fold_arrow(df: DataFrame, start: Callable[[], object], step: Callable[[objec
         for batch in batches:
             step(state, batch)
             any_rows = True
+        tidy()
         for out in end(state) if any_rows else ():
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name]).cast(f.type) for f in arrow], schema=arrow)
 
@@ -94,5 +105,6 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], sch
             for out in fn(batch):
                 cols = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in (out[f.name] for f in arrow)]
                 yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)
+        tidy()
 
     return df.mapInArrow(run, kind)

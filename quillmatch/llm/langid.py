@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import cut, fold_arrow, map_arrow
+from .common import cut, fold_arrow, map_arrow, tidy
 
 CELLS, CENTROIDS, PER_LANGUAGE, ROUNDS = 1 << 13, 3, 500, 8
 SPREAD, SLACK, FAR, CEILING, CEILING_SHORT = 6.0, 0.1, 0.92, 0.95, 0.985
@@ -206,5 +206,6 @@ def keep(docs: DataFrame) -> DataFrame:
                 far = np.array([limit.get(x, np.inf) for x in size_class(n).tolist()])
                 ok[i:j] = (n == 0) | (np.round(dist, 6) <= far)
             yield batch.filter(pa.array(ok))
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)

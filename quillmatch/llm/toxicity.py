@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import map_arrow
+from .common import map_arrow, tidy
 
 ROWS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 16, (1, 2, 3)
 TRAIN_TOXIC, TRAIN_CLEAN, EPOCHS, BATCH, LEAST = 1000, 2000, 12, 32, 20
@@ -255,5 +255,6 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
             s = score_column(batch.column("text").cast(pa.string()), net)
             limit = np.array([by.get(x, pooled) for x in batch.column("lang").to_pylist()])
             yield batch.filter(pa.array((s < limit) | (s <= 0)))
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)
