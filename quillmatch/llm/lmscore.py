@@ -1,86 +1,45 @@
-"""Cross-entropy difference: two matched bigram models over one vocabulary score every document.
+"""Cross-entropy difference: two matched bigram models over all words score every document.
 
-The vocabulary is the ``WORDS`` most frequent words of all documents and one class for all other words, so either
-model is a table of bounded size whatever the corpus. The background model counts the bigrams of all documents, the
-target model those of the documents labelled of quality 1. Both are smoothed alike, with ``PRIOR`` counts of the
-unigram distribution, and the background's counts are scaled to the target's number of tokens, so that a difference
-between the models comes from the texts and not from their sizes.
+The background model counts the words and bigrams of all documents, the target model those of the documents labelled of
+quality 1; no word is left out or merged with others, so the counts grow with the corpus. Both are smoothed alike, with
+``PRIOR`` counts of the unigram distribution, and the background's counts are scaled to the target's number of tokens,
+so that a difference between the models comes from the texts and not from their sizes. A unigram distribution has one
+more cell than there are distinct words, and more than ``WORDS`` always.
+
+Counts are keyed by 61-bit hashes and go by ranges of them, as many as there are shuffle partitions, to sorted files in
+the shared folder, which scoring maps; a folder that isn't mounted is copied once a worker. What occurs once isn't
+written: every text that is scored was counted, so a bigram or word that isn't there is the text's own.
 
 A document's score is the mean over its tokens of target loss minus background loss (natural log): below 0, it is more
 like the target than like the corpus. A null or wordless text has no tokens and a null score. Rows of a repeated doc_id
 count and score as they come. Contradicting labels of one doc_id count as quality 1. Without target documents both
-models are the background's and all scores 0. Words with equal counts enter the vocabulary by their hash.
+models are the background's and all scores 0.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import filesystem, map_arrow, new_path
+from .common import filesystem, fold_arrow, map_arrow, new_path, tidy
 
 WORDS, PRIOR = 4096, 100.0
 #: Target doc_ids up to this number go to the workers as a sorted array; more are joined.
 SHIP_IDS = 4_000_000
-FLUSH = 2_000_000
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word (hash) and n over all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, counts = K.HashIndex(1 << 18), np.zeros(1 << 18, np.int64)
-
-        def out() -> pa.RecordBatch:
-            used = index.keys != 0
-            return pa.record_batch({"word": pa.array(index.keys[used].view(np.int64)), "n": pa.array(counts[index.rows[used]])})
-
-        for batch in batches:
-            for _, _, w in K.each_chunk(batch.column("text")):
-                row = index.find(w.full)
-                new = np.flatnonzero(row < 0)
-                if len(new):
-                    distinct, inverse = np.unique(w.full[new], return_inverse=True)
-                    row[new] = index.add(distinct)[inverse]
-                if index.n > len(counts):
-                    counts = np.concatenate([counts, np.zeros(2 * index.n - len(counts), np.int64)])
-                counts[: index.n] += np.bincount(row, minlength=index.n)
-                if index.n > FLUSH:
-                    yield out()
-                    index, counts = K.HashIndex(1 << 18), np.zeros(1 << 18, np.int64)
-        if index.n:
-            yield out()
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """Hashes of the most frequent words; word i of them has id i + 1, other words 0, a text's start WORDS + 1."""
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(WORDS).collect()
-    return np.array([r["word"] for r in top], np.int64).view(np.uint64)
-
-
-class Ids:
-    """Word ids in a worker."""
-
-    def __init__(self, vocab: np.ndarray):
-        self.index = K.HashIndex()
-        self.index.add(vocab)
-
-    def codes(self, w: K.Words) -> np.ndarray:
-        """previous id * (WORDS + 1) + id of each word."""
-        cur = self.index.find(w.full).astype(np.int64) + 1
-        prev = np.empty_like(cur)
-        prev[1:] = cur[:-1]
-        first = w.ptr[:-1][np.diff(w.ptr) > 0]
-        prev[first] = WORDS + 1
-        return prev * (WORDS + 1) + cur
+FLUSH, _SIZE = 2_000_000, 1 << 22
+#: The last three bits of a key: what it counts, and (in what mappers send) whether in target documents.
+BIGRAM, WORD, LAST, TARGET = (np.uint64(x) for x in (0, 2, 4, 1))
+_HASH, _START = np.uint64(~7 & (1 << 64) - 1), np.uint64(0x5851F42D4C957F2D)
 
 
 def marked(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray | None]:
@@ -92,86 +51,173 @@ def marked(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray |
     return docs.join(ids.withColumn("target", F.lit(True)), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False))), None
 
 
-def bigram_counts(docs: DataFrame, labels: DataFrame, vocab: np.ndarray) -> DataFrame:
-    """code, and how often it occurs in all documents and in target documents."""
-    rows, target_ids = marked(docs, labels)
+def targets(batch: pa.RecordBatch, ids: np.ndarray | None) -> np.ndarray:
+    """Which rows are target documents."""
+    if ids is None:
+        return batch.column("target").to_numpy(zero_copy_only=False)
+    own = batch.column("doc_id").fill_null(-(1 << 62)).to_numpy()
+    return ids[np.minimum(np.searchsorted(ids, own), len(ids) - 1)] == own if len(ids) else np.zeros(len(own), bool)
+
+
+def bigrams(w: K.Words) -> np.ndarray:
+    """Key of each word with the one before it, or with the start of its text."""
+    prev = np.empty_like(w.full)
+    prev[1:] = w.full[:-1]
+    prev[w.ptr[:-1][np.diff(w.ptr) > 0]] = _START
+    return K.mix(prev * np.uint64(0x9E3779B97F4A7C15) + w.full) & _HASH | BIGRAM
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of n."""
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[first], np.add.reduceat(n[order], first)
+
+
+def count(rows: DataFrame, target_ids: np.ndarray | None, path: str) -> Model:
+    """Counts all words and bigrams of rows into files of sorted keys at path."""
+    spark = rows.sparkSession
+    bits = max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    shift = np.uint64(64 - bits)
+
+    def send(parts: list) -> Iterator[pa.RecordBatch]:
+        key, n = _summed(*(np.concatenate(x) for x in zip(*parts)))
+        at = np.append(np.flatnonzero(np.append(True, key[1:] >> shift != key[:-1] >> shift)), len(key))
+        for i in range(0, len(at) - 1, 64):
+            own = [slice(a, b) for a, b in zip(at[i : i + 64], at[i + 1 : i + 65])]
+            columns = [[int(key[s.start] >> shift) for s in own], [key[s].tobytes() for s in own], [n[s].tobytes() for s in own]]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, all_, target = Ids(vocab), None, None
+        parts, held = [], 0
         for batch in batches:
-            if all_ is None:
-                all_, target = (np.zeros((WORDS + 2) * (WORDS + 1), np.int32) for _ in "at")
-            if target_ids is None:
-                is_target = batch.column("target").to_numpy(zero_copy_only=False)
-            else:
-                own = batch.column("doc_id").fill_null(-(1 << 62)).to_numpy()
-                at = np.minimum(np.searchsorted(target_ids, own), max(0, len(target_ids) - 1))
-                is_target = target_ids[at] == own if len(target_ids) else np.zeros(len(own), bool)
-            for i, j, w in K.each_chunk(batch.column("text")):
-                c = ids.codes(w)
-                np.add.at(all_, c, 1)
-                np.add.at(target, c[np.repeat(is_target[i:j], np.diff(w.ptr))], 1)
-        if all_ is not None:
-            code = np.flatnonzero(all_)
-            for p in range(0, len(code), 1 << 18):
-                part = code[p : p + (1 << 18)]
-                yield pa.record_batch({"code": pa.array(part.astype(np.int32)), "n": pa.array(all_[part]), "target": pa.array(target[part])})
-
-    counted = rows.mapInArrow(run, "code int, n int, target int")
-    return counted.groupBy("code").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
-
-
-def difference(code: np.ndarray, n: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Target loss minus background loss of every bigram code, seen or not."""
-    width = WORDS + 1
-    order = np.argsort(code)
-    code, n, target = code[order], n[order].astype(np.float64), target[order].astype(np.float64)
-    total = max(target.sum(), 1.0)
-    uni_b = np.bincount(code % width, n, minlength=width)
-    if target.sum() == 0:
-        target = n
-        total = n.sum()
-    uni_t = np.bincount(code % width, target, minlength=width)
-    scale = total / max(n.sum(), 1.0)
-    p_b, p_t = (uni_b * scale + 1) / (uni_b.sum() * scale + width), (uni_t + 1) / (uni_t.sum() + width)
-    out = np.empty((WORDS + 2, width), np.float32)
-    for row in range(0, WORDS + 2, 256):
-        top = min(row + 256, WORDS + 2)
-        lo, hi = np.searchsorted(code, [row * width, top * width])
-        both = []
-        for c, p in ((n * scale if len(n) else n, p_b), (target, p_t)):
-            m = np.zeros(((top - row), width))
-            m.ravel()[code[lo:hi] - row * width] = c[lo:hi]
-            both.append(np.log((m + PRIOR * p) / (m.sum(1, keepdims=True) + PRIOR)))
-        out[row:top] = both[0] - both[1]
-    return out.ravel()
-
-
-_loaded: dict[str, np.ndarray] = {}
-
-
-def load(path: str) -> np.ndarray:
-    """The table of differences from counts written at path; one per worker."""
-    if path not in _loaded:
-        _loaded.clear()
+            is_target = targets(batch, target_ids)
+            for i, j, w in K.each_chunk(batch.column("text"), _SIZE):
+                if not len(w.full):
+                    continue
+                mark = np.repeat(is_target[i:j], np.diff(w.ptr)).astype(np.uint64)
+                last = w.ptr[1:][np.diff(w.ptr) > 0] - 1
+                word = w.full & _HASH | mark
+                parts.append(np.unique(np.concatenate([bigrams(w) | mark, word | WORD, word[last] | LAST]), return_counts=True))
+                held += len(parts[-1][0])
+                if held > FLUSH:
+                    yield from send(parts)
+                    parts, held = [], 0
+        if parts:
+            yield from send(parts)
+        tidy()
+
+    def step(state: dict, batch: pa.RecordBatch) -> None:
+        for bucket, key, n in zip(batch.column("bucket").to_pylist(), batch.column("key"), batch.column("n")):
+            state[bucket].append((np.frombuffer(key.as_buffer(), np.uint64).copy(), np.frombuffer(n.as_buffer(), np.int64).astype(np.uint32)))
+
+    def end(state: dict) -> Iterator[dict]:
         where, inner = filesystem(path)
-        t = ds.dataset(inner, filesystem=where, format="parquet").to_table(columns=["code", "n", "target"])
-        _loaded[path] = difference(*(t.column(c).to_numpy() for c in ("code", "n", "target")))
-    return _loaded[path]
+        where.create_dir(inner, recursive=True)
+        for bucket in sorted(state):
+            key, n = (np.concatenate(x) for x in zip(*state.pop(bucket)))
+            key, n = _summed(key, n.astype(np.int64))
+            in_target = np.where(key & TARGET, n, 0)
+            first = np.flatnonzero(np.append(True, key[1:] >> TARGET != key[:-1] >> TARGET))
+            key, n, in_target = key[first] & ~TARGET, np.add.reduceat(n, first), np.add.reduceat(in_target, first)
+            kind = key & np.uint64(6)
+            word, last = kind == WORD, kind == LAST
+            kept = (n > 1) | last
+            for name, values in (("key", key[kept]), ("n", np.stack([n[kept], in_target[kept]], 1))):
+                if name == "n" and int(values.max(initial=0)) < 1 << 32:
+                    values = values.astype(np.uint32)
+                temporary = f"{inner}/.{uuid.uuid4().hex}"
+                with where.open_output_stream(temporary) as out:
+                    np.save(out, values)
+                where.move(temporary, f"{inner}/{bucket}.{name}.npy")
+            yield {"bucket": [bucket], "words": [int(word.sum())], "n": [int(n[word].sum())], "target": [int(in_target[word].sum())], "texts": [int(n[last].sum())], "target_texts": [int(in_target[last].sum())]}
+
+    sent = rows.mapInArrow(run, "bucket int, key binary, n binary").repartition(1 << bits, "bucket")
+    made = fold_arrow(sent, lambda: defaultdict(list), step, end, "bucket int, words long, n long, target long, texts long, target_texts long").collect()
+    return Model(path, bits, frozenset(r["bucket"] for r in made), *(sum(r[c] for r in made) for c in ("words", "n", "target", "texts", "target_texts")))
+
+
+_open: dict[str, tuple[str, dict[int, tuple[np.ndarray, np.ndarray]]]] = {}
+
+
+@dataclass
+class Model:
+    """Files of counts, and the numbers of distinct words, tokens and texts with words: of all and of the target."""
+
+    path: str
+    bits: int
+    buckets: frozenset
+    words: int
+    n: int
+    target: int
+    texts: int
+    target_texts: int
+
+    def bucket(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and counts of a range of keys, mapped."""
+        if self.path not in _open:
+            _open.clear()
+            where, inner = filesystem(self.path)
+            if not isinstance(where, fs.LocalFileSystem):
+                own = tempfile.mkdtemp(prefix="quillmatch-")
+                fs.copy_files(inner, own, source_filesystem=where, destination_filesystem=fs.LocalFileSystem())
+                inner = own
+            _open[self.path] = inner, {}
+        inner, there = _open[self.path]
+        if b not in there:
+            there[b] = tuple(np.load(f"{inner}/{b}.{name}.npy", mmap_mode="r") for name in ("key", "n"))
+        return there[b]
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """For sorted keys, how often each occurs in all documents and in target documents; -1 where it isn't written."""
+        out = np.full((len(key), 2), -1, np.int64)
+        at = np.searchsorted(key >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64))
+        for b in np.flatnonzero(np.diff(at)).tolist():
+            own = key[at[b] : at[b + 1]]
+            keys, n = self.bucket(b) if b in self.buckets else (key[:0], out[:0])
+            if len(keys):
+                row = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                hit = keys[row] == own
+                out[at[b] : at[b + 1]][hit] = n[row[hit]]
+        return out
+
+    def difference(self, w: K.Words, is_target: np.ndarray) -> np.ndarray:
+        """Target loss minus background loss of each word."""
+        alone = np.stack([np.ones(len(w.full)), np.repeat(is_target, np.diff(w.ptr))], 1)
+
+        def counts(key: np.ndarray, at: np.ndarray, otherwise: np.ndarray | float) -> np.ndarray:
+            found = self.find(key)[at].astype(np.float64)
+            return np.where(found < 0, otherwise, found)
+
+        both = counts(*np.unique(bigrams(w), return_inverse=True), alone)
+        words, at = np.unique(w.full & _HASH, return_inverse=True)
+        uni = counts(words | WORD, at, alone)
+        going_on = uni - counts(words | LAST, at, 0.0)
+        before = np.empty_like(going_on)
+        before[1:] = going_on[:-1]
+        before[w.ptr[:-1][np.diff(w.ptr) > 0]] = self.texts, self.target_texts
+        total = float(self.target or self.n)
+        for x in (both, uni, before):
+            if not self.target:
+                x[:, 1] = x[:, 0]
+            x[:, 0] *= total / max(self.n, 1)
+        width = max(self.words, WORDS) + 1
+        p = (both + PRIOR * (uni + 1) / (total + width)) / (before + PRIOR)
+        return np.log(p[:, 0] / p[:, 1])
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words and ce_diff of every row of docs."""
-    vocab = vocabulary(docs)
-    path = new_path(docs.sparkSession, "bigrams")
-    bigram_counts(docs, labels, vocab).write.parquet(path)
+    rows, target_ids = marked(docs, labels)
+    model = count(rows, target_ids, new_path(docs.sparkSession, "bigrams"))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        table, ids = load(path), Ids(vocab)
-        for i, j, w in K.each_chunk(batch.column("text")):
+        is_target = targets(batch, target_ids)
+        for i, j, w in K.each_chunk(batch.column("text"), _SIZE):
             n = np.diff(w.ptr)
-            sums = np.concatenate([[0.0], np.cumsum(table[ids.codes(w)], dtype=np.float64)])
+            sums = np.concatenate([[0.0], np.cumsum(model.difference(w, is_target[i:j]))])
             mean = np.diff(sums[w.ptr]) / np.maximum(n, 1)
             yield {"doc_id": batch.column("doc_id").slice(i, j - i), "n_words": pa.array(n), "ce_diff": pa.array(np.round(mean, 6), mask=n == 0)}
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_words int, ce_diff double")
+    return map_arrow(rows, run, "doc_id long, n_words int, ce_diff double")
