@@ -1,12 +1,13 @@
 """Cases that a bound on the vocabulary, on windows or on distances would lose."""
 
+import random
 from collections import Counter
 
 import numpy as np
 
-from quillmatch.llm import lmscore
+from quillmatch.llm import decontaminate, lmscore
 
-from .test_text_ops import docs, labels, words_of
+from .test_text_ops import bench, docs, labels, prose, words_of
 
 
 def test_scores_tell_rare_words_apart(spark, monkeypatch):
@@ -38,3 +39,22 @@ def test_scores_tell_rare_words_apart(spark, monkeypatch):
             want = np.mean([np.log(p(0, total / uni[0].total(), h, x) / p(1, 1, h, x)) for h, x in zip(w, w[1:])])
             assert abs(got[k] - want) < 2e-6
         assert max(got[k] for k in target) < min(v for k, v in got.items() if k not in target)
+
+
+def test_copies_of_any_length_leak(spark):
+    """Verbatim copies of 5 to 500 words, among words of other items and far from the corpus's own."""
+    sizes = [1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 33, 64, 65, 100, 180, 200, 230, 240, 260, 300, 400, 500, 1500]
+    items = [(k, prose(70_000 + k, n)) for k, n in enumerate(sizes) if n >= 5] + [(k, f"only{k} " * n) for k, n in enumerate(sizes) if n < 5]
+    rows = []
+    for k, text in items:
+        g = random.Random(k)
+        others = [w for i, t in items for w in t.split() if i != k and len(t) < 5000]
+        rows.append((k, " ".join([*g.choices(others, k=301 + k), text, *g.choices(others, k=300)]), "en"))
+        rows.append((100 + k, prose(80_000 + k, 213 + k) + " " + text, "en"))
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(docs(spark, rows), bench(spark, items)).collect()}
+    assert {(k, k) for k, _ in items} | {(100 + k, k) for k, _ in items} <= set(got)
+    long = {k for k, n in enumerate(sizes) if n >= 20}
+    assert all(got[k + d, k]["lcs_share"] > 0.99 for k in long for d in (0, 100))
+    assert {(d, k) for d, k in got if k in long} == {(k + d, k) for k in long for d in (0, 100)}
+    kept = decontaminate.keep(docs(spark, [*rows, (999, prose(5), "en")]), bench(spark, [x for x in items if x[0] in long]))
+    assert {r["doc_id"] for r in kept.collect()} & {k + d for k in long for d in (0, 100)} == set()
