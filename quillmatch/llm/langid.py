@@ -5,10 +5,12 @@ to 8192 cells; a cell weighs sqrt(count) * idf and vectors are normalised. Docum
 all documents. Each language gets several centroids by spherical k-means over at most ``PER_LANGUAGE`` labelled
 documents (the only bounded step). A document takes the language of its nearest centroid by cosine.
 
-Rejection: over all documents, the distances of those with about as many n-grams (a factor of four) give a median
-and a median absolute deviation; a document is rejected if it lies ``SPREAD`` deviations and ``SLACK`` beyond the
-median, and at least ``FAR`` away. Beyond ``CEILING`` (``CEILING_SHORT`` for texts of under 256 n-grams, which have
-little in common with any centroid) a document is rejected whatever the deviations.
+Rejection: labelled documents that come out as labelled give, for each class of n-gram numbers (a factor of two), a
+high quantile of their distances (``HIGH``) and a median absolute deviation; a document is rejected if it lies further
+than their sum. The deviation counts 1 + ``FEW`` / n times for n documents, as few of them tell little of the tail and
+have mostly been trained on. The limit is the data's own: there is no distance below which all is kept or beyond which all goes. A
+class with under ``LEAST`` such documents takes the limit of the next smaller class that has them (limits are wider
+there as a rule), and rejects nothing if there is none; if no class has them, all together make one limit.
 
 A null or wordless text has no vector: language and distance are null and it is not rejected, as there is nothing
 to go by. Rows without a language are classified like others and never used for training. Rows repeat as they come;
@@ -28,7 +30,7 @@ from . import kernel as K
 from .common import cut, fold_arrow, map_arrow, tidy
 
 CELLS, CENTROIDS, PER_LANGUAGE, ROUNDS = 1 << 13, 3, 500, 8
-SPREAD, SLACK, FAR, CEILING, CEILING_SHORT = 6.0, 0.1, 0.92, 0.95, 0.985
+HIGH, LEAST, CLASSES, FEW = 0.995, 20, 32, 150
 _ROWS, _SIZE, _LONG = 256, 1 << 19, 1 << 21
 
 
@@ -155,7 +157,7 @@ def train(docs: DataFrame) -> Model:
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, pred, distance and size (a class of n-gram numbers) of every row."""
+    """doc_id, lang, pred, distance and size (a class of n-gram numbers) of every row."""
     langs = np.array([*model.langs, None], object)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -163,21 +165,29 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
             at, dist, n = model.nearest(c)
             none = n == 0
             at = np.where(none | (len(model.langs) == 0), len(model.langs), at)
-            yield {"doc_id": batch.column("doc_id").slice(i, j - i), "pred": pa.array(langs[at], pa.string()), "distance": pa.array(np.round(dist, 6), mask=none), "size": pa.array(size_class(n))}
+            yield {"doc_id": batch.column("doc_id").slice(i, j - i), "lang": batch.column("lang").slice(i, j - i), "pred": pa.array(langs[at], pa.string()), "distance": pa.array(np.round(dist, 6), mask=none), "size": pa.array(size_class(n))}
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, pred string, distance double, size int")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")), run, "doc_id long, lang string, pred string, distance double, size int")
 
 
 def size_class(n: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(n, 1)) // 2, 5).astype(np.int32)
+    return np.minimum(np.log2(np.maximum(n, 1)), CLASSES - 1).astype(np.int32)
 
 
 def limits(found: DataFrame) -> dict[int, float]:
-    """The distance beyond which a document of each size class is rejected, from all documents."""
-    there = found.filter("distance IS NOT NULL")
-    mid = there.groupBy("size").agg(F.percentile_approx("distance", 0.5, 10000).alias("mid"))
-    off = there.join(F.broadcast(mid), "size").groupBy("size", "mid").agg(F.percentile_approx(F.abs(F.col("distance") - F.col("mid")), 0.5, 10000).alias("mad"))
-    return {r["size"]: max(FAR, min(CEILING if r["size"] > 3 else CEILING_SHORT, r["mid"] + SPREAD * r["mad"] + SLACK)) for r in off.collect()}
+    """The distance beyond which a document of each size class is rejected, from all documents that come out as labelled."""
+    there = found.filter("distance IS NOT NULL AND pred = lang").select("size", "distance")
+
+    def over(rows: DataFrame) -> dict[int, float]:
+        mid = rows.groupBy("size").agg(F.percentile_approx("distance", F.array(F.lit(0.5), F.lit(HIGH)), 10000).alias("q"), F.count("*").alias("n"))
+        off = rows.join(F.broadcast(mid), "size").groupBy("size", "q", "n").agg(F.percentile_approx(F.abs(F.col("distance") - F.col("q")[0]), 0.5, 10000).alias("mad"))
+        return {r["size"]: (r["n"], r["q"][1] + r["mad"] * (1 + FEW / r["n"])) for r in off.collect()}
+
+    each = over(there)
+    own = {k: limit for k, (n, limit) in each.items() if n >= LEAST}
+    if not own and each:
+        own = {0: over(there.withColumn("size", F.lit(0)))[0][1]}
+    return {k: own[max(x for x in own if x <= k)] for k in range(min(own, default=CLASSES), CLASSES)}
 
 
 def _rejected(limit: dict[int, float]) -> F.Column:

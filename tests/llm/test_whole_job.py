@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from quillmatch.llm import decontaminate, lmscore
+from quillmatch.llm import decontaminate, langid, lmscore
 
 from .test_text_ops import bench, docs, labels, prose, words_of
 
@@ -58,3 +58,17 @@ def test_copies_of_any_length_leak(spark):
     assert {(d, k) for d, k in got if k in long} == {(k + d, k) for k in long for d in (0, 100)}
     kept = decontaminate.keep(docs(spark, [*rows, (999, prose(5), "en")]), bench(spark, [x for x in items if x[0] in long]))
     assert {r["doc_id"] for r in kept.collect()} & {k + d for k in long for d in (0, 100)} == set()
+
+
+def test_unknown_latin_languages_and_junk_are_rejected(spark):
+    rows = [(k, prose(k, 150, lang), lang) for k, lang in enumerate(["en", "de"] * 60)] + [(200 + k, prose(200 + k, 150, lang), None) for k, lang in enumerate(["en", "de"] * 10)]
+    g = random.Random(4)
+    other = [(1000 + k, " ".join("".join(g.choice("que les ez oui aux ble ont eur ais pas".split()) for _ in range(g.choice([1, 1, 2, 3, 4]))) for _ in range(150)), None) for k in range(20)]
+    junk = [(2000 + k, " ".join("".join(g.choices("abcdefghijklmnopqrstuvwxyz", k=g.randint(2, 9))) for _ in range(150)), None) for k in range(20)]
+    got = {r["doc_id"]: r["rejected"] for r in langid.identify(docs(spark, rows + other + junk)).collect()}
+    assert all(v for k, v in got.items() if k >= 1000)
+    assert not any(v for k, v in got.items() if k < 200) and sum(v for k, v in got.items() if 200 <= k < 1000) <= 1
+    kept = langid.keep(docs(spark, rows + other + junk))
+    assert {r["doc_id"] for r in kept.collect()} == {k for k, v in got.items() if not v}
+    unlabelled = docs(spark, [(k, t, None) for k, t, _ in rows])
+    assert langid.keep(unlabelled).count() == len(rows) and not any(r["rejected"] for r in langid.identify(unlabelled).collect())
