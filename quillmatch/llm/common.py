@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import tempfile
 import uuid
@@ -17,7 +18,8 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests, which run
+    in one process). A cluster without the setting is an error, as its executors would not see a folder made here."""
     global _own_dir
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if there:
@@ -25,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     set_already = spark.sparkContext.getCheckpointDir()
     if set_already:
         return set_already.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     _own_dir = _own_dir or tempfile.mkdtemp(prefix="quillmatch-")
     spark.sparkContext.setCheckpointDir(_own_dir)
     return f"file://{_own_dir}"
@@ -35,6 +39,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def result_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for files that a result is read from: they go when the driver's process ends."""
+    path = new_path(spark, name)
+    atexit.register(_forget, path)
+    return path
+
+
+def _forget(path: str) -> None:
+    where, inner = filesystem(path)
+    if where.get_file_info(inner).type == fs.FileType.Directory:
+        where.delete_dir(inner)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path of ours in the shared folder."""
     jvm = spark.sparkContext._jvm

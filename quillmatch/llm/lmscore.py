@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import filesystem, fold_arrow, map_arrow, new_path, tidy
+from .common import filesystem, fold_arrow, map_arrow, result_path, tidy
 
 WORDS, PRIOR = 4096, 100.0
 #: Target doc_ids up to this number go to the workers as a sorted array; more are joined.
@@ -210,7 +210,7 @@ class Model:
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words and ce_diff of every row of docs."""
     rows, target_ids = marked(docs, labels)
-    model = count(rows, target_ids, new_path(docs.sparkSession, "bigrams"))
+    model = count(rows, target_ids, result_path(docs.sparkSession, "bigrams"))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         is_target = targets(batch, target_ids)

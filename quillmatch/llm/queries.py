@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, langid, lmscore, media, minhash, tokenstore, toxicity, urlfilter, warc
-from .common import cut, new_path, table
+from .common import cut, result_path, table
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all pages as WARC files and reads their response records again."""
     spark.dataSource.register(warc.Warc)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    path = new_path(spark, "warc")
+    path = result_path(spark, "warc")
     table(spark, sf_dir, "pages").select("page_id", "url", "html").write.format("warc").mode("append").save(path)
     found = spark.read.format("warc").load(path).filter("type = 'response' AND status = 200")
     return found.select("page_id", F.col("uri").alias("url"), F.octet_length("payload").alias("bytes"), F.md5("payload").alias("digest"))
@@ -51,7 +51,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the token files of all documents, and reads of each what a loader would check."""
-    manifest = cut(tokenstore.write(table(spark, sf_dir, "documents"), new_path(spark, "tokens")))
+    manifest = cut(tokenstore.write(table(spark, sf_dir, "documents"), result_path(spark, "tokens")))
     stored = tokenstore.read(spark, tokenstore.files(manifest))
     total = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x)
     return stored.select("doc_id", "lang", "n_tokens", F.get("tokens", F.lit(0)).alias("first_token"), F.get("tokens", F.col("n_tokens") - 1).alias("last_token"), total.alias("token_sum"))

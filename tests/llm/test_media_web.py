@@ -1,7 +1,9 @@
 """Media, WARC, URL filters, the pipeline."""
 
+import gzip
 import io
 import random
+import re
 import struct
 from collections import Counter
 
@@ -105,31 +107,125 @@ def test_warc_of_nothing_and_of_damaged_files(spark, tmp_path):
     (tmp_path / "e/b.warc.gz").write_bytes(warc.member(one, 1) + warc.member(one, 1)[:40])
     (tmp_path / "e/c.warc").write_bytes(b"")
     rows = spark.read.format("warc").load(f"file://{tmp_path}/e").collect()
-    assert len(rows) >= 2 and all(r["page_id"] == 7 and r["status"] is None and bytes(r["payload"]) == b"body" for r in rows[:2])
+    good, bad = ([r for r in rows if (r["type"] == kind)] for kind in ("response", "damaged"))
+    assert len(good) == 2 and all(r["page_id"] == 7 and r["status"] is None and bytes(r["payload"]) == b"body" for r in good)
+    assert sorted((r["uri"].rsplit("/", 1)[1], r["content_type"]) for r in bad) == [("a.warc", "head cut off"), ("a.warc", "no WARC header"), ("b.warc.gz", "cut off in a gzip member")]
 
 
-def test_a_ruled_out_record_is_not_inflated(tmp_path):
-    big = warc.record("response", [("WARC-Page-ID", "1"), ("Content-Type", "text/plain")], random.Random(0).randbytes(3_000_000))
-    (tmp_path / "x.warc.gz").write_bytes(warc.member(big, 1) * 2)
+class Counting:
+    def __init__(self, data):
+        self.f, self.n = io.BytesIO(data), 0
+
+    def size(self):
+        return len(self.f.getbuffer())
+
+    def seek(self, n):
+        self.f.seek(n)
+
+    def read(self, n):
+        out = self.f.read(n)
+        self.n += len(out)
+        return out
 
-    class Counting:
-        def __init__(self, f):
-            self.f, self.n = f, 0
 
-        def size(self):
-            return self.f.seek(0, 2)
+def parsed(data, tests=(), **options):
+    return list(warc.parse(warc.Stream(Counting(data)), "f", warc.Tests(list(tests)), options.pop("payload", True), **options))
 
-        def seek(self, n):
-            self.f.seek(n)
 
-        def read(self, n):
-            out = self.f.read(n)
-            self.n += len(out)
-            return out
+def page(k, body=None, status=b"200", more=()):
+    http = b"HTTP/1.1 %b OK\r\nContent-Type: text/html\r\n\r\n" % status
+    return warc.record("response", [("WARC-Page-ID", str(k)), ("WARC-Target-URI", f"http://h{k}.a.com/{k}"), ("Content-Type", "application/http"), *more], http + (f"body {k}".encode() if body is None else body))
 
-    with open(tmp_path / "x.warc.gz", "rb") as f:
-        c = Counting(f)
-        assert len(list(warc.Gzipped(c).heads())) == 2 and c.n < 200_000
+
+def test_a_ruled_out_record_is_not_inflated():
+    big = warc.record("response", [("WARC-Page-ID", "1"), ("Content-Type", "text/plain")], random.Random(0).randbytes(3_000_000))
+    f = Counting(warc.member(big, 1) * 2)
+    assert list(warc.parse(warc.Stream(f), "f", warc.Tests([("page_id", "in", {9})]), True)) == [] and f.n < 200_000
+    f = Counting(warc.member(big, 1) * 2)
+    assert len(list(warc.parse(warc.Stream(f), "f", warc.Tests([]), False))) == 2 and f.n < 200_000
+
+
+def test_warc_members_of_several_records():
+    recs = [page(k) for k in range(3)]
+    whole = b"".join(recs)
+    ids = lambda rows: [r["page_id"] for r in rows]
+    for data in (gzip.compress(whole), warc.member(whole, 1), whole, gzip.compress(whole[:500]) + gzip.compress(whole[500:]), b"".join(warc.member(r, 1) for r in recs)):
+        got = parsed(data)
+        assert ids(got) == [0, 1, 2] and [r["payload"] for r in got] == [b"body 0", b"body 1", b"body 2"]
+        for payload in (True, False):
+            assert ids(parsed(data, [("page_id", "in", {2})], payload=payload)) == [2]
+            assert ids(parsed(data, [("uri", "host", "a.com")], payload=payload)) == [0, 1, 2]
+        assert ids(parsed(data, [("uri", "host", "h1.a.com")])) == [1] and parsed(data, [("uri", "host", "b.com")]) == []
+    padded = gzip.compress(recs[0]) + bytes(4) + gzip.compress(recs[1]) + bytes(70_000) + gzip.compress(recs[2]) + bytes(3)
+    assert ids(parsed(padded)) == [0, 1, 2] and all(r["type"] == "response" for r in parsed(padded))
+
+
+@pytest.mark.parametrize("pack", [lambda r: r, gzip.compress, lambda r: warc.member(r, 1)])
+def test_warc_cut_off_anywhere(pack):
+    one, two = pack(page(1)), pack(page(2, b"x" * 3000 + random.Random(3).randbytes(500)))
+    for n in [*range(0, len(two), max(1, len(two) // 150)), len(two) - 1]:
+        for payload in (True, False):
+            got = parsed(one + two[:n], payload=payload)
+            whole = [r["page_id"] for r in got if r["type"] == "response"]
+            assert whole[0] == 1 and whole[1:] in ([], [2])
+            if 0 < n < len(two) - 12:
+                assert [r["type"] for r in got[1:]] == ["damaged"] or (not payload and whole == [1, 2]), n
+    with pytest.raises(ValueError):
+        parsed(one + two[: len(two) // 2], fail=True)
+
+
+def test_warc_damage_is_counted_and_passed():
+    one = gzip.compress(page(1))
+    bad = bytearray(gzip.compress(page(2, random.Random(1).randbytes(9000))))
+    bad[len(bad) // 2] ^= 0xFF
+    for middle in (bytes(bad), b"garbage that is no member", gzip.compress(b"no header at all\r\n" * 9)):
+        got = parsed(one + middle + gzip.compress(page(3)))
+        assert [r["page_id"] for r in got if r["type"] == "response" and r["page_id"] != 2] == [1, 3]
+        assert sum(r["type"] == "damaged" and r["uri"] == "f" for r in got) >= 1
+    got = parsed(page(1) + b"junk\nmore junk\n" + b"y" * 300_000 + b"\n" + page(3))
+    assert [r["type"] for r in got] == ["response", "damaged", "response"] and got[2]["page_id"] == 3
+
+
+def test_warc_heads_and_numbers(monkeypatch):
+    long_ = "v" * 1_500_000
+    for pack in (lambda r: r, gzip.compress, lambda r: warc.member(r, 1)):
+        got = parsed(pack(page(1, more=[("X-Long", long_)])) + pack(page(2)))
+        assert [(r["page_id"], r["payload"]) for r in got] == [(1, b"body 1"), (2, b"body 2")]
+        http = b"HTTP/1.1 200 OK\r\nX: " + long_.encode() + b"\r\n\r\nafter"
+        wide = warc.record("response", [("Content-Type", "application/http")], http)
+        assert [r["payload"] for r in parsed(pack(wide))] == [b"after"]
+        bare = page(1).replace(b"Content-Length", b"X-Length") + page(2)
+        got = parsed(pack(bare))
+        assert [(r["page_id"], r["length"] is None, r["payload"]) for r in got] == [(1, True, b"body 1"), (2, False, b"body 2")]
+        for hostile in (b"--5", b"-5", b"5e3", b"9" * 40, "\u0665".encode(), b""):
+            got = parsed(pack(page(1).replace(b"WARC-Page-ID: 1", b"WARC-Page-ID: " + hostile)) + pack(page(2)))
+            assert [r["page_id"] for r in got] == [-5 if hostile == b"-5" else None, 2]
+            got = parsed(pack(re.sub(rb"Content-Length: \d+", b"Content-Length: " + hostile, page(1)) + page(2)))
+            assert [r["payload"] for r in got if r["type"] == "response"] == [b"body 1", b"body 2"]
+            assert [r["status"] for r in parsed(pack(page(1, status=hostile)))] == [None]
+        lf = page(1).replace(b"\r\n", b"\n")
+        lf = re.sub(rb"Content-Length: \d+", b"Content-Length: %d" % len(b"HTTP/1.1 200 OK\nContent-Type: text/html\n\nbody 1"), lf)
+        assert [(r["status"], r["http_type"], r["payload"]) for r in parsed(pack(lf) + pack(page(2)))] == [(200, "text/html", b"body 1"), (200, "text/html", b"body 2")]
+    monkeypatch.setattr(warc, "_HEAD_MOST", 2000)
+    assert [r["type"] for r in parsed(page(1, more=[("X", "v" * 9000)]) + page(2))] == ["damaged", "response"]
+    monkeypatch.setattr(warc, "_BLOCK_MOST", 40)
+    assert len(parsed(page(1), payload=False)) == 1
+    with pytest.raises(ValueError, match="fits no column"):
+        parsed(page(1))
+
+
+def test_warc_without_pushdown_and_over_again(spark, tmp_path):
+    spark.dataSource.register(warc.Warc)
+    path = f"file://{tmp_path}/o"
+    pages = spark.createDataFrame([(1, "http://u:p@x.a.com:80/q", "h"), (2, "http://xa.com/", "i")], "page_id long, url string, html string").coalesce(1)
+    for _ in range(2):
+        pages.write.format("warc").mode("overwrite").save(path)
+    for on in ("false", "true"):
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", on)
+        there = spark.read.format("warc").load(path)
+        assert sorted(r["page_id"] for r in there.filter("type = 'response' AND status IN (200, 201)").collect()) == [1, 2]
+        hosted = spark.read.format("warc").option("host", "a.com").load(path)
+        assert [r["page_id"] for r in hosted.filter("type = 'response'").collect()] == [1]
 
 
 def brute_expressions(url):
