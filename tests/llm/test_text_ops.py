@@ -380,12 +380,75 @@ def test_subsequences_match_the_table():
         assert decontaminate.lcs(a, b) == t[-1, -1]
 
 
-def test_latent_space_is_that_of_the_matrix():
-    g = np.random.default_rng(6)
-    x = g.normal(size=(30, 12)) @ g.normal(size=(12, 80))
-    omega = g.normal(size=(80, 40))
-    v = decontaminate.latent(x.T @ (x @ omega), omega)
-    assert v.shape[1] >= 12 and np.allclose(x @ v @ v.T, x, atol=1e-6)
+def dense(space, passages, n_own):
+    """The TF-IDF matrix of passages, the benchmark's n_own first, as latent() weighs it."""
+    at = {x: i for i, x in enumerate(space.vocab.tolist())}
+    x = np.zeros((len(passages), len(at)))
+    for r, p in enumerate(passages):
+        for h in p.tolist():
+            if h in at:
+                x[r, at[h]] += space.weight[at[h]]
+    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
+    if len(passages) > n_own:
+        x[n_own:] *= np.sqrt(n_own / (len(passages) - n_own))
+    return x
+
+
+def test_latent_space_is_the_leading_one_of_the_matrix(spark, monkeypatch):
+    """Fewer directions than passages, which hold what a dense SVD's hold; near passages are those of a plain search."""
+    monkeypatch.setattr(decontaminate, "RANK", 24)
+    items = next(decontaminate.read_items(decontaminate.passages(bench(spark, [(k, prose(600 + k, 40)) for k in range(60)]))))
+    rows = [(k, prose(600 + k % 60, 30) + " " + prose(k, 50) if k % 2 else prose(2000 + k, 90), "en") for k in range(160)]
+    df, total = decontaminate.frequencies(docs(spark, rows), items)
+    weight = np.log((1 + total) / (1 + df)) + 0.01
+    near = decontaminate.near_passages(docs(spark, rows), items, weight)
+    found = sorted(bytes(r["words"]) for r in near.collect())
+    cut_, w = [], next(K3 for _, _, K3 in kernel.each_chunk(pa.array([t for _, t, _ in rows])))
+    for x, y in zip(w.ptr, w.ptr[1:]):
+        cut_ += [w.full[i : min(i + 64, y)] for i in range(x, y, 64)]
+    own = [items.words[k][x:y] for k, x, y in items.passages()]
+    plain = decontaminate.Space(items.vocab, weight)
+    cos = dense(plain, cut_, len(cut_)) @ dense(plain, own, len(own)).T
+    assert found == sorted(p.tobytes() for p, c in zip(cut_, cos.max(1)) if c >= decontaminate.NEAR) and 0 < len(found) < len(cut_)
+    extra, n = decontaminate.extra_words(near, items.vocab)
+    counted = Counter(x for p in found for x in set(np.frombuffer(p, np.uint64).tolist()) - set(items.vocab.tolist()))
+    assert dict(zip(extra.tolist(), n.tolist())) == {x: c for x, c in counted.items() if c >= 3}
+    space = decontaminate.Space(np.concatenate([items.vocab, extra]), np.concatenate([weight, np.ones(len(extra))]))
+    v = decontaminate.latent(near, len(found), items, space)
+    assert v.shape[1] == 24 < len(own) and np.allclose(v.T @ v, np.eye(24), atol=1e-4)
+    x = dense(space, [*own, *(np.frombuffer(p, np.uint64) for p in found)], len(own))
+    best = (np.linalg.svd(x, compute_uv=False)[:24] ** 2).sum()
+    assert ((x @ v) ** 2).sum() >= 0.97 * best
+    assert np.linalg.norm(x - x @ v @ v.T) > 0.2 * np.linalg.norm(x)  # it does leave something out
+
+
+def test_paraphrases_that_plain_vectors_miss(spark):
+    """Items whose rare words are all exchanged for others that stand beside them in the corpus."""
+    g = random.Random(12)
+    common = [f"plain{i}" for i in range(120)]
+    items, changed, rows = [], [], [(k, " ".join(g.choices(common, k=12) + [f"filler{g.randrange(3000)}" for _ in range(80)]), "en") for k in range(300)]
+    for k in range(30):
+        w = [g.choice(common) if i % 2 == 0 or i > 31 else f"rare{k}n{i}" for i in range(40)]
+        items.append((k, " ".join(w)))
+        changed.append([x.replace("rare", "other") for x in w])
+        for c in range(4):
+            beside = [x for i in range(1, 32, 2) for x in (f"rare{k}n{i}", f"other{k}n{i}")]
+            g.shuffle(beside)
+            rows.append((1000 + 10 * k + c, " ".join(beside), "en"))
+    rows += [(2000 + k, " ".join([f"filler{i}" for i in range(20)] + w + [f"filler{i}" for i in range(30, 50)]), "en") for k, w in enumerate(changed)]
+    rows += [(3000 + k, " ".join(w[:24] + g.sample(w[24:], 16)[:4] + [f"filler{i}" for i in range(30)]), "en") for k, w in enumerate(changed)]
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(docs(spark, rows), bench(spark, items)).collect()}
+    assert {d for d, _ in got} == {2000 + k for k in range(30)} and all(got[2000 + k, k]["cosine"] >= decontaminate.COSINE and got[2000 + k, k]["answer"] for k in range(30))
+    lot = next(decontaminate.read_items(decontaminate.passages(bench(spark, items))))
+    df, total = decontaminate.frequencies(docs(spark, rows), lot)
+    weight = np.log((1 + total) / (1 + df)) + 0.01
+    plain = decontaminate.Space(lot.vocab, weight)
+    w = next(x for _, _, x in kernel.each_chunk(pa.array([" ".join(x) for x in changed])))
+    hashes = [w.full[x:y] for x, y in zip(w.ptr, w.ptr[1:])]
+    cos = np.einsum("ij,ij->i", dense(plain, hashes, 30), dense(plain, lot.words, 30))  # of the paraphrase alone, words that the items lack left out
+    norm = [np.sqrt(sum((weight[list(lot.vocab).index(x)] if x in set(lot.vocab.tolist()) else np.log(1 + total)) ** 2 for x in h.tolist())) for h in hashes]
+    own = [np.sqrt(sum(weight[list(lot.vocab).index(x)] ** 2 for x in h.tolist() if x in set(lot.vocab.tolist()))) for h in hashes]
+    assert max(c * b / a for c, a, b in zip(cos, norm, own)) < decontaminate.COSINE
 
 
 def test_leaks_edges(spark, edge, none):
