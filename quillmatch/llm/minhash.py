@@ -7,9 +7,15 @@ are compared (each is reached from the others by a search over the verified rela
 costs one pass however large it is); keys with the same members are compared once. Groups are the connected
 components of the verified pairs, by alternating large-star and small-star steps with a checkpoint after each.
 
+A key that more than ``HOT`` nodes share goes in parts of about so many: each part with three leaders of the key, which
+link what is like them across parts; then what isn't in the key's largest component yet is compared with all its nodes,
+in blocks. The links are those of comparing all, and no task holds more than two parts.
+
 Documents with one signature are one node until the end, so thousands of exact copies cost no comparisons.
-A text that is null or has no words has no signature and no duplicates. Rows of the same doc_id are one document,
-with the rows' smallest signature hash as its node. Null doc_ids have no name to group under and are left out.
+A text that is null or has no words has no signature and no duplicates. Rows of one doc_id are one document, whatever
+their texts, and link what each of them is like. Rows without doc_id are documents by their text; they link others and are
+deduplicated too, but have no name under which ``groups`` could list them. There are no ties: the smallest doc_id is a
+group's own, and rows that repeat are ordered by all their columns.
 """
 
 from __future__ import annotations
@@ -18,8 +24,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernel as K
 from .common import cut, map_arrow
@@ -27,6 +34,8 @@ from .common import cut, map_arrow
 MINIMA, BANDS, SHINGLE, AGREE = 128, 32, 3, 0.5
 #: Ids up to this number are broadcast; more are joined by shuffles.
 BROADCAST_IDS = 2_000_000
+#: Nodes of a key beyond which it goes in parts.
+HOT = 4096
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2)
@@ -58,11 +67,17 @@ def minima(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return out
 
 
+def named(docs: DataFrame) -> tuple[Column, Column]:
+    """Two longs that name a row's document: its doc_id and 0, or 0 and a hash of its text where it has none."""
+    text = F.xxhash64(F.col("text").cast("string"))
+    none = F.col("doc_id").isNull()
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.when(none, F.when(text == 0, 1).otherwise(text)).otherwise(0)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, node (hash of the signature), sig (128 minima, 16 bits of each) and bands (keys) of documents with words."""
+    """id and own (see ``named``), node (hash of the signature), sig (128 minima, 16 bits of each) and bands (keys) of rows with words."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         for i, j, w in K.each_chunk(batch.column("text")):
             h, ptr = K.shingles(w, SHINGLE)
             some = np.flatnonzero(np.diff(ptr) > 0)
@@ -79,14 +94,16 @@ def signatures(docs: DataFrame) -> DataFrame:
                 node[:, 0] = K.mix(node[:, 0] * np.uint64(0x9E3779B97F4A7C15) + keys[:, k])
             sig = K.mix(m.astype(np.uint64)).astype(np.uint16)
             yield {
-                "doc_id": pa.array(ids[i:j][some]),
+                "id": batch.column("id").slice(i, j - i).take(pa.array(some)),
+                "own": batch.column("own").slice(i, j - i).take(pa.array(some)),
                 "node": pa.array(node[:, 0].view(np.int64)),
                 "sig": pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * MINIMA), len(m), [None, pa.py_buffer(np.ascontiguousarray(sig))]).cast(pa.binary()),
                 "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64).ravel())),
             }
 
-    named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    return map_arrow(named, run, "doc_id long, node long, sig binary, bands array<long>")
+    ident, own = named(docs)
+    rows = docs.select(ident.alias("id"), own.alias("own"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    return map_arrow(rows, run, "id long, own long, node long, sig binary, bands array<long>")
 
 
 def tie(sig: np.ndarray) -> list[tuple[int, int]]:
@@ -104,15 +121,90 @@ def tie(sig: np.ndarray) -> list[tuple[int, int]]:
 
 
 def verified(sigs: DataFrame) -> DataFrame:
-    """Distinct edges (u, v), u < v, that span the verified pairs of nodes."""
-    nodes = sigs.groupBy("node").agg(F.first("sig").alias("sig"))
+    """Edges (u, v), u < v, that span the verified pairs of nodes."""
+    nodes = cut(sigs.groupBy("node").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands")))  # one signature has the same bands everywhere
+    met = nodes.select(F.explode("bands").alias("key"), "node")
+    size = F.count("*").alias("n")
+    hot = cut(met.groupBy("key").agg(size).filter(F.col("n") > HOT))
+    if not hot.count():
+        return spanning(_cold(met), nodes)
+    hot_keys = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
+    first = spanning(_cold(met.join(hot_keys.select("key"), "key", "left_anti")), nodes)
+    return first.unionByName(_hot(met.join(hot_keys, "key"), nodes, first)).distinct()
+
+
+def _cold(met: DataFrame) -> DataFrame:
+    """meeting and node: members of the keys that several nodes share, those of equal keys once."""
     meet = (
-        sigs.select(F.explode("bands").alias("key"), "node").groupBy("key").agg(F.collect_set("node").alias("members"))
+        met.groupBy("key").agg(F.collect_set("node").alias("members"))  # HOT at most
         .filter(F.size("members") > 1).select(F.array_sort("members").alias("members"))
         .groupBy(F.xxhash64("members").alias("meeting")).agg(F.first("members").alias("members"))
     )
-    rows = meet.select("meeting", F.explode("members").alias("node")).join(nodes, "node")
-    sorted_rows = rows.select("meeting", "node", "sig").repartition("meeting").sortWithinPartitions("meeting", "node")
+    return meet.select("meeting", F.explode("members").alias("node"))
+
+
+def _hot(met: DataFrame, nodes: DataFrame, first: DataFrame) -> DataFrame:
+    """Edges among the nodes of hot keys (key, node, n), given the edges that others have found."""
+    h = F.xxhash64("node")
+    leaders = F.array_distinct(F.array(F.min("node"), F.max("node"), F.min_by("node", h)))
+    keys = met.groupBy("key").agg(F.first("n").alias("n"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h)).alias("y"), leaders.alias("leaders"))
+    keys = cut(keys.groupBy("n", "x", "y").agg(F.min(F.struct("key", "leaders")).alias("k")).select("k.key", "k.leaders", F.ceil(F.col("n") / HOT).cast("int").alias("parts")))
+    few = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+    part = lambda of: F.pmod(F.xxhash64("node", F.lit(7)), F.col(of)).cast("int")
+    own = cut(met.select("key", "node").join(few.select("key", "parts"), "key"))
+    lead = keys.select("key", F.explode("leaders").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    rows = own.select("key", "node", part("parts").alias("part")).unionByName(lead.select("key", "node", "part")).distinct()
+    inner = cut(spanning(rows.select(F.xxhash64("key", "part").alias("meeting"), "node"), nodes))
+    roots = components(first.unionByName(inner))
+    label = F.coalesce("root", "node").alias("label")
+    labelled = cut(own.join(roots, "node", "left").select("key", "node", "parts", label))
+    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    left = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("labels")).filter("labels > 1")
+    left = cut(left.select("key", F.col("top.label").alias("most"), F.ceil((F.col("all") - F.col("top.n")) / HOT).cast("int").alias("blocks")))
+    if not left.count():
+        return inner
+    # every node outside a key's largest component against all nodes of the key, in blocks
+    there = labelled.join(F.broadcast(left) if left.count() <= BROADCAST_IDS else left, "key")
+    rest = there.filter("label <> most").select("key", "node", "label", F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"))
+    every = there.select("key", "node", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part("parts").alias("part"), F.lit(False).alias("asks"))
+    both = rest.unionByName(every).select(F.xxhash64("key", "block", "part").alias("meeting"), "node", "label", "asks")
+    return inner.unionByName(across(both, nodes))
+
+
+def across(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges from nodes that ask to nodes of their meeting with another label, one to each such label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asking: list[tuple] = []
+        now = None
+        for b in batches:
+            g, n, label = (b.column(c).to_numpy() for c in ("meeting", "node", "label"))
+            asks = b.column("asks").to_numpy(zero_copy_only=False)
+            s = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(len(g), MINIMA)
+            at = np.flatnonzero(np.append(True, g[1:] != g[:-1])).tolist() if len(g) else []
+            for x, y in zip(at, [*at[1:], len(g)]):
+                if g[x] != now:
+                    now, asking = g[x], []
+                asking += [(n[k], label[k], s[k].copy()) for k in range(x, y) if asks[k]]  # they come first
+                other = np.arange(x, y)[~asks[x:y]]
+                u, v = [], []
+                for node, own, sig in asking if len(other) else ():
+                    hit = other[(label[other] != own) & ((s[other] == sig).mean(1) >= AGREE)]
+                    if len(hit):
+                        _, one = np.unique(label[hit], return_index=True)
+                        u += [node] * len(one)
+                        v += n[hit[one]].tolist()
+                if u:
+                    u, v = np.array(u, np.int64), np.array(v, np.int64)
+                    yield pa.record_batch({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
+
+    joined = rows.join(nodes.select("node", "sig"), "node").select("meeting", "node", "label", "asks", "sig")
+    return joined.repartition("meeting").sortWithinPartitions("meeting", F.desc("asks"), "node").mapInArrow(run, "u long, v long").distinct()
+
+
+def spanning(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct edges (u, v), u < v, that span the verified pairs of nodes with a meeting in common."""
+    sorted_rows = rows.join(nodes.select("node", "sig"), "node").select("meeting", "node", "sig").repartition("meeting").sortWithinPartitions("meeting", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -170,14 +262,21 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """id, own and root of every document with words: those of one root are near duplicates, or linked by such."""
+    sigs = cut(signatures(docs))
+    documents = sigs.groupBy("id", "own").agg(F.min("node").alias("node"), F.max("node").alias("top"))
+    several = documents.filter("node <> top").select("id", "own", F.col("node").alias("u"))  # one document of several texts
+    same = sigs.join(several, ["id", "own"]).filter("node <> u").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v"))
+    roots = components(verified(sigs).unionByName(same))
+    return documents.join(roots, "node", "left").select("id", "own", F.coalesce("root", "node").alias("root"))
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id and rep_id (the smallest doc_id of its group) of every document that has a near duplicate."""
-    sigs = cut(signatures(docs))
-    roots = components(verified(sigs))
-    own = sigs.groupBy("doc_id").agg(F.min("node").alias("node"))
-    placed = own.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    sizes = placed.groupBy("root").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n")).filter("n > 1")
-    return placed.join(sizes, "root").select("doc_id", "rep_id")
+    there = placed(docs).filter("own = 0").select(F.col("id").alias("doc_id"), "root")
+    sizes = there.groupBy("root").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n")).filter("n > 1")
+    return there.join(sizes, "root").select("doc_id", "rep_id")
 
 
 def _small(df: DataFrame) -> tuple[DataFrame, int]:
@@ -187,14 +286,36 @@ def _small(df: DataFrame) -> tuple[DataFrame, int]:
     return (F.broadcast(kept) if n <= BROADCAST_IDS else kept), n
 
 
+def _fresh(docs: DataFrame, n: int) -> list[str]:
+    """Names that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    return [c for c in (f"_{k}" for k in range(n + len(taken))) if c not in taken][:n]
+
+
+def _ordered(docs: DataFrame) -> list[Column]:
+    """The columns by which rows can be put in order."""
+    def can(t: T.DataType) -> bool:
+        return can(t.elementType) if isinstance(t, T.ArrayType) else all(can(f.dataType) for f in t.fields) if isinstance(t, T.StructType) else not isinstance(t, (T.MapType, T.VariantType))
+
+    return [F.col(f"`{f.name}`") for f in docs.schema if can(f.dataType)]
+
+
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs without the documents whose group has a smaller doc_id. Of several rows of one kept doc_id and text one
-    stays; rows without doc_id, or without words, stay as they are."""
-    gone, _ = _small(groups(docs).filter("doc_id <> rep_id").select("doc_id"))
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated, again = _small(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    """docs with one document of each group: the one of the smallest doc_id, or where none has one, of the smallest hash
+    of its text. Of several rows of one kept document and text the first in the order of all columns stays; rows without
+    words, or without text, stay as they are."""
+    ident, own, rank = _fresh(docs, 3)
+    there = cut(placed(docs))
+    rep = F.min(F.struct(F.col("own") != 0, "id", "own")).alias("r")
+    reps = there.groupBy("root").agg(rep, F.count("*").alias("n")).filter("n > 1").select("root", F.col("r.id").alias("rep"), F.col("r.own").alias("rep_own"))
+    gone, _ = _small(there.join(reps, "root").filter("id <> rep OR own <> rep_own").select(F.col("id").alias(ident), F.col("own").alias(own)))
+    a, b = named(docs)
+    kept = docs.withColumn(ident, a).withColumn(own, b)
+    repeated = kept.filter("text IS NOT NULL").groupBy(ident, own).agg(F.count("*").alias("n")).filter("n > 1").select(ident, own)
+    repeated, again = _small(repeated)
+    kept = kept.join(gone, [ident, own], "left_anti")
     if not again:
-        return kept
-    w = Window.partitionBy("doc_id", "text").orderBy(F.lit(0))
-    once = kept.join(repeated, "doc_id", "left_semi").withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+        return kept.select(docs.columns)
+    w = Window.partitionBy(ident, own, "text").orderBy(*_ordered(docs))
+    once = kept.join(repeated, [ident, own], "left_semi").withColumn(rank, F.row_number().over(w)).filter((F.col(rank) == 1) | F.col("text").isNull())
+    return kept.join(repeated, [ident, own], "left_anti").select(docs.columns).unionByName(once.select(docs.columns))

@@ -145,6 +145,52 @@ def test_a_group_of_hundreds_and_a_chain(spark):
     assert sorted(minhash.tie(sig.astype(np.uint16))) == [(0, 1), (1, 2)]
 
 
+def union(pairs, n):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(x) for x in range(n)]
+
+
+@pytest.mark.parametrize("hot", [3, 8, 30, 4096])
+def test_hot_keys_lose_no_link(spark, monkeypatch, hot):
+    """Keys that all or many share, with clusters, chains and loners: the components of comparing all who meet."""
+    monkeypatch.setattr(minhash, "HOT", hot)
+    g = np.random.default_rng(4)
+    sig = g.integers(0, 60_000, (150, 128)).astype(np.uint16)
+    for k in range(1, 60):  # a cluster
+        sig[k] = np.where(g.random(128) < 0.2, sig[k], sig[0])
+    for k in range(61, 100):  # a chain, whose ends have little in common
+        sig[k] = sig[k - 1]
+        sig[k, g.permutation(128)[:55]] = g.integers(0, 60_000, 55)
+    for k in range(101, 110, 2):  # pairs
+        sig[k] = sig[k - 1]
+        sig[k, :50] += 1
+    bands = [[1 if k < 140 else 2, 3 if k % 2 else 4, 5 if k < 130 else 1000 + k, *range(10_000 + 100 * k, 10_005 + 100 * k)] for k in range(150)]
+    sigs = spark.createDataFrame([(k, 0, k, bytearray(sig[k].tobytes()), b) for k, b in enumerate(bands)], "id long, own long, node long, sig binary, bands array<long>")
+    met = [(a, b) for a in range(150) for b in range(a) if set(bands[a]) & set(bands[b]) and (sig[a] == sig[b]).mean() >= 0.5]
+    edges = {(r["u"], r["v"]) for r in minhash.verified(sigs).collect()}
+    assert edges <= {(b, a) for a, b in met} and union(edges, 150) == union(met, 150)
+
+
+def test_documents_of_several_texts_and_without_ids(spark):
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    rows = [(1, a, "en"), (1, b, "en"), (2, b, "en"), (3, a, "en"), (1, a, "en"), (None, c, "en"), (None, c, "de"), (None, b, "en"), (4, prose(4, 80), "en")]
+    frame = docs(spark, rows).withColumnRenamed("key", "__n").withColumnRenamed("root", "_0").withColumnRenamed("n", "_1")
+    assert {(r["doc_id"], r["rep_id"]) for r in minhash.groups(frame).collect()} == {(1, 1), (2, 1), (3, 1)}
+    for _ in range(2):
+        kept = minhash.dedup(frame.repartition(3))
+        assert kept.columns == frame.columns
+        left = sorted(((r["doc_id"] or 0, r["text"], r["lang"]) for r in kept.collect()))
+        assert left == sorted([(1, a, "en"), (1, b, "en"), (0, c, "de"), (4, prose(4, 80), "en")])
+
+
 def test_components_match_union_find(spark):
     g = random.Random(3)
     edges = [(g.randrange(400), g.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(500, 560)]
