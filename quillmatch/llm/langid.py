@@ -3,7 +3,7 @@
 Features are the byte bigrams and trigrams of a text's folded words (anything between words is one blank), hashed
 to 8192 cells; a cell weighs sqrt(count) * idf and vectors are normalised. Document frequencies are counted over
 all documents. Each language gets several centroids by spherical k-means over at most ``PER_LANGUAGE`` labelled
-documents (the only bounded step). A document takes the language of its nearest centroid by cosine.
+documents of ``LANGUAGE_BYTES`` together (one at least; the only bounded step), where its documents are. A document takes the language of its nearest centroid by cosine.
 
 Rejection: labelled documents that come out as labelled give, for each class of n-gram numbers (a factor of two), a
 high quantile of their distances (``HIGH``) and a median absolute deviation; a document is rejected if it lies further
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .common import cut, fold_arrow, map_arrow, tidy
 
-CELLS, CENTROIDS, PER_LANGUAGE, ROUNDS = 1 << 13, 3, 500, 8
+CELLS, CENTROIDS, PER_LANGUAGE, LANGUAGE_BYTES, ROUNDS = 1 << 13, 3, 500, 16 << 20, 8
 HIGH, LEAST, CLASSES, FEW = 0.995, 20, 32, 150
 _ROWS, _SIZE, _LONG = 256, 1 << 19, 1 << 21
 
@@ -139,21 +139,22 @@ class Model:
 def train(docs: DataFrame) -> Model:
     df, total = frequencies(docs)
     idf = (np.log((1 + total) / (1 + df)) + 0.05).astype(np.float32)
-    named = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    there = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    some = named.select("doc_id", "lang").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= PER_LANGUAGE).select("doc_id").distinct()
-    rows = named.select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").toArrow()  # a bounded number of ids a language
-    centroids, langs = [], []
-    names = np.array(rows.column("lang").to_pylist(), object)
-    for lang in sorted(set(names)):
-        own = rows.filter(pa.array(names == lang)).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    some = there.select("doc_id", "lang", F.octet_length("text").alias("bytes")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= PER_LANGUAGE)
+    some = some.withColumn("held", F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter((F.col("held") <= LANGUAGE_BYTES) | (F.col("rank") == 1)).select("doc_id", "lang").distinct()
+    rows = there.join(F.broadcast(some), ["doc_id", "lang"])  # a bounded number of ids a language
+
+    def centre(own: pa.Table) -> pa.Table:
+        own = own.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         x = vectors(np.concatenate([c for _, _, c in _pieces(own.column("text").combine_chunks())]), idf)
         x = x[np.linalg.norm(x, axis=1) > 0]
-        if len(x):
-            c = cluster(x, CENTROIDS)
-            centroids.append(c)
-            langs += [lang] * len(c)
-    return Model(idf, np.concatenate(centroids) if centroids else np.zeros((0, CELLS), np.float32), langs)
+        c = cluster(x, CENTROIDS) if len(x) else np.zeros((0, CELLS), np.float32)
+        return pa.table({"lang": pa.array([own.column("lang")[0].as_py()] * len(c), pa.string()), "centroid": pa.array([r.tobytes() for r in c], pa.binary())})
+
+    made = rows.groupBy("lang").applyInArrow(centre, "lang string, centroid binary").collect()
+    found = sorted(((r["lang"], k, np.frombuffer(bytes(r["centroid"]), np.float32)) for k, r in enumerate(made)), key=lambda x: x[:2])
+    return Model(idf, np.stack([c for _, _, c in found]) if found else np.zeros((0, CELLS), np.float32), [lang for lang, _, _ in found])
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:

@@ -55,8 +55,8 @@ def targets(batch: pa.RecordBatch, ids: np.ndarray | None) -> np.ndarray:
     """Which rows are target documents."""
     if ids is None:
         return batch.column("target").to_numpy(zero_copy_only=False)
-    own = batch.column("doc_id").fill_null(-(1 << 62)).to_numpy()
-    return ids[np.minimum(np.searchsorted(ids, own), len(ids) - 1)] == own if len(ids) else np.zeros(len(own), bool)
+    there, own = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False), batch.column("doc_id").fill_null(0).to_numpy()
+    return there & (ids[np.minimum(np.searchsorted(ids, own), len(ids) - 1)] == own) if len(ids) else np.zeros(len(own), bool)
 
 
 def bigrams(w: K.Words) -> np.ndarray:

@@ -4,8 +4,8 @@ A word's embedding is the sum of four hashed rows: the word and its first 4, 5 a
 stem share most of theirs. Filters one, two and three words wide slide over the text; the maximum of each filter
 over the whole text goes through a ReLU and a logistic layer.
 
-Training takes at most ``TRAIN_TOXIC`` toxic and ``TRAIN_CLEAN`` clean labelled documents, and of either at most half
-of those there are. Thresholds come from every labelled document outside that sample: per language the score with the
+Training takes at most ``TRAIN_TOXIC`` toxic and ``TRAIN_CLEAN`` clean labelled documents, of either at most half of those
+there are and ``TRAIN_BYTES`` of text (one document at least), in the order of a hash of their ids. Thresholds come from every labelled document outside that sample: per language the score with the
 best F1, or the pooled one where a language has fewer than ``LEAST`` toxic or clean labels. A document is toxic if
 it scores its language's threshold or more.
 
@@ -20,17 +20,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import map_arrow, tidy
+from .common import cut, map_arrow, tidy
 
 ROWS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 16, (1, 2, 3)
 TRAIN_TOXIC, TRAIN_CLEAN, EPOCHS, BATCH, LEAST = 1000, 2000, 12, 32, 20
 PREFIXES = (4, 5, 7)
 PAD = max(WIDTHS) - 1
 BINS = 10_000
+TRAIN_BYTES = 64 << 20
+#: Labelled doc_ids up to this number are broadcast, so that only their documents are scored for the thresholds; beyond it all are.
+SHIP_LABELS = 2_000_000
 #: Words of a text beyond which its parts are scored one after the other; bounds memory only.
 LONG = 100_000
 _SIZE = 1 << 17
@@ -159,26 +162,40 @@ class Net:
         return self
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id and toxic (0 or 1) of the documents with a label, one row each."""
-    known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    return docs.select(F.col("doc_id").cast("long")).distinct().join(known, "doc_id")
+def known(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic (0 or 1) of what is labelled, one row each."""
+    there = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
+    return there.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+
+
+def sample(docs: DataFrame, labels: DataFrame) -> dict[int, int]:
+    """The doc_ids to train on, with their labels; empty unless there are both kinds."""
+    there = docs.filter("text IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("bytes")).join(known(labels), "doc_id")
+    there = cut(there)
+    total = {r["toxic"]: r["n"] for r in there.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    out: dict[int, int] = {}
+    for kind, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN)):
+        if not total.get(kind):
+            return {}
+        own = there.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(min(most, -(-total[kind] // 2))).collect()
+        held = 0
+        for r in own:
+            held += r["bytes"]
+            if held > TRAIN_BYTES and r is not own[0]:
+                break
+            out[r["doc_id"]] = kind
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Net | None, list[int]]:
     """The net, and the doc_ids it was trained on."""
-    there = labelled(docs, labels)
-    total = {r["toxic"]: r["n"] for r in there.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if not total.get(0) or not total.get(1):
+    some = sample(docs, labels)
+    if not some:
         return None, []
-    w = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    bound = F.when(F.col("toxic") == 1, min(TRAIN_TOXIC, -(-total[1] // 2))).otherwise(min(TRAIN_CLEAN, -(-total[0] // 2)))
-    some = there.withColumn("rank", F.row_number().over(w)).filter((F.col("rank") <= max(TRAIN_TOXIC, TRAIN_CLEAN)) & (F.col("rank") <= bound)).select("doc_id", "toxic")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").join(F.broadcast(some), "doc_id")  # as many ids as the bound, at most
+    ids = docs.sparkSession.createDataFrame(list(some.items()), "doc_id long, toxic int")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").join(F.broadcast(ids), "doc_id")  # as many ids as the bound, at most
     rows = texts.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    if not rows.num_rows:
-        return None, []
-    return Net().fit(rows.column("text").to_pylist(), rows.column("toxic").to_numpy()), sorted(set(rows.column("doc_id").to_pylist()))
+    return Net().fit(rows.column("text").to_pylist(), rows.column("toxic").to_numpy()), sorted(some)
 
 
 def scores(docs: DataFrame, net: Net | None) -> DataFrame:
@@ -212,10 +229,9 @@ def best_threshold(score_bin: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> f
 
 def thresholds(scored: DataFrame, labels: DataFrame, trained: list[int]) -> tuple[dict[str, float], float]:
     """By language, and pooled; from all labelled documents that weren't trained on."""
-    known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     used = scored.sparkSession.createDataFrame([(x,) for x in trained], "doc_id long")
     counted = (
-        scored.select("doc_id", "lang", F.round(F.col("score") * BINS).cast("int").alias("bin")).join(known, "doc_id").join(used, "doc_id", "left_anti")
+        scored.select("doc_id", "lang", F.round(F.col("score") * BINS).cast("int").alias("bin")).join(known(labels), "doc_id").join(used, "doc_id", "left_anti")
         .groupBy("lang", "bin", "toxic").agg(F.count("*").alias("n")).collect()
     )
     if not any(r["toxic"] == 1 for r in counted):
@@ -237,8 +253,6 @@ def _limit(by: dict[str, float], pooled: float) -> F.Column:
 
 def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, score and toxic of every row of docs."""
-    from .common import cut
-
     net, trained = train(docs, labels)
     scored = cut(scores(docs, net))
     by, pooled = thresholds(scored, labels, trained)
@@ -248,7 +262,9 @@ def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not toxic, with their columns as they are."""
     net, trained = train(docs, labels)
-    by, pooled = thresholds(scores(docs, net), labels, trained)
+    ids = cut(known(labels).select("doc_id"))
+    few = docs.join(F.broadcast(ids), docs["doc_id"].cast("long") == ids["doc_id"], "left_semi") if ids.count() <= SHIP_LABELS else docs
+    by, pooled = thresholds(scores(few, net), labels, trained)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
