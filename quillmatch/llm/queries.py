@@ -64,18 +64,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_byte_bpe, op2_media, op3_warc, op4_minhash_near_dedup, op5_lm_scoring, op6_url_filter, op7_toxicity, op8_language_id, op9_token_output, op10_decontamination)
 }
-_RULES = ", ".join(f"({i}, '{e}', '{a}', {p})" for i, e, a, p in urlfilter.DEFAULT_RULES)
+#: Rules whose expressions are written otherwise than in their canonical form.
+_CANONICAL = {10: "therti.example.net/fr/", 11: "blog.tionsh.example.com/en/5485/", 14: "tiontion.example.net/"}
+_RULES = ", ".join(f"({i}, '{_CANONICAL.get(i, e)}', '{a}', {p})" for i, e, a, p in urlfilter.DEFAULT_RULES)
 
 ORACLE: dict[str, str] = {
     "op3_warc": "SELECT page_id, url, octet_length(encode(html)) AS bytes, md5(html) AS digest FROM pages WHERE html IS NOT NULL",
     # A URL is under an expression if its host is the expression's or ends with a dot and it, and its path begins with
-    # the expression's path, which is a directory in all rules here; tables have no dot segments or escapes.
+    # the expression's path where that is a directory, or is it, with or without the query. Tables have no dot segments.
     "op6_url_filter": f"""
-WITH rules(rule_id, expression, action, priority) AS (VALUES {_RULES}),
-parts AS (SELECT DISTINCT url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages WHERE url IS NOT NULL),
+WITH listed(rule_id, expression, action, priority) AS (VALUES {_RULES}),
+rules AS (SELECT *, split_part(expression, '/', 1) AS h, substr(expression, strpos(expression, '/')) AS t FROM listed),
+parts AS (SELECT DISTINCT url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS bare, regexp_extract(url, '([?][^#]*)', 1) AS q FROM pages WHERE url IS NOT NULL),
+whole AS (SELECT url, host, q, CASE WHEN bare = '' THEN '/' ELSE bare END AS path FROM parts),
 met AS (
   SELECT url, r.rule_id, r.action, row_number() OVER (PARTITION BY url ORDER BY priority DESC, length(expression) DESC, action = 'allow' DESC, rule_id) AS n
-  FROM parts JOIN rules r ON (host = split_part(expression, '/', 1) OR ends_with(host, '.' || split_part(expression, '/', 1)))
-    AND starts_with(CASE WHEN path = '' THEN '/' ELSE path END, substr(expression, strpos(expression, '/'))))
+  FROM whole JOIN rules r ON (host = h OR ends_with(host, '.' || h)) AND (path = t OR path || q = t OR ends_with(t, '/') AND starts_with(path, t)))
 SELECT page_id, p.url, rule_id, coalesce(action, 'allow') AS action FROM pages p LEFT JOIN met ON p.url = met.url AND n = 1""",
 }

@@ -5,7 +5,7 @@ import io
 import random
 import re
 import struct
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -228,6 +228,9 @@ def test_warc_without_pushdown_and_over_again(spark, tmp_path):
         assert [r["page_id"] for r in hosted.filter("type = 'response'").collect()] == [1]
 
 
+LENGTHS, DEPTHS = [1, 2, 3, 4, 6], [0, 1, 2, 3, 5]
+
+
 def brute_expressions(url):
     rest = url.strip().split("://", 1)[-1].split("#")[0]
     cut = min([rest.find(x) for x in "/?" if x in rest] or [len(rest)])
@@ -237,22 +240,38 @@ def brute_expressions(url):
     path, q, query = tail.partition("?")
     path = "/" + path.lstrip("/")
     labels_ = host.split(".")
-    hosts = {host} | {".".join(labels_[-k:]) for k in range(2, 6) if k < len(labels_)}
+    hosts = {host} | {".".join(labels_[-k:]) for k in LENGTHS if k < len(labels_)}
     dirs = path.split("/")[1:-1]
-    paths = {path + q + query, path, "/"} | {"/" + "".join(d + "/" for d in dirs[:k]) for k in range(4)}
+    paths = {path + q + query, path} | {"/" + "".join(d + "/" for d in dirs[:k]) for k in DEPTHS if k <= len(dirs)}
     return {h + p for h in hosts for p in paths}
 
 
-URLS = ["http://a.b.c.d.e.f.example.com:80/1/2/3/4.html?x=1#f", "https://user@Spam.Example/", "example.com", "http://e.com/a/b", "http://e.com?q", "ftp://x.y.z/p/"]
+URLS = ["http://a.b.c.d.e.f.example.com:80/1/2/3/4/5/6.html?x=1#f", "https://user@Spam.Example/", "example.com", "http://e.com/a/b", "http://e.com?q", "ftp://x.y.z/p/"]
 
 
 def test_url_expressions_match_a_plain_version(spark):
     df = spark.createDataFrame([(u,) for u in URLS], "url string")
-    for r in df.select("url", urlfilter.expressions(df["url"]).alias("e")).collect():
-        assert set(r["e"]) == brute_expressions(r["url"])
-    odd = spark.createDataFrame([("http://h.com//a/./b/../c%2Ehtml",), ("http://1.2.3.4/x",), ("",), ("http://",)], "url string")
-    got = {r["url"]: set(r["e"]) for r in odd.select("url", urlfilter.expressions(odd["url"]).alias("e")).collect()}
+    made = defaultdict(list)
+    for r in urlfilter.expressions(df, LENGTHS, DEPTHS).collect():
+        made[r["url"]].append(r["asked"])
+    assert all(set(made[u]) == brute_expressions(u) and len(set(made[u])) == len(made[u]) for u in URLS)
+    deep = "http://h.com/" + "x/../" * 9 + "a/./b/../../../c/../d%2Ehtml"
+    odd = spark.createDataFrame([("http://h.com//a/./b/../c%2Ehtml",), ("http://1.2.3.4/x",), ("http://[::ffff:1.2.3.4]:8080/x",), ("",), ("http://",), (deep,), ("http://h.com/a/b/..",), ("http://h.com/..",)], "url string")
+    got = defaultdict(set)
+    for r in urlfilter.expressions(odd, LENGTHS, DEPTHS).collect():
+        got[r["url"]].add(r["asked"])
     assert "h.com/a/c.html" in got["http://h.com//a/./b/../c%2Ehtml"] and got["http://1.2.3.4/x"] == {"1.2.3.4/x", "1.2.3.4/"} and got[""] == got["http://"] == set()
+    assert got["http://[::ffff:1.2.3.4]:8080/x"] == {"[::ffff:1.2.3.4]/x", "[::ffff:1.2.3.4]/"} and "h.com/d.html" in got[deep] and "h.com/a/" in got["http://h.com/a/b/.."] and "h.com/" in got["http://h.com/.."]
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_url_rules_of_any_depth_and_form(spark, monkeypatch, most):
+    monkeypatch.setattr(urlfilter, "BROADCAST_RULES", most)
+    rules = [(1, "a.com/a/b/c/d/", "block", 1), (2, "h5.h4.h3.h2.b.com/", "block", 1), (3, "HTTPS://U@C.com:443//x/../Y/", "block", 1), (4, "D.org", "block", 1), (5, "1.2.3.4", "block", 1), (6, "http://", "block", 9), (7, "e.net/p?Q=1", "block", 1)]
+    urls = ["http://a.com/a/b/c/d/e.html", "http://x.h7.h6.h5.h4.h3.h2.b.com/z", "http://c.com/Y/1", "http://c.com/y/1", "http://www.d.org", "http://1.2.3.4:99/", "http://9.1.2.3.4/", "http://e.net/p?Q=1#x", "http://e.net/p", "http://a.com/a/b/c/d"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [r["rule_id"] for r in urlfilter.apply(pages, urlfilter.rules_table(spark, rules)).orderBy("page_id").collect()]
+    assert got == [1, 2, 3, None, 4, 5, None, 7, None, None]
 
 
 def test_url_rules(spark):
