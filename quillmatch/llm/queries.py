@@ -50,11 +50,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes the token files of all documents, and reads of each what a loader would check."""
+    """Writes the token files of all documents and reads them as a loader would: the range of doc_ids from the metadata,
+    without a page of tokens, and the tokens of that range, beside those of rows without doc_id."""
     manifest = cut(tokenstore.write(table(spark, sf_dir, "documents"), result_path(spark, "tokens")))
-    stored = tokenstore.read(spark, tokenstore.files(manifest))
-    total = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x)
-    return stored.select("doc_id", "lang", "n_tokens", F.get("tokens", F.lit(0)).alias("first_token"), F.get("tokens", F.col("n_tokens") - 1).alias("last_token"), total.alias("token_sum"))
+    names = tokenstore.files(manifest)
+    low, high = tokenstore.read_metadata(spark, names).agg(F.min("doc_id"), F.max("doc_id")).first()
+    ranged = tokenstore.read_tokens(spark, names, low or 0, high or 0)
+    return ranged.unionByName(tokenstore.read(spark, names).filter("doc_id IS NULL")).select("doc_id", "lang", "n_tokens", "tokens")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,16 @@
 """Token ids as Parquet list columns: chosen encodings, row groups and page indexes, for selective reads.
 
 Each task writes one file: doc_id, n_tokens and lang delta-encoded or by dictionary, tokens as a list of int32, by
-dictionary (ids take 16 bits or fewer) or delta. Row groups hold ``ROW_GROUP_TOKENS`` tokens or so, and every page has
+dictionary (ids take 16 bits or fewer) or delta. Every text's ids are decoded and compared with it before they are written.
+With ``order="range"`` rows go by ranges of doc_id (and of a hash of the text, so that one doc_id of very many rows is
+split too) and are in order within a file, so that a range of doc_ids is in few pages of few files; with "none" they stay
+where they are, without a shuffle, and page indexes help only as far as the input was in order. Row groups hold ``ROW_GROUP_TOKENS`` tokens or so, and every page has
 min and max in the page index, so a reader that wants some doc_ids, or no tokens, reads those pages only. Files carry
 the task attempt in their names and are renamed when complete; the manifest names the files of attempts that counted,
 so an executor that is lost, or a second attempt, leaves nothing that a reader would see.
 
 A null text is written with a null list and null n_tokens, an empty one with an empty list. Rows of a repeated or null
-doc_id are written as they come.
+doc_id are all written, null ones first, those of one doc_id in no given order. Reads by range give no rows without doc_id.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ FILE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_toke
 MANIFEST = "file string, row_group int, rows long, tokens long, bytes long"
 
 
-def write(docs: DataFrame, path: str, encoding: str = "dictionary", tokenizer: str = DEFAULT_RANKS) -> DataFrame:
+def write(docs: DataFrame, path: str, encoding: str = "dictionary", tokenizer: str = DEFAULT_RANKS, order: str = "range") -> DataFrame:
     """Writes the token files of docs under path; file, row_group, rows, tokens and bytes of all that counts.
 
     The work happens when the result is computed: compute it once, and keep it."""
@@ -63,7 +66,7 @@ def write(docs: DataFrame, path: str, encoding: str = "dictionary", tokenizer: s
             batch = first
             while batch is not None:
                 there = batch.column("text").is_valid().to_numpy(zero_copy_only=False)
-                for i, j, _, ids, ptr, _, _ in bpe.encode_batch(batch, tokenizer, check=False):
+                for i, j, _, ids, ptr, _, _ in bpe.encode_batch(batch, tokenizer):
                     ok = there[i:j]
                     held.append(
                         pa.RecordBatch.from_arrays(
@@ -80,7 +83,10 @@ def write(docs: DataFrame, path: str, encoding: str = "dictionary", tokenizer: s
         size = where.get_file_info(f"{inner}/{name}").size
         yield pa.RecordBatch.from_pydict({"file": [f"{path}/{name}"] * len(written), "row_group": pa.array(range(len(written)), pa.int32()), "rows": [r for r, _ in written], "tokens": [t for _, t in written], "bytes": [size] * len(written)})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, MANIFEST)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    if order == "range":
+        rows = rows.repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id")
+    return rows.mapInArrow(run, MANIFEST)
 
 
 def files(manifest: DataFrame) -> list[str]:
@@ -93,8 +99,8 @@ def read_metadata(spark: SparkSession, names: list[str]) -> DataFrame:
 
 
 def read_tokens(spark: SparkSession, names: list[str], low: int, high: int) -> DataFrame:
-    """doc_id and tokens of the documents low to high; row groups and pages without any are skipped."""
-    return read(spark, names).filter(F.col("doc_id").between(low, high)).select("doc_id", "tokens")
+    """The rows of the documents low to high; row groups and pages without any are skipped."""
+    return read(spark, names).filter(F.col("doc_id").between(low, high))
 
 
 def read(spark: SparkSession, names: list[str]) -> DataFrame:

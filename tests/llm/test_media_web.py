@@ -56,6 +56,51 @@ def test_formats_round_trip():
     assert media.decode(bmp)[1].tolist() == [[[3, 2, 1], [7, 8, 9], [3, 2, 1]]]
 
 
+def bmp(w, h, bits, packed, body, extra=b"", used=0):
+    start = 54 + len(extra)
+    return b"BM" + struct.pack("<IHHIIiiHHIIiiII", start + len(body), 0, 0, start, 40, w, h, 1, bits, packed, len(body), 0, 0, used, 0) + extra + body
+
+
+def test_rarer_formats():
+    pal = bytes([0, 0, 0, 0, 30, 20, 10, 0, 60, 50, 40, 0])
+    two, one, zero = [40, 50, 60], [10, 20, 30], [0, 0, 0]
+    assert media.decode(b"P7\nWIDTH 2\nHEIGHT 1\nDEPTH 4\nMAXVAL 255\nTUPLTYPE RGB_ALPHA\nENDHDR\n" + bytes([1, 2, 3, 9, 4, 5, 6, 9]))[1].tolist() == [[[1, 2, 3], [4, 5, 6]]]
+    assert media.decode(b"P7\nWIDTH 2\nHEIGHT 1\nDEPTH 2\nMAXVAL 15\nENDHDR\n" + bytes([15, 9, 0, 9]))[1].tolist() == [[[255], [0]]]
+    assert media.decode(bmp(2, 1, 16, 0, struct.pack("<HH", 0x7C00, 0x03FF)))[1].tolist() == [[[255, 0, 0], [0, 255, 255]]]
+    assert media.decode(bmp(1, 1, 16, 3, struct.pack("<HH", 0x07E0, 0), struct.pack("<III", 0xF800, 0x7E0, 0x1F)))[1].tolist() == [[[0, 255, 0]]]
+    assert media.decode(bmp(1, -1, 32, 3, struct.pack("<I", 0x11223344), struct.pack("<III", 0xFF, 0xFF00, 0xFF0000)))[1].tolist() == [[[0x44, 0x33, 0x22]]]
+    rle8 = bytes([2, 1, 1, 2, 0, 0, 0, 3, 1, 2, 0, 0, 0, 1])  # a run of two, one; then three as they are
+    assert media.decode(bmp(3, 2, 8, 1, rle8, pal, 3))[1].tolist() == [[one, two, zero], [one, one, two]]
+    rle4 = bytes([3, 0x12, 0, 0, 0, 2, 1, 0, 1, 0x20, 0, 1])  # alternating; a step to the right, one
+    assert media.decode(bmp(3, 2, 4, 2, rle4, pal, 3))[1].tolist() == [[zero, two, zero], [one, two, one]]
+    core = b"BM" + struct.pack("<IHHI", 0, 0, 0, 32) + struct.pack("<IHHHH", 12, 2, 1, 1, 1) + bytes([0, 0, 0, 30, 20, 10]) + bytes([0b01000000, 0, 0, 0])
+    assert media.decode(core)[1].tolist() == [[zero, one]]
+    for bad in (bmp(9, 9, 8, 1, b"", pal, 3), bmp(60_000, 60_000, 8, 1, rle8, pal, 3), bmp(2, 1, 8, 0, bytes([7, 0, 0, 0]), pal, 3), bmp(1, 1, 5, 0, b"aaaa"), b"BM", b"P7\nWIDTH 1\n", b"P1\n2 1\n0 7\n", b"P2\n1 1\n255\n-3", b"P5\n1000000000 9\n255\n1"):
+        if bad == bmp(9, 9, 8, 1, b"", pal, 3):
+            assert not media.decode(bad)[1].any()
+            continue
+        with pytest.raises(ValueError):
+            media.decode(bad)
+
+
+def test_strips_give_what_the_whole_gives(spark, monkeypatch):
+    g = np.random.default_rng(7)
+    images = [media.encode_netpbm(g.integers(0, 256, (37, 53, 1)).astype(np.uint8), k) for k in (2, 4, 5, 6)] + [media.encode_bmp(g.integers(0, 256, (41, 29, 3)).astype(np.uint8))]
+    images += [b"P6\n20 31\n900\n" + g.integers(0, 900, 20 * 31 * 3).astype(">u2").tobytes(), b"P1\n5 4\n" + b"01101" * 4]
+    df = spark.createDataFrame([(k, bytearray(x)) for k, x in enumerate(images * 3)], "id long, image binary")
+    whole = {(r["id"], bytes(r["tile"]), r["dhash"]) for r in media.process(df, 4).collect()}
+    assert len(whole) == 21
+    for k, x in enumerate(images):
+        a = media.decode(x)[1]
+        tile = next(t for i, t, _ in whole if i == k)
+        assert np.array_equal(np.load(io.BytesIO(tile)), media.rounded(brute_resize(a, 4, 4)))
+        strips = media.open_image(x)
+        monkeypatch.setattr(media, "STRIP", 150)
+        tiles, code = media.reduce((s[None] for s in strips.strips()), strips.h, strips.w, 4)
+        monkeypatch.undo()
+        assert (k, media.npy(tiles[0]), int(code[0])) in whole
+
+
 def test_media_rows(spark):
     a = np.arange(64, dtype=np.uint8).reshape(8, 8, 1) * 4
     good = media.encode_netpbm(a, 5)
@@ -304,7 +349,8 @@ def corpus(spark, tmp_path_factory):
     for k in (25, 31):
         rows.append((2000 + k, prose(k + 5000, 60) + " " + item, "en"))
         planted["leak"].add(2000 + k)
-    rows += [(3000, None, "en"), (3001, "", None), (None, prose(77, 50), "en")]
+    rows += [(3000, None, "en"), (3001, "", None), (None, prose(77, 50), "en"), (None, prose(9077, 50), "en")]
+    planted["copy"].add(None)  # the first words of document 77
     frame = docs(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
     for name, df in (("documents", frame), ("labels", labels(spark, marks)), ("benchmark", spark.createDataFrame([(1, item), (2, None)], "item_id long, text string"))):
         df.coalesce(1).write.parquet(f"{folder}/{name}.parquet")
