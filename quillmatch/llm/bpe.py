@@ -3,7 +3,8 @@
 A byte-level pre-tokeniser cuts a text into pieces that are encoded independently, and most pieces of a
 corpus repeat. So the pieces of a batch are found by vectorised byte classes, each distinct piece goes through
 the library once per worker, and ids are gathered. Texts with characters outside ASCII and the Latin-1 letters
-go to the library whole. Every encoded text is decoded again and compared with its bytes; a text that would
+go to the library whole, and so do all texts if a tokeniser file cuts otherwise than by this pattern, normalises or adds
+spaces (``Codec.cuts``). Every encoded text is decoded again and compared with its bytes; a text that would
 differ is encoded by the library directly, so the result equals the library's in all cases.
 
 A null text gives null ids, offsets and round_trip; an empty one empty lists. Repeated rows give equal rows.
@@ -12,6 +13,7 @@ A null text gives null ids, offsets and round_trip; an empty one empty lists. Re
 from __future__ import annotations
 
 import base64
+import json
 import os
 from array import array
 from collections.abc import Iterator
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +64,13 @@ def ranked(path: str) -> tuple[object, list[bytes]]:
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), pieces
 
 
+def cuts_by_pattern(spec: dict) -> bool:
+    """Whether a tokeniser file cuts texts into pieces by ``PATTERN`` alone, so that pieces can be encoded one by one."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+    return bool(plain and not spec.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout") and not spec.get("truncation") and not spec.get("padding"))
+
+
 class Codec:
     """A tokeniser file with its byte table. One lives in each Python worker."""
 
@@ -76,8 +86,11 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if path.endswith(".tiktoken"):
             self.lib, pieces = ranked(path)
+            self.cuts = True
         else:
             self.lib, pieces = self.library(path)
+            with open(path, encoding="utf-8") as f:
+                self.cuts = cuts_by_pattern(json.load(f))
         self.table = np.frombuffer(b"".join(pieces), np.uint8)
         self.ptr = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
         self.width = np.diff(self.ptr).astype(np.int32)
@@ -133,10 +146,10 @@ class Codec:
 
     def encode(self, buf: np.ndarray, off: np.ndarray, check: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts buf[off[i]:off[i+1]], and each text's range of them."""
-        odd = np.zeros(len(off) - 1, bool)
+        odd = np.full(len(off) - 1, not self.cuts)
         at = np.flatnonzero(_ODD[buf])
         odd[np.searchsorted(off, at, side="right") - 1] = True
-        s = piece_starts(buf, off)
+        s = piece_starts(buf, off) if self.cuts else np.zeros(0, np.int64)
         e = np.append(s[1:], len(buf))
         h = K._hashes(buf, s, e) if len(s) else np.zeros(0, np.uint64)
         owner = np.searchsorted(off, s, side="right") - 1
@@ -182,11 +195,11 @@ class Codec:
 
     def starts(self, ids: np.ndarray, ptr: np.ndarray, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """The character of its text in which each token's first byte lies; two tokens that share a split
-        character carry the same offset."""
+        character carry the same offset. (Of a tokeniser that changes texts, offsets hold where round_trip does.)"""
         at = np.cumsum(self.width[ids], dtype=np.int64) - self.width[ids]
         char = np.cumsum((buf & 0xC0) != 0x80) - 1
         base = np.append(char, len(buf))[off[:-1]]
-        return (np.append(char, 0)[at] - np.repeat(base, np.diff(ptr))).astype(np.int32)
+        return (np.append(char, 0)[np.minimum(at, len(char))] - np.repeat(base, np.diff(ptr))).astype(np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of any id sequence; bytes that form no whole character become U+FFFD."""
@@ -268,14 +281,20 @@ def decode(tokens: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     a null text."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        codec = Codec.of(tokenizer)
-        texts = []
-        for row in batch.column("ids").to_pylist():
-            if row is None:
-                texts.append(None)
-                continue
-            ids = np.array([x for x in row if x is not None], np.int64)
-            texts.append(codec.decode(ids[(ids >= 0) & (ids < len(codec.width))]))
-        yield {"doc_id": batch.column("doc_id"), "text": pa.array(texts, pa.string())}
+        codec, column = Codec.of(tokenizer), batch.column("ids")
+        there = column.is_valid().to_numpy(zero_copy_only=False)
+        size = np.where(there, pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False), 0)
+        flat = column.flatten()
+        ids = flat.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        owner = np.repeat(np.arange(len(column)), size)
+        good = (ids >= 0) & (ids < len(codec.width))
+        ids, owner = ids[good], owner[good]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(owner, codec.width[ids], minlength=len(column)))]).astype(np.int64)
+        raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(ends), pa.py_buffer(codec.bytes_of(ids))])
+        try:
+            text = raw.cast(pa.large_string())
+        except pa.ArrowInvalid:  # some row isn't UTF-8
+            text = pa.array([x.as_py().decode("utf-8", "replace") for x in raw], pa.large_string())
+        yield {"doc_id": batch.column("doc_id"), "text": pc.if_else(pa.array(there), text, pa.scalar(None, pa.large_string()))}
 
     return map_arrow(tokens.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")), run, "doc_id long, text string")

@@ -1,5 +1,6 @@
 """Encoding, near-dedup, language-model scores, toxicity, language ID, decontamination and token files."""
 
+import json
 import random
 import re
 from collections import Counter, defaultdict
@@ -104,6 +105,32 @@ def test_encode_and_decode_edges(spark, edge, none):
     assert half.decode(first) == "�"
 
 
+def test_a_tokeniser_that_cuts_otherwise_goes_through_the_library_whole(spark, tmp_path):
+    """Files with another pre-tokeniser: piece boundaries of their own, spaces added, texts normalised."""
+    from tokenizers import Tokenizer
+
+    with open(bpe.DEFAULT_TOKENIZER, encoding="utf-8") as f:
+        spec = json.load(f)
+    texts = ["it's 12345 words", " two  spaces", "ABC é!!", "", None, "中文 text", "x" * 3000]
+    variants = {"digits": {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, spec["pre_tokenizer"]]}}, "prefix": {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, "lower": {"normalizer": {"type": "Lowercase"}}}
+    for name, change in variants.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(spec | change))
+        lib = Tokenizer.from_file(str(tmp_path / f"{name}.json"))
+        got = bpe.encode(docs(spark, [(k, t, "en") for k, t in enumerate(texts)]), str(tmp_path / f"{name}.json")).orderBy("doc_id").collect()
+        for r, t in zip(got, texts):
+            assert r["ids"] == (None if t is None else lib.encode(t, add_special_tokens=False).ids)
+            if t and (name != "lower" or t == t.lower()) and name != "prefix":
+                assert r["round_trip"] and r["starts"] == [a for a, _ in lib.encode(t, add_special_tokens=False).offsets]
+
+
+def test_decoding_many_rows_equals_one_by_one(spark):
+    codec, g = bpe.Codec.of(bpe.DEFAULT_TOKENIZER), random.Random(5)
+    rows = [(k, None if k % 17 == 0 else [g.choice([None, -3, 60_000, g.randrange(256), g.randrange(50_000)]) for _ in range(g.randrange(12))]) for k in range(400)]
+    got = {r["doc_id"]: r["text"] for r in bpe.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>")).collect()}
+    for k, ids in rows:
+        assert got[k] == (None if ids is None else codec.decode(np.array([x for x in ids if x is not None and 0 <= x < len(codec.width)], np.int64)))
+
+
 def jaccard(a, b):
     def grams(t):
         w = words_of(t)
