@@ -2,7 +2,7 @@
 
 A word's embedding is the sum of four hashed rows: the word and its first 4, 5 and 7 bytes, so inflected forms of a
 stem share most of theirs. Filters one, two and three words wide slide over the text; the maximum of each filter
-over the whole text goes through a ReLU and a logistic layer.
+over the whole text, zeros behind it included, goes through a ReLU and a logistic layer.
 
 Training takes at most ``TRAIN_TOXIC`` toxic and ``TRAIN_CLEAN`` clean labelled documents, of either at most half of those
 there are and ``TRAIN_BYTES`` of text (one document at least), in the order of a hash of their ids. Thresholds come from every labelled document outside that sample: per language the score with the
@@ -89,7 +89,8 @@ class Net:
             top = self.long_top(feats)[None]
         else:
             x, start = self.rows(feats, w.ptr)
-            top = np.concatenate([np.maximum.reduceat(z, start, axis=0) for z in self.maps(x)], axis=1)
+            ranges = np.stack([start, start + n], axis=1).ravel()  # at the zeros behind a text, a filter would see the next one
+            top = np.concatenate([np.maximum(np.maximum.reduceat(z, ranges, axis=0)[::2], 0) for z in self.maps(x)], axis=1)
         v = np.maximum(top + self.bias, 0) @ self.out + self.out_bias
         return np.where(n > 0, 1 / (1 + np.exp(-np.clip(v.astype(np.float64), -30, 30))), 0.0)
 
@@ -120,17 +121,17 @@ class Net:
                 f = feats[:, K.gather(w.ptr, pick)]
                 ptr = np.concatenate([[0], np.cumsum(size[pick])])
                 x, start = self.rows(f, ptr)
-                ends = np.append(start[1:], len(x))
                 maps = np.concatenate(self.maps(x), axis=1)
-                arg = np.stack([maps[s:e].argmax(0) + s for s, e in zip(start, ends)])
-                cols = np.arange(maps.shape[1])
-                pre = maps[arg, cols] + self.bias
+                arg = np.stack([maps[s : s + k].argmax(0) + s for s, k in zip(start, size[pick])])
+                top = maps[arg, np.arange(maps.shape[1])]
+                pre = np.maximum(top, 0) + self.bias
                 act = np.maximum(pre, 0)
                 p = 1 / (1 + np.exp(-np.clip(act @ self.out + self.out_bias, -30, 30)))
                 d = ((p - y[pick]) * weight[pick] / len(pick)).astype(np.float32)
                 d_act = np.where(pre > 0, d[:, None] * self.out, 0)
                 d_out, d_b = d @ act + 1e-4 * self.out, d.sum()
                 d_bias = d_act.sum(0)
+                d_act = np.where(top > 0, d_act, 0)
                 word = np.full(len(x), -1)
                 word[np.arange(ptr[-1]) + PAD * np.repeat(np.arange(len(pick)), np.diff(ptr))] = np.arange(ptr[-1])
                 rows, grads = [], []

@@ -350,6 +350,12 @@ def test_convolution_matches_loops():
     assert np.allclose(net.score(w), want, atol=1e-5)
 
 
+def test_a_score_does_not_depend_on_the_texts_beside_it():
+    net, texts = toxicity.Net(5), [prose(k, 1 + k % 7) for k in range(60)] + ["", "x"]
+    whole = toxicity.score_column(pa.array(texts), net)
+    assert np.allclose(whole, [toxicity.score_column(pa.array([t]), net)[0] for t in texts], atol=1e-6) and len(set(whole.tolist())) > 50
+
+
 def test_long_texts_go_in_parts_with_the_same_result(monkeypatch):
     text = pa.array([prose(4, 3000).replace("the", "é", 50)])
     _, _, w = next(kernel.each_chunk(text))
