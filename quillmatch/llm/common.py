@@ -71,7 +71,10 @@ def filesystem(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, in as many partitions as there are cores where it has fewer: a file of one row group can't be split."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def list_array(values: np.ndarray, ptr: np.ndarray, kind: pa.DataType, valid: np.ndarray | None = None) -> pa.ListArray:
