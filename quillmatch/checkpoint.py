@@ -1,15 +1,31 @@
-"""Cutting lineage in the folder that all executors share."""
+"""Cutting lineage, and files of our own, in the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written under spark.checkpoint.dir; where that is unset, as in tests, under a folder of our own."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context.getCheckpointDir():
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where that is unset, one of our own in tests, which run in one process. On a
+    cluster that is an error, as executors elsewhere would not see it."""
+    context = spark.sparkContext
+    there = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not there:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quillmatch-"))
+        there = context.getCheckpointDir()
+    return there.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder, so that a lost executor costs its tasks alone."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

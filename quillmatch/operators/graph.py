@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from .matching import within
 
 
 def resolve(imports: DataFrame, units: DataFrame) -> DataFrame:
@@ -39,10 +40,11 @@ def top_importers(links: DataFrame, most: int = 5) -> DataFrame:
 
 
 def contains_edges(imports: DataFrame, units: DataFrame) -> DataFrame:
-    """Edges where a normalised import contains a unit's stem: a nested loop, with the units broadcast only if small."""
-    a = imports.select("importer", N.canonical(F.regexp_replace("item", r"[./:-]", "")).alias("norm")).distinct()
-    b = units.select(F.col("key").alias("target"), N.canonical(F.regexp_replace("stem", "[.-]", "")).alias("stem_norm"))
-    return a.join(b, F.contains("norm", "stem_norm") & (F.length("stem_norm") > 0)).filter("importer <> target").select("importer", "target").distinct()
+    """Edges where a normalised import contains a unit's stem, by an equi-join on the import's parts."""
+    a = imports.select(F.col("importer"), N.canonical(F.regexp_replace("item", r"[./:-]", "")).alias("norm")).distinct()
+    b = units.select(F.col("key").alias("sid"), N.canonical(F.regexp_replace("stem", "[.-]", "")).alias("short")).filter("short <> ''")
+    held = within(a.select(F.col("norm").alias("lid"), F.col("norm").alias("long")).distinct(), b)
+    return a.join(held, F.col("norm") == F.col("lid")).select("importer", F.col("sid").alias("target")).filter("importer <> target").distinct()
 
 
 def logical_units(paths: DataFrame) -> DataFrame:

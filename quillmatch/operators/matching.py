@@ -23,18 +23,27 @@ def header_scores(src: DataFrame, tgt: DataFrame, strict: bool = False) -> DataF
     return exact.unionByName(key).unionByName(base).groupBy("src", "tgt").agg(F.max("score").alias("score"))
 
 
+def within(long: DataFrame, short: DataFrame) -> DataFrame:
+    """lid and sid of long (lid, long) and short (sid, short) where the one text contains the other: an equi-join of
+    the long texts' parts, of such lengths as the short ones have, instead of a comparison of all with all."""
+    lengths = sorted(r[0] for r in short.filter("short IS NOT NULL").select(F.length("short")).distinct().collect())  # few numbers
+    n = F.length("long")
+    fitting = F.filter(F.array(*(F.lit(k) for k in lengths)).cast("array<int>"), lambda k: k <= n)
+    parts = F.flatten(F.transform(fitting, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr(F.col("long"), i, k))))
+    return long.filter("long IS NOT NULL").select("lid", F.explode(F.array_distinct(parts)).alias("short")).join(short, "short").select("lid", "sid").distinct()
+
+
 def loose_header_scores(src: DataFrame, tgt: DataFrame) -> DataFrame:
     """As above for headers that only contain a path (1.0), end in a file name (0.9 in the same directory, else 0.5) or
-    in a stem with a known extension (0.3). A nested loop: for sides of which one is small."""
+    in a stem with a known extension (0.3). Three equi-joins: on parts of headers, on file names and on stems."""
     s = src.select(F.col("key").alias("src"), F.col("path"), N.file_name(F.col("path")).alias("file"), N.stem(F.col("path")).alias("stem"), N.canonical(N.parent_of(F.col("qualified"))).alias("sdir"))
     t = tgt.filter("origin IS NOT NULL AND origin <> ''").select(F.col("key").alias("tgt"), N.origin_path(F.col("origin")).alias("origin"), N.canonical(N.parent_of(F.col("qualified"))).alias("tdir"))
-    o, f = F.col("origin"), F.col("file")
-    named = o.endswith(F.concat(F.lit("/"), f)) | (o == f)
-    by_stem = F.lit(False)
-    for ext in ("kt", "rs", "py", "cpp", "cc", "hpp", "h"):
-        by_stem = by_stem | o.endswith(F.concat(F.lit("/"), F.col("stem"), F.lit(f".{ext}")))
-    score = F.when(F.contains(o, F.col("path")), 1.0).when(named & (F.col("sdir") == F.col("tdir")), 0.9).when(named, 0.5).when(by_stem, 0.3).otherwise(0.0)
-    return s.crossJoin(t).select("src", "tgt", score.alias("score")).filter("score > 0")
+    last = F.regexp_extract("origin", r"([^/]*)$", 1)
+    held = within(t.select(F.col("tgt").alias("lid"), F.col("origin").alias("long")), s.select(F.col("src").alias("sid"), F.col("path").alias("short"))).select(F.col("sid").alias("src"), F.col("lid").alias("tgt"), F.lit(1.0).alias("score"))
+    named = s.join(t.withColumn("file", last), "file").select("src", "tgt", F.when(F.col("sdir") == F.col("tdir"), 0.9).otherwise(0.5).alias("score"))
+    stems = t.filter(F.contains("origin", F.lit("/"))).withColumn("stem", F.regexp_extract(last, r"^(.*)\.(?:kt|rs|py|cpp|cc|hpp|h)$", 1)).filter(last.rlike(r"\.(?:kt|rs|py|cpp|cc|hpp|h)$"))
+    by_stem = s.join(stems, "stem").select("src", "tgt", F.lit(0.3).alias("score"))
+    return held.unionByName(named).unionByName(by_stem).groupBy("src", "tgt").agg(F.max("score").alias("score"))
 
 
 def name_score(src: dict[str, Column], tgt: dict[str, Column]) -> Column:
@@ -56,10 +65,20 @@ def name_score(src: dict[str, Column], tgt: dict[str, Column]) -> Column:
 
 
 def name_scores(src: DataFrame, tgt: DataFrame, least: float = 0.4) -> DataFrame:
-    """src, tgt and score above ``least``. All pairs: for what headers left over."""
-    both = src.select(*(F.col(c).alias(f"s_{c}") for c in ("key", "stem", "qualified", "package"))).crossJoin(tgt.select(*(F.col(c).alias(f"t_{c}") for c in ("key", "stem", "qualified", "package", "header"))))
+    """src, tgt and score above ``least`` (0.4 or more). Every rule that gives such a score says that names or last parts
+    of packages are equal or contain each other, or that directories are equal, so candidates come from equi-joins."""
+    side = lambda d, *more: d.select("key", "stem", "qualified", "package", *more).withColumns({"n": N.canonical(F.col("stem")), "q": N.canonical(F.col("qualified")), "dir": N.canonical(N.parent_of(F.col("qualified"))), "last": N.package_normal(F.try_element_at("package", F.lit(-1)))})
+    s, t = side(src), side(tgt, "header")
+    of = lambda d, c, a, b: d.select(F.col("key").alias(a), F.col(c).alias(b))
+    found = s.select(F.col("key").alias("src"), "q").join(t.select(F.col("key").alias("tgt"), "q"), "q").select("src", "tgt")
+    found = found.unionByName(s.filter("dir <> ''").select(F.col("key").alias("src"), "dir").join(t.select(F.col("key").alias("tgt"), "dir"), "dir").select("src", "tgt"))
+    for a, b in (("n", "n"), ("last", "last"), ("last", "n")):
+        found = found.unionByName(within(of(t, b, "lid", "long"), of(s, a, "sid", "short")).select(F.col("sid").alias("src"), F.col("lid").alias("tgt")))
+        found = found.unionByName(within(of(s, b, "lid", "long"), of(t, a, "sid", "short")).select(F.col("lid").alias("src"), F.col("sid").alias("tgt")))
+    ends = lambda d, k, p: d.select(F.col("key").alias(k), *(F.col(c).alias(f"{p}_{c}") for c in d.columns if c != "key"))
+    both = found.distinct().join(ends(src.select("key", "stem", "qualified", "package"), "src", "s"), "src").join(ends(tgt.select("key", "stem", "qualified", "package", "header"), "tgt", "t"), "tgt")
     score = name_score({c: F.col(f"s_{c}") for c in ("stem", "qualified", "package")}, {c: F.col(f"t_{c}") for c in ("stem", "qualified", "package", "header")})
-    return both.select(F.col("s_key").alias("src"), F.col("t_key").alias("tgt"), score.alias("score")).filter(F.col("score") > least)
+    return both.select("src", "tgt", score.alias("score")).filter(F.col("score") > least)
 
 
 def exact_name_scores(src: DataFrame, tgt: DataFrame) -> DataFrame:
@@ -105,17 +124,15 @@ def function_score(candidates: DataFrame, sources: DataFrame) -> DataFrame:
     each name; a target stub for a source that is none scores 0. The sum over the pair's number of source functions."""
 
     def take(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["sim", "src_fn", "tgt_fn"], ascending=[False, True, True])
-        used_s, used_t, out = set(), set(), []
-        for r in rows.itertuples(index=False):
-            if r.src_fn not in used_s and r.tgt_fn not in used_t:
-                used_s.add(r.src_fn)
-                used_t.add(r.tgt_fn)
-                out.append((r.pair, r.src_fn, r.tgt_fn, r.sim))
-        return pd.DataFrame(out, columns=["pair", "src_fn", "tgt_fn", "sim"])
+        left, taken = rows.sort_values(["sim", "src_fn", "tgt_fn"], ascending=[False, True, True]), []
+        while len(left):  # all that are the best left at both ends at once
+            best = left[~left["src_fn"].duplicated() & ~left["tgt_fn"].duplicated()]
+            taken.append(best)
+            left = left[~left["src_fn"].isin(best["src_fn"]) & ~left["tgt_fn"].isin(best["tgt_fn"])]
+        return pd.concat(taken)[["pair", "src_fn", "tgt_fn", "sim"]]
 
     guarded = candidates.withColumn("sim", F.when(F.col("tgt_stub") & ~F.col("src_stub"), 0.0).otherwise(F.col("sim")))
-    matched = guarded.groupBy("pair", "name").applyInPandas(take, "pair int, src_fn int, tgt_fn int, sim double")
+    matched = guarded.groupBy("pair", "name").applyInPandas(take, "pair long, src_fn int, tgt_fn int, sim double")
     sums = matched.groupBy("pair").agg(F.sum("sim").alias("total"), F.count("*").alias("matched"))
     n = sources.groupBy("pair").agg(F.count("*").alias("functions"))
     return n.join(sums, "pair", "left").select("pair", F.coalesce("matched", F.lit(0)).alias("matched"), (F.coalesce("total", F.lit(0.0)) / F.col("functions")).alias("score"))
@@ -156,8 +173,15 @@ def missing_by_dependents(units: DataFrame, degrees: DataFrame, matches: DataFra
 
 
 def ranked(df: DataFrame, by: list[Column], name: str = "rank", partition: list[str] | None = None) -> DataFrame:
-    w = Window.partitionBy(*(partition or [])).orderBy(*by)
-    return df.withColumn(name, F.row_number().over(w))
+    """df with each row's place, within its partition or among all rows; of all, ranges are numbered where they are, and
+    begin where those before them end."""
+    if partition:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*by)))
+    spread = cut(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = spread.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
+    return spread.withColumn(name, place).join(F.broadcast(starts), "_range").withColumn(name, (F.col(name) + F.col("_start")).cast("int")).select(*df.columns, name)
 
 
 def proposals(src: DataFrame, tgt: DataFrame, scores: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Source texts as normalised tokens, and k-grams of them, by one ordered regular expression in the JVM."""
+"""Source texts as normalised tokens, and hashes of k-grams of them, by one ordered regular expression in the JVM."""
 
 from __future__ import annotations
 
@@ -24,34 +24,45 @@ def pattern(lang: str = "", any_sign: str = r"\S") -> str:
 def tokens(text: Column, lang: str = "", non_ascii: str = "bytes") -> Column:
     """The tokens of a text: strings as "str", numbers after "num:", names canonical, path signs as "." and arrows as
     "arrow". Each byte outside ASCII is a token of its own, or none with ``non_ascii="drop"``. Null for null."""
+    return F.filter(F.transform(raw_tokens(text, lang, non_ascii), lambda t: normal(t, lang)), lambda t: t != "")
+
+
+def raw_tokens(text: Column, lang: str = "", non_ascii: str = "bytes") -> Column:
+    """The tokens of a text as they stand, in order."""
     if non_ascii == "bytes":
         text, sign = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), r"\S"
     else:
         sign = "[!-~]"
-    raw = F.regexp_extract_all(text, F.lit(f"({pattern(lang, sign)})"), 1)
+    return F.regexp_extract_all(text, F.lit(f"({pattern(lang, sign)})"), 1)
 
-    def normal(t: Column) -> Column:
-        ident = canonical(F.replace(t, F.lit("`"), F.lit("")))
-        aliased = F.coalesce(F.create_map([F.lit(x) for kv in ALIASES.items() for x in kv])[ident], ident)
-        first = F.substring(t, 1, 1)
-        quoted = first.isin('"', "'") | t.rlike(r'^b?r#*"')
-        if lang == "rust":
-            quoted = quoted & ~(t.rlike(r"^'[_A-Za-z][0-9A-Za-z_]*$"))
-        return (
-            F.when(t.startswith("//") | t.startswith("/*") | t.isin(";", "@", "#"), "").when(quoted, "str").when(first == "'", "").when(t.rlike("^[0-9]"), F.concat(F.lit("num:"), t))
-            .when(t.rlike("^[A-Za-z_`]"), aliased).when(t.isin("::", "?."), ".").when(t.isin("->", "=>"), "arrow").otherwise(t)
-        )
 
-    return F.filter(F.transform(raw, normal), lambda t: t != "")
+def normal(t: Column, lang: str = "") -> Column:
+    """A token as it counts; empty for what doesn't. Cases are told by the first sign, without patterns."""
+    first = F.substring(t, 1, 1)
+    quoted = first.isin('"', "'")
+    if lang == "rust":
+        quoted = (quoted & ~t.rlike(r"^'[_A-Za-z][0-9A-Za-z_]*$")) | t.rlike(r'^b?r#*"')
+    ident = canonical(F.replace(t, F.lit("`"), F.lit("")) if lang == "kotlin" else t)
+    aliased = ident
+    for name, alias in ALIASES.items():
+        aliased = F.when(ident == name, alias).otherwise(aliased)
+    is_name = first.between("A", "Z") | first.between("a", "z") | first.isin("_", "`")
+    skipped = ((first == "/") & (t.startswith("//") | t.startswith("/*"))) | t.isin(";", "@", "#")
+    cases = F.when(is_name & ~quoted, F.when(ident.isin(*ALIASES), aliased).otherwise(ident)).when(quoted, "str").when(first == "'", "").when(first.between("0", "9"), F.concat(F.lit("num:"), t))
+    return cases.when(skipped, "").when(t.isin("::", "?."), ".").when(t.isin("->", "=>"), "arrow").otherwise(t)
 
 
 def kgrams(tokens: Column, k: int = KGRAM) -> Column:
-    """Distinct runs of k tokens, as text; of fewer tokens, one run of them all; of none, none."""
+    """Distinct runs of k tokens of an array column, as 64-bit hashes; of fewer tokens, one run of them all; of none, none."""
     n = F.size(tokens)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, k), "\u0001"))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.xxhash64(*(F.get(tokens, i + j) for j in range(k))))
+    return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(grams))
 
 
-def exploded(units: DataFrame, terms: Column, *keys: str) -> DataFrame:
-    """keys, term and its count n in each unit."""
-    return units.select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n"))
+def exploded(units: DataFrame, terms: Column, *keys: str, lang: str | None = None) -> DataFrame:
+    """keys, term and its count n in each unit; with ``lang``, of raw tokens, which become terms after they are taken
+    apart, in generated code, and not within an array."""
+    rows = units.select(*keys, F.explode(terms).alias("term"))
+    if lang is not None:
+        rows = rows.select(*keys, normal(F.col("term"), lang).alias("term")).filter("term <> ''")
+    return rows.groupBy(*keys, "term").agg(F.count("*").alias("n"))

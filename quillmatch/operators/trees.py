@@ -4,6 +4,8 @@ A subtree is a range of node_ids, so containment is a range condition beside the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,25 +13,31 @@ NODE_SCHEMA = "unit string, node_id int, parent_id int, child_idx int, depth int
 SAMPLE = 2000
 ARITHMETIC, COMPARISON, LOGICAL, BITWISE, ASSIGNMENT = 75, 76, 77, 78, 79
 _TOKENS = {ARITHMETIC: "++ -- % / * - +", COMPARISON: "!== === >= <= > < != ==", LOGICAL: "not or and ! || &&", BITWISE: ">> << ~ ^ | &", ASSIGNMENT: "^= |= &= %= /= *= -= += ="}
+_SIGNS = "".join(chr(0x100 + k) for k in range(1000))
 OPERATOR_TOKENS = {kind: tuple(tokens.split()) for kind, tokens in _TOKENS.items()}
 
 
 def rows(unit: str, tree: tuple) -> list[tuple]:
-    """Rows of a tree of (type, [children]) or (type, label)."""
+    """Rows of a tree of (type, [children]) or (type, label), of any depth."""
     out: list[list] = []
     post = 0
+    open_: list[tuple[int, Iterator]] = []  # nodes whose children are being walked
 
-    def walk(t: tuple, parent: int | None, at: int, depth: int) -> None:
-        nonlocal post
+    def enter(t: tuple, parent: int | None, at: int, depth: int) -> None:
         kids = t[1] if len(t) > 1 and isinstance(t[1], list) else []
-        me = len(out)
-        out.append([unit, me, parent, at, depth, 0, 0, t[0], t[1] if len(t) > 1 and isinstance(t[1], str) else ""])
-        for i, kid in enumerate(kids):
-            walk(kid, me, i, depth + 1)
+        open_.append((len(out), iter(enumerate(kids))))
+        out.append([unit, len(out), parent, at, depth, 0, 0, t[0], t[1] if len(t) > 1 and isinstance(t[1], str) else ""])
+
+    enter(tree, None, 0, 0)
+    while open_:
+        me, kids = open_[-1]
+        kid = next(kids, None)
+        if kid is not None:
+            enter(kid[1], me, kid[0], len(open_))
+            continue
+        open_.pop()
         out[me][5], out[me][6] = post, len(out) - 1
         post += 1
-
-    walk(tree, None, 0, 0)
     return [tuple(r) for r in out]
 
 
@@ -59,13 +67,22 @@ def unmapped(nodes: DataFrame) -> DataFrame:
 
 
 def flatten(nodes: DataFrame, node_type: int) -> DataFrame:
-    """The tree without its non-root nodes of a type, whose children move up to the nearest node that stays."""
+    """The tree without its non-root nodes of a type, whose children move up to the nearest node that stays.
+
+    Two sorted passes over each unit: how many nodes that go contain a node is a running sum over where they begin and
+    end, and a node's parent is the last node before it that is one level higher."""
     gone = (F.col("node_type") == node_type) & F.col("parent_id").isNotNull()
-    kept = nodes.filter(~gone)
-    up = nodes.select("unit", F.col("node_id").alias("a_id"), F.col("subtree_end").alias("a_end"), gone.alias("a_gone"))
-    pairs = kept.select("unit", "node_id").join(up, "unit").filter("a_id < node_id AND node_id <= a_end")
-    above = pairs.groupBy("unit", "node_id").agg(F.max(F.when(~F.col("a_gone"), F.col("a_id"))).alias("new_parent"), F.count_if("a_gone").alias("fewer"))
-    return kept.join(above, ["unit", "node_id"], "left").select("unit", "node_id", F.col("new_parent").alias("parent_id"), (F.col("depth") - F.coalesce("fewer", F.lit(0))).cast("int").alias("depth"), "node_type", "label")
+    marked = nodes.select("unit", "node_id", "subtree_end", "depth", "node_type", "label", gone.alias("gone"))
+    none = F.lit(None)
+    ends = lambda at, by: marked.filter("gone").select("unit", at.alias("node_id"), F.lit(by).alias("step"), none.cast("int").alias("depth"), none.cast("int").alias("node_type"), none.cast("string").alias("label"))
+    steps = ends(F.col("node_id") + 1, 1).unionByName(ends(F.col("subtree_end") + 1, -1))
+    kept = marked.filter(~F.col("gone")).select("unit", "node_id", F.lit(0).alias("step"), "depth", "node_type", "label").unionByName(steps)
+    running = Window.partitionBy("unit").orderBy("node_id").rangeBetween(Window.unboundedPreceding, 0)
+    level = kept.withColumn("fewer", F.sum("step").over(running)).filter("depth IS NOT NULL").select("unit", "node_id", (F.col("depth") - F.col("fewer")).cast("int").alias("depth"), "node_type", "label")
+    offered = level.select("unit", F.col("depth").alias("level"), "node_id", F.col("node_id").alias("offer"), F.lit(False).alias("asks"), "depth", "node_type", "label")
+    asking = level.select("unit", (F.col("depth") - 1).alias("level"), "node_id", none.cast("int").alias("offer"), F.lit(True).alias("asks"), "depth", "node_type", "label")
+    before = Window.partitionBy("unit", "level").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
+    return offered.unionByName(asking).withColumn("parent_id", F.last("offer", True).over(before)).filter("asks").select("unit", "node_id", "parent_id", "depth", "node_type", "label")
 
 
 def binary(nodes: DataFrame) -> DataFrame:
@@ -82,10 +99,10 @@ def dump(nodes: DataFrame) -> DataFrame:
 
 
 def sequences(nodes: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """unit, size, stride and sequence: a character for each node's type in postorder, of every stride-th node where
+    """unit, size, stride and sequence: a character of its own for each node's type (0 to 999) in postorder, of every stride-th node where
     there are more than ``most``."""
     size = nodes.groupBy("unit").agg(F.count("*").alias("size")).withColumn("stride", F.when(F.col("size") > most, F.ceil(F.col("size") / most)).otherwise(1).cast("int"))
-    code = F.char(33 + F.col("node_type") % 94)
+    code = F.substr(F.lit(_SIGNS), F.col("node_type") + 1, F.lit(1))
     picked = nodes.join(size, "unit").filter(F.col("post_id") % F.col("stride") == 0)
     return picked.groupBy("unit", "size", "stride").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("post_id", code.alias("c")))), lambda x: x["c"]), "").alias("sequence"))
 

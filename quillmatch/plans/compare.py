@@ -58,9 +58,14 @@ def matches(src: Corpus, tgt: Corpus, strict: bool = False) -> DataFrame:
     return cut(first.unionByName(second))
 
 
-def function_scores(src: Corpus, tgt: Corpus, pairs: DataFrame) -> DataFrame:
-    """src, tgt, matched and score: functions of the same canonical name, one to one, by body and parameter similarity."""
-    numbered = cut(pairs.select("src", "tgt").withColumn("pair", F.hash("src", "tgt")))
+def numbered_pairs(pairs: DataFrame) -> DataFrame:
+    """src, tgt and pair, a number of its own for each; written, so that numbers stay."""
+    return cut(pairs.select("src", "tgt").distinct().withColumn("pair", F.monotonically_increasing_id()))
+
+
+def function_scores(src: Corpus, tgt: Corpus, numbered: DataFrame) -> DataFrame:
+    """src, tgt, matched and score of numbered pairs: functions of the same canonical name, one to one, by body and
+    parameter similarity."""
     s = src.functions().select(F.col("unit").alias("src"), F.col("fn").alias("a"), N.canonical(F.col("name")).alias("name"), F.col("id").cast("int").alias("src_fn"), F.col("is_stub").alias("src_stub"))
     t = tgt.functions().select(F.col("unit").alias("tgt"), F.col("fn").alias("b"), N.canonical(F.col("name")).alias("name"), F.col("id").cast("int").alias("tgt_fn"), F.col("is_stub").alias("tgt_stub"))
     c = cut(numbered.join(s, "src").join(t, ["tgt", "name"]))
@@ -88,8 +93,8 @@ def deep(src_files: DataFrame, tgt_files: DataFrame, strict: bool = False) -> Da
     found = matches(src, tgt, strict)
     links = G.edges(G.resolve(src.imports, src.units()))
     deg = cut(G.degrees(src.units(), src.imports, links).select(F.col("key").alias("src"), "dependents"))
-    fn = cut(function_scores(src, tgt, found))
-    numbered = found.select("src", "tgt").withColumn("pair", F.hash("src", "tgt"))
+    numbered = numbered_pairs(found)
+    fn = cut(function_scores(src, tgt, numbered))
 
     def named(side: Corpus, key: str) -> DataFrame:
         return numbered.join(side.functions().select(F.col("unit").alias(key), "name", "is_test", F.col("id").alias("pos")), key).select("pair", "name", "is_test", "pos")

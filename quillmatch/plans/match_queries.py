@@ -155,14 +155,14 @@ def function_set_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # functions of two versions of a unit, from line items: the order is the unit, the flags and line numbers the names
-_FN = """sf AS (SELECT l_orderkey AS pair, 'fn_' || l_returnflag || '_' || (l_linenumber % 4) AS name, l_linestatus = 'O' AS is_test, l_quantity < 10 AS has_stub, l_linenumber AS pos FROM lineitem WHERE l_linenumber % 2 = 1),
-tf AS (SELECT l_orderkey AS pair, 'fn' || l_returnflag || (l_linenumber % 4) AS name, l_linestatus = 'O' AS is_test, l_quantity < 25 AS has_stub, l_linenumber AS pos FROM lineitem WHERE l_linenumber % 3 <> 0)"""
+_FN = """sf AS (SELECT l_orderkey AS pair, 'fn_' || l_returnflag || '_' || (l_linenumber % 4) AS name, l_linestatus = 'O' AS is_test, l_quantity < 10 AS has_stub, l_linenumber AS pos FROM lineitem),
+tf AS (SELECT l_orderkey AS pair, 'fn' || l_returnflag || (l_linenumber % 3) AS name, l_linestatus = 'O' AS is_test, l_quantity < 25 AS has_stub, l_linenumber AS pos FROM lineitem)"""
 
 
 def functions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    li, n = table(spark, sf, "lineitem"), (F.col("l_linenumber") % 4).cast("string")
+    li, n, m = table(spark, sf, "lineitem"), *((F.col("l_linenumber") % k).cast("string") for k in (4, 3))
     make = lambda d, name, few: d.select(F.col("l_orderkey").alias("pair"), name.alias("name"), (F.col("l_linestatus") == "O").alias("is_test"), (F.col("l_quantity") < few).alias("has_stub"), F.col("l_linenumber").alias("pos"))
-    return make(li.filter("l_linenumber % 2 = 1"), F.concat(F.lit("fn_"), "l_returnflag", F.lit("_"), n), 10), make(li.filter("l_linenumber % 3 <> 0"), F.concat(F.lit("fn"), "l_returnflag", n), 25)
+    return make(li, F.concat(F.lit("fn_"), "l_returnflag", F.lit("_"), n), 10), make(li, F.concat(F.lit("fn"), "l_returnflag", m), 25)
 
 
 @query(f"""WITH {_FN}, s AS (SELECT pair, {_canon('name')} AS name, arg_min(is_test, (pos, is_test)) AS is_test FROM sf GROUP BY 1, 2), t AS (SELECT pair, {_canon('name')} AS name, bool_or(is_test) AS tests FROM tf GROUP BY 1, 2)
@@ -372,7 +372,6 @@ def quality_buckets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_MATCHES} SELECT src, similarity, row_number() OVER (ORDER BY similarity, stub DESC, dependents DESC, src_functions - tgt_functions DESC, src) AS place FROM mt")
 def status_order(spark: SparkSession, sf: str) -> DataFrame:
-    # the place is part of this report, so one partition numbers the rows, which are a few bytes each
     by = [F.col("similarity"), F.desc("stub"), F.desc("dependents"), F.desc(F.col("src_functions") - F.col("tgt_functions")), F.col("src")]
     return J.ranked(matches(spark, sf), by, "place").select("src", "similarity", "place")
 

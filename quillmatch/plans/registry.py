@@ -25,6 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, where it has fewer, as a file of one row group can't be split. Larger
+    tables stay as they are, so nothing is moved at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def values(rows: list[tuple], names: str) -> str:
     """Literal rows as SQL: "(VALUES ...) AS t(names)"."""
 

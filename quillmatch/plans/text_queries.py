@@ -10,7 +10,7 @@ from ..functions import tensor as L
 from ..functions import text as X
 from ..operators import similarity as M
 from ..operators import tokens as K
-from .registry import query, table, values
+from .registry import query, spread, table, values
 
 AZ, az = N.UPPER, N.LOWER
 _CANON = f"translate(%s, '{AZ}_', '{az}')"
@@ -202,7 +202,9 @@ def needle_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 # tokens
 
-_TOKENS = '''regexp_extract_all(text, '//[^\\n]*|/\\*(?s:.*?)(?:\\*/|$)|"[^"\\\\]*(?:\\\\.[^"\\\\]*)*"?|''[^''\\\\]*(?:\\\\.[^''\\\\]*)*''?|[0-9][A-Za-z0-9_.]*|[_A-Za-z][0-9A-Za-z_]*|::|\\?\\.|->|=>|==|!=|<=|>=|&&|\\|\\||\\+=|-=|\\*=|/=|%=|[!-~]')'''
+_RAW = '''regexp_extract_all(text, '//[^\\n]*|/\\*(?s:.*?)(?:\\*/|$)|"[^"\\\\]*(?:\\\\.[^"\\\\]*)*"?|''[^''\\\\]*(?:\\\\.[^''\\\\]*)*''?|[0-9][A-Za-z0-9_.]*|[_A-Za-z][0-9A-Za-z_]*|::|\\?\\.|->|=>|==|!=|<=|>=|&&|\\|\\||\\+=|-=|\\*=|/=|%=|[^\\t\\n\\x0B\\f\\r ]')'''
+# each byte outside ASCII is a token of its own, written as the Latin-1 letter of its number
+_TOKENS = f"""flatten(list_transform({_RAW}, t -> CASE WHEN regexp_matches(t, '^[^\\x00-\\x7F]') THEN list_transform(regexp_extract_all(hex(encode(t)), '..'), h -> chr(('0x' || h)::INTEGER)) ELSE [t] END))"""
 _ALIASED = "CASE " + " ".join(f"WHEN c = '{k}' THEN '{v}'" for k, v in K.ALIASES.items()) + " ELSE c END"
 _NORMAL = f"""list_filter(list_transform({_TOKENS}, t -> CASE WHEN starts_with(t, '//') OR starts_with(t, '/*') OR t IN (';', '@', '#') THEN '' WHEN t[1:1] IN ('"', '''') THEN 'str'
 WHEN regexp_matches(t, '^[0-9]') THEN 'num:' || t WHEN regexp_matches(t, '^[A-Za-z_]') THEN translate(t, '{AZ}_', '{az}') WHEN t IN ('::', '?.') THEN '.' WHEN t IN ('->', '=>') THEN 'arrow' ELSE t END), t -> t <> '')"""
@@ -212,7 +214,7 @@ _TURN_PAIRS = "pairs AS (SELECT conv_id * 1000 + turn AS a, conv_id * 1000 + tur
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("unit"), "text")
+    return spread(table(spark, sf, "conversations").select("conv_id", "turn", "text")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("unit"), "text")
 
 
 def turn_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -241,7 +243,7 @@ gc AS (SELECT DISTINCT unit, array_to_string(toks[i:i+4], chr(1)) AS term, 1 AS
 {_pair_sql('tc')}, {_pair_sql('gc', 'g')}
 SELECT a, b, round(p.cosine, 6) AS token_cosine, round(p.jaccard, 6) AS token_jaccard, round(g.jaccard, 6) AS kgram_jaccard, round(0.55 * p.cosine + 0.25 * p.jaccard + 0.2 * g.jaccard, 6) AS score FROM pm p JOIN pmg g USING (a, b)""")
 def translit_turn_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    units = turns(spark, sf).select("unit", K.tokens(F.col("text"), non_ascii="drop").alias("toks"))
+    units = turns(spark, sf).select("unit", K.tokens(F.col("text")).alias("toks"))
     pairs = turn_pairs(spark, sf)
     tok = M.paired(pairs, K.exploded(units, F.col("toks"), "unit"))
     grams = M.paired(pairs, units.select("unit", F.explode(K.kgrams(F.col("toks"))).alias("term"), F.lit(1).alias("n")))
@@ -252,7 +254,7 @@ def translit_turn_similarity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH t AS (SELECT unnest({_ALIAS_LIST % _NORMAL}) AS term, doc_id FROM documents) SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t GROUP BY term ORDER BY n DESC, term LIMIT 100")
 def token_freq_top(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", F.explode(K.tokens(F.col("text"), non_ascii="drop")).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("n"))
+    d = K.exploded(spread(table(spark, sf, "documents").select("doc_id", "text")), K.raw_tokens(F.col("text")), "doc_id", lang="")
     return d.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).orderBy(F.desc("n"), "term").limit(100)
 
 
@@ -264,7 +266,7 @@ s AS (SELECT item_id, count(*) AS total FROM bg GROUP BY 1)
 SELECT doc_id, item_id, count(*) AS shared, round(count(*)::DOUBLE / any_value(total), 6) AS share FROM dg JOIN bg USING (g) JOIN s USING (item_id) GROUP BY doc_id, item_id""")
 def kgram_contamination(spark: SparkSession, sf: str) -> DataFrame:
     def grams(name, key):
-        t = table(spark, sf, name).select(key, K.tokens(F.col("text"), non_ascii="drop").alias("t")).filter(F.size("t") >= K.KGRAM)
+        t = spread(table(spark, sf, name).select(key, "text")).select(key, K.tokens(F.col("text")).alias("t")).filter(F.size("t") >= K.KGRAM)
         return t.select(key, F.explode(K.kgrams(F.col("t"))).alias("g"))
 
     items = grams("benchmark", "item_id")
@@ -325,11 +327,16 @@ def tensor_activations(spark: SparkSession, sf: str) -> DataFrame:
     return _vectors(spark, sf).select("vec_id", *(F.round(L.total(f(v)), 6).alias(n) for n, f in (("sigmoid", L.sigmoid), ("tanh", L.tanh), ("relu", L.relu), ("absolute", L.absolute))))
 
 
-@query(f"WITH e AS ({_VEC}), m AS (SELECT label, list(v ORDER BY vec_id) AS rows FROM e GROUP BY label) SELECT vec_id, round(list_sum(list_transform(rows[1:8], r -> list_dot_product(r, v))), 6) AS product, round(list_sum(list_transform(list_zip(v, rows[1]), p -> p[1] + p[2] - p[1] * p[2])), 6) AS elementwise FROM e JOIN m USING (label)")
+@query(f"""WITH e AS ({_VEC}), x AS (SELECT label, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM e),
+s AS (SELECT label, list(t ORDER BY i) AS r FROM (SELECT label, i, sum(x) AS t FROM x GROUP BY label, i) GROUP BY label), m AS (SELECT list(r ORDER BY label) AS rows FROM s)
+SELECT vec_id, round(list_sum(list_transform(rows, r -> list_dot_product(r, v))), 6) AS product, round(list_max(list_transform(rows, r -> list_dot_product(r, v))), 6) AS most,
+round(list_sum(list_transform(list_zip(v, r), p -> p[1] + p[2] - p[1] * p[2])), 6) AS elementwise FROM e JOIN s USING (label) CROSS JOIN m""")
 def tensor_matvec(spark: SparkSession, sf: str) -> DataFrame:
+    """The matrix has a row for each label: the sum of its vectors, made of partial sums where they are."""
     e = _vectors(spark, sf)
-    w = Window.partitionBy("label").orderBy("vec_id")
-    first = e.withColumn("n", F.row_number().over(w)).filter("n <= 8").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "v"))), lambda s: s["v"]).alias("rows"))
-    j = e.join(F.broadcast(first), "label")
-    v, r = F.col("v"), F.col("rows")[0]
-    return j.select("vec_id", F.round(L.total(L.matvec(F.col("rows"), v)), 6).alias("product"), F.round(L.total(L.sub(L.add(v, r), L.hadamard(v, r))), 6).alias("elementwise"))
+    sums = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("x"))
+    rows = sums.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("r"))  # as many as a vector has
+    matrix = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("label", "r"))), lambda s: s["r"]).alias("rows"))  # as many as there are labels
+    j = e.join(F.broadcast(rows), "label").join(F.broadcast(matrix))
+    v, r, product = F.col("v"), F.col("r"), L.matvec(F.col("rows"), F.col("v"))
+    return j.select("vec_id", F.round(L.total(product), 6).alias("product"), F.round(F.array_max(product), 6).alias("most"), F.round(L.total(L.sub(L.add(v, r), L.hadamard(v, r))), 6).alias("elementwise"))

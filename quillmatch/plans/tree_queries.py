@@ -77,7 +77,7 @@ def shape_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("a", "b", r("cosine", "weighted_cosine"), r("macro", "macro_cosine"), r("multiset_jaccard", "multiset_jaccard"), r("jaccard", "set_jaccard"), r(struct, "structure"), r(M.shape(F.col("cosine"), struct, F.col("multiset_jaccard")), "shape"))
 
 
-_SEQ = """seq AS (SELECT unit, count(*) AS size, string_agg(chr(33 + (node_type % 94)::INTEGER), '' ORDER BY post_id) AS s FROM nodes GROUP BY unit)"""
+_SEQ = """seq AS (SELECT unit, count(*) AS size, string_agg(chr(1 + node_type::INTEGER), '' ORDER BY post_id) AS s FROM nodes GROUP BY unit)"""
 
 
 @query(f"""WITH {_PAGES}, {_SEQ} SELECT a, b, levenshtein(x.s, y.s) AS distance, round(greatest(0.0, 1 - levenshtein(x.s, y.s)::DOUBLE / greatest(x.size, y.size)), 6) AS similarity
@@ -88,7 +88,7 @@ def edit_distance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {_PAGES}, z AS (SELECT unit, count(*) AS size, CASE WHEN count(*) > 20 THEN ceil(count(*) / 20.0)::INTEGER ELSE 1 END AS k FROM nodes GROUP BY unit),
-seq AS (SELECT unit, size, k, string_agg(chr(33 + (node_type % 94)::INTEGER), '' ORDER BY post_id) AS s FROM nodes JOIN z USING (unit) WHERE post_id % k = 0 GROUP BY ALL)
+seq AS (SELECT unit, size, k, string_agg(chr(1 + node_type::INTEGER), '' ORDER BY post_id) AS s FROM nodes JOIN z USING (unit) WHERE post_id % k = 0 GROUP BY ALL)
 SELECT a, b, levenshtein(x.s, y.s) * greatest(x.k, y.k) AS distance FROM pairs JOIN seq x ON x.unit = a JOIN seq y ON y.unit = b""")
 def edit_distance_sampled(spark: SparkSession, sf: str) -> DataFrame:
     return T.edit_distances(page_pairs(spark, sf), T.sequences(page_nodes(spark, sf), 20)).select("a", "b", "distance")

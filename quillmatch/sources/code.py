@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -30,10 +31,13 @@ STUB_BODY = re.compile(r"\b(todo|unimplemented|unreachable)!|\bTODO\(|NotImpleme
 MARK = re.compile(r"(?<![a-z0-9_])(todo|stub|placeholder|fixme|unimplemented|notimplemented|notimplementederror)(?![a-z0-9_])|not (yet )?implemented", re.I)
 
 
+_RAW_STRING, _LIFETIME, _NUMBER, _NAME = (re.compile(x) for x in (r'b?r(#*)"', r"'[A-Za-z_]\w*(?!')", r"[0-9][\w.]*", r"(r#)?[A-Za-z_]\w*"))
+_SIGN = re.compile(r"::|\?\.|->|=>|===|!==|[=!<>+\-*/%&|^]=|&&|\|\||\+\+|--|<<|>>")
+
+
 def lex(text: str, lang: str) -> list[tuple[str, str, int]]:
     """(kind, text, line): comment, string, number, name, op. Block comments nest; an unclosed one ends with the text."""
     out, i, line, n = [], 0, 1, len(text)
-    raw = re.compile(r'b?r(#*)"')
     while i < n:
         c = text[i]
         start = i
@@ -55,13 +59,13 @@ def lex(text: str, lang: str) -> list[tuple[str, str, int]]:
                 else:
                     i += 1
             kind = "comment"
-        elif lang == "rust" and (m := raw.match(text, i)):
+        elif lang == "rust" and (m := _RAW_STRING.match(text, i)):
             end = text.find('"' + m[1], m.end())
             i, kind = (n if end < 0 else end + 1 + len(m[1])), "string"
         elif lang == "kotlin" and text.startswith('"""', i):
             end = text.find('"""', i + 3)
             i, kind = (n if end < 0 else end + 3), "string"
-        elif c == "'" and lang == "rust" and (m := re.compile(r"'[A-Za-z_]\w*(?!')").match(text, i)):
+        elif c == "'" and lang == "rust" and (m := _LIFETIME.match(text, i)):
             i, kind = m.end(), "lifetime"
         elif c in "\"'" or (c == "`" and lang == "typescript"):
             i += 1
@@ -71,11 +75,11 @@ def lex(text: str, lang: str) -> list[tuple[str, str, int]]:
         elif c == "`" and lang == "kotlin":
             end = text.find("`", i + 1)
             i, kind = (n if end < 0 else end + 1), "name"
-        elif m := re.compile(r"[0-9][\w.]*").match(text, i):
+        elif m := _NUMBER.match(text, i):
             i, kind = m.end(), "number"
-        elif m := re.compile(r"(r#)?[A-Za-z_]\w*").match(text, i):
+        elif m := _NAME.match(text, i):
             i, kind = m.end(), "name"
-        elif m := re.compile(r"::|\?\.|->|=>|===|!==|[=!<>+\-*/%&|^]=|&&|\|\||\+\+|--|<<|>>").match(text, i):
+        elif m := _SIGN.match(text, i):
             i, kind = m.end(), "op"
         else:
             i, kind = i + 1, "op"
@@ -97,6 +101,8 @@ def strip_code(text: str, lang: str = "kotlin") -> tuple[str, str]:
 def island(text: str, lang: str) -> tuple:
     """A tree of (type, [children]) or (type, label)."""
     toks = [t for t in lex(text, lang) if t[0] not in ("comment", "lifetime")]
+    # calls of Python by Python take no stack of the machine, so brackets may nest as deep as there are any
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 2 * sum(t[1] in ("(", "[", "{") or t[1] in TYPES for t in toks) + 2000))
     i = 0
 
     def upto(closer: str | None, stop_line: bool = False) -> list[tuple]:

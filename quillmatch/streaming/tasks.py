@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tasks import TRANSITIONS
-from ..checkpoint import cut
+from ..checkpoint import new_path
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -29,11 +29,18 @@ def activity(events: DataFrame, width: str = "1 hour", late: str = "2 hours") ->
 
 
 def run(stream: DataFrame, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """All that is there now, run through the stream; the result as a table."""
+    """All that is there now, run through the stream into Parquet files in the shared folder; the result as a table. Each
+    batch has a folder of its own, so a batch that is done again leaves nothing twice; of a complete result the last counts."""
     spark = stream.sparkSession
-    name = f"quillmatch_stream_{abs(hash((id(stream), mode)))}"
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return cut(spark.table(name))
+    path = new_path(spark, "stream")
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(write).trigger(availableNow=True)
+    query = writer.option("checkpointLocation", checkpoint or f"{path}-state").start()
+    query.awaitTermination()
+    batches = spark.read.schema(stream.schema.add("batch", "long")).parquet(path) if query.lastProgress else spark.createDataFrame([], stream.schema.add("batch", "long"))
+    if mode == "complete":
+        batches = batches.filter(F.col("batch") == (batches.agg(F.max("batch")).first()[0] or 0))
+    return batches.drop("batch")
