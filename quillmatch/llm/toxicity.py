@@ -28,6 +28,9 @@ from .common import cut, map_arrow, tidy
 
 ROWS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 16, (1, 2, 3)
 TRAIN_TOXIC, TRAIN_CLEAN, EPOCHS, BATCH, LEAST = 1000, 2000, 12, 32, 20
+#: Share of the words that a step of training doesn't see, wherever they stand, so that the net learns each sign of toxicity
+#: even where another stands beside it.
+HIDE = 0.3
 PREFIXES = (4, 5, 7)
 PAD = max(WIDTHS) - 1
 BINS = 10_000
@@ -121,6 +124,9 @@ class Net:
                 f = feats[:, K.gather(w.ptr, pick)]
                 ptr = np.concatenate([[0], np.cumsum(size[pick])])
                 x, start = self.rows(f, ptr)
+                at_word = np.arange(ptr[-1]) + PAD * np.repeat(np.arange(len(pick)), np.diff(ptr))
+                seen = (g.random(ROWS) >= HIDE)[f[0]]
+                x[at_word[~seen]] = 0
                 maps = np.concatenate(self.maps(x), axis=1)
                 arg = np.stack([maps[s : s + k].argmax(0) + s for s, k in zip(start, size[pick])])
                 top = maps[arg, np.arange(maps.shape[1])]
@@ -133,7 +139,7 @@ class Net:
                 d_bias = d_act.sum(0)
                 d_act = np.where(top > 0, d_act, 0)
                 word = np.full(len(x), -1)
-                word[np.arange(ptr[-1]) + PAD * np.repeat(np.arange(len(pick)), np.diff(ptr))] = np.arange(ptr[-1])
+                word[at_word[seen]] = np.flatnonzero(seen)
                 rows, grads = [], []
                 for i, width in enumerate(WIDTHS):
                     sl = slice(i * FILTERS, (i + 1) * FILTERS)
