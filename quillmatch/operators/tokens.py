@@ -1,7 +1,9 @@
-"""Source texts as normalised tokens, and hashes of k-grams of them, by one ordered regular expression in the JVM."""
+"""Source texts as normalised tokens, and k-grams of them, by one ordered regular expression in the JVM."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,11 +54,21 @@ def normal(t: Column, lang: str = "") -> Column:
     return cases.when(skipped, "").when(t.isin("::", "?."), ".").when(t.isin("->", "=>"), "arrow").otherwise(t)
 
 
-def kgrams(tokens: Column, k: int = KGRAM) -> Column:
-    """Distinct runs of k tokens of an array column, as 64-bit hashes; of fewer tokens, one run of them all; of none, none."""
+def _runs(tokens: Column, k: int, run: Callable[[Column], Column], kind: str) -> Column:
     n = F.size(tokens)
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.xxhash64(*(F.get(tokens, i + j) for j in range(k))))
-    return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(grams))
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), run)
+    return F.when(n == 0, F.array().cast(f"array<{kind}>")).otherwise(F.array_distinct(grams))
+
+
+def kgrams(tokens: Column, k: int = KGRAM) -> Column:
+    """Distinct runs of k tokens, as text; of fewer tokens, one run of them all; of none, none."""
+    return _runs(tokens, k, lambda i: F.array_join(F.slice(tokens, i + 1, k), "\u0001"), "string")
+
+
+def kgram_hashes(tokens: Column, k: int = KGRAM) -> Column:
+    """The same runs as 64-bit hashes, which take a quarter of the bytes of a shuffle and no text. ``tokens`` is a column
+    that exists: an expression would be worked out anew at every run."""
+    return _runs(tokens, k, lambda i: F.xxhash64(*(F.get(tokens, i + j) for j in range(k))), "bigint")
 
 
 def exploded(units: DataFrame, terms: Column, *keys: str, lang: str | None = None) -> DataFrame:

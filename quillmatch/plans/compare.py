@@ -130,7 +130,7 @@ def two_files(spark: SparkSession, a: tuple[str, str, str], b: tuple[str, str, s
     names = M.paired(pair, ids).select("a", "b", F.col("cosine").alias("id_cosine"), F.col("jaccard").alias("id_jaccard"))
     toks = files.select("unit", F.when(F.col("lang") == "rust", K.tokens(F.col("text"), "rust")).when(F.col("lang") == "kotlin", K.tokens(F.col("text"), "kotlin")).otherwise(K.tokens(F.col("text"))).alias("t"))
     tok = M.paired(pair, K.exploded(toks, F.col("t"), "unit")).select("a", "b", F.col("cosine").alias("token_cosine"), F.col("jaccard").alias("token_jaccard"))
-    gram = M.paired(pair, toks.select("unit", F.explode(K.kgrams(F.col("t"))).alias("term"), F.lit(1).alias("n"))).select("a", "b", F.col("jaccard").alias("kgram_jaccard"))
+    gram = M.paired(pair, toks.select("unit", F.explode(K.kgram_hashes(F.col("t"))).alias("term"), F.lit(1).alias("n"))).select("a", "b", F.col("jaccard").alias("kgram_jaccard"))
     notes = C.comments(files)
     doc = M.paired(pair, K.exploded(notes, X.doc_words(F.col("doc_text")), "unit")).select("a", "b", F.col("cosine").alias("doc_cosine"))
     side = lambda d, k, *cols: d.select(F.col("unit").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in cols))

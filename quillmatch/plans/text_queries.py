@@ -246,7 +246,7 @@ def translit_turn_similarity(spark: SparkSession, sf: str) -> DataFrame:
     units = turns(spark, sf).select("unit", K.tokens(F.col("text")).alias("toks"))
     pairs = turn_pairs(spark, sf)
     tok = M.paired(pairs, K.exploded(units, F.col("toks"), "unit"))
-    grams = M.paired(pairs, units.select("unit", F.explode(K.kgrams(F.col("toks"))).alias("term"), F.lit(1).alias("n")))
+    grams = M.paired(pairs, units.select("unit", F.explode(K.kgram_hashes(F.col("toks"))).alias("term"), F.lit(1).alias("n")))
     both = tok.select("a", "b", "cosine", "jaccard").join(grams.select("a", "b", F.col("jaccard").alias("kgram")), ["a", "b"])
     r = lambda c: F.round(c, 6)
     return both.select("a", "b", r("cosine").alias("token_cosine"), r("jaccard").alias("token_jaccard"), r("kgram").alias("kgram_jaccard"), r(M.transliteration(F.col("cosine"), F.col("jaccard"), F.col("kgram"))).alias("score"))
@@ -267,7 +267,7 @@ SELECT doc_id, item_id, count(*) AS shared, round(count(*)::DOUBLE / any_value(t
 def kgram_contamination(spark: SparkSession, sf: str) -> DataFrame:
     def grams(name, key):
         t = spread(table(spark, sf, name).select(key, "text")).select(key, K.tokens(F.col("text")).alias("t")).filter(F.size("t") >= K.KGRAM)
-        return t.select(key, F.explode(K.kgrams(F.col("t"))).alias("g"))
+        return t.select(key, F.explode(K.kgram_hashes(F.col("t"))).alias("g"))
 
     items = grams("benchmark", "item_id")
     total = items.groupBy("item_id").agg(F.count("*").alias("total"))
