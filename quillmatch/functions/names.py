@@ -54,6 +54,12 @@ def qualified(path: Column) -> Column:
     return F.when(F.size(dirs) > 0, F.concat(F.element_at(dirs, -1), F.lit("."), stem(path))).otherwise(stem(path))
 
 
+def matches_path(path: Column, part: Column) -> Column:
+    """Whether a path contains a part, both without extension, case and underscores."""
+    bare = lambda c: canonical(F.regexp_replace(c, r"(?<=[^/])\.[^./]*$", ""))
+    return F.contains(bare(path), bare(part))
+
+
 def parent_of(name: Column) -> Column:
     """What stands before the last dot; empty without one."""
     return F.when(F.instr(name, ".") > 0, F.regexp_replace(name, r"\.[^.]*$", "")).otherwise("")

@@ -6,6 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def zeros(n: int) -> Column:
+    return F.array_repeat(F.lit(0.0), n)
+
+
+def joined(a: Column, b: Column) -> Column:
+    """The values of a, then those of b."""
+    return F.concat(a, b)
+
+
 def add(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 

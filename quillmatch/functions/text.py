@@ -102,3 +102,17 @@ def only_wires_modules(c: Column) -> Column:
     """All lines that remain without comments declare modules, re-export or are attributes."""
     kept = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_replace(c, r"(?s)/\*.*?\*/", ""), r"//[^\n]*", ""), "\n"), F.trim), lambda x: x != "")
     return F.forall(kept, lambda x: x.rlike(r"^(#!?\[|(pub(\([a-z]+\))?\s+)?(mod|use|extern crate)\b)"))
+
+
+def has_macro_rules(text: Column) -> Column:
+    return F.contains(text, F.lit("macro_rules!"))
+
+
+def script_todos(text: Column) -> Column:
+    """What follows "TODO" and a colon or blank, to the line's end, in any case of letters, in order."""
+    return F.regexp_extract_all(text, F.lit(r"(?i)TODO[:\s](.*)"), 1)
+
+
+def is_script_stub(text: Column, stub_bodies: Column, lines: Column) -> Column:
+    """A TypeScript unit with stub bodies, or one of 50 lines or fewer that speaks of work to do."""
+    return stub_bodies | ((lines <= 50) & text.rlike(r"(?i)TODO|FIXME|placeholder|not implemented|not yet implemented"))

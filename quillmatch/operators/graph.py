@@ -77,3 +77,18 @@ def import_rows(files: DataFrame) -> DataFrame:
     clean = F.regexp_replace(F.col("raw"), r"\s+as\s+\w+$", "")
     item = F.regexp_extract(clean, r"([^:./]+|\{.*\})$", 1)
     return raw.select("importer", clean.alias("module_path"), item.alias("item"), (item == "*").alias("wildcard"))
+
+
+def python_imports(files: DataFrame) -> DataFrame:
+    """The same of whole Python texts (path, text): statements may go on over lines, in brackets or after a backslash."""
+    text = F.regexp_replace(F.col("text"), r"\\\r?\n", " ")
+    found = F.regexp_extract_all(text, F.lit(r"(?m)(?:^|;)[ \t]*((?:from[ \t]+[\w.]+[ \t]+import\b[ \t]*(?:\([^)]*\)|[^\n;#]*))|(?:import[ \t]+[^\n;#]*))"), 1)
+    said = files.select(F.col("path").alias("importer"), F.explode(found).alias("said"))
+    module = F.regexp_extract("said", r"^from\s+([\w.]+)", 1)
+    listed = F.regexp_replace(F.regexp_replace(F.regexp_replace("said", r"#[^\n]*", " "), r"(?s)^(?:from\s+[\w.]+\s+)?import\b", ""), r"[()]", " ")
+    names = F.filter(F.transform(F.split(listed, ","), lambda n: F.regexp_replace(F.trim(F.regexp_replace(n, r"\s+", " ")), " as .*$", "")), lambda n: n != "")
+    rows = said.select("importer", module.alias("module"), F.explode(names).alias("name"))
+    from_ = F.col("module") != ""
+    star = from_ & (F.col("name") == "*")
+    path = F.when(star, F.col("module")).when(from_, F.concat("module", F.lit("."), "name")).otherwise(F.col("name"))
+    return rows.select("importer", path.alias("module_path"), F.when(from_, F.col("name")).otherwise(F.regexp_extract("name", r"([^.]*)$", 1)).alias("item"), star.alias("wildcard"))

@@ -14,6 +14,8 @@ SAMPLE = 2000
 ARITHMETIC, COMPARISON, LOGICAL, BITWISE, ASSIGNMENT = 75, 76, 77, 78, 79
 _TOKENS = {ARITHMETIC: "++ -- % / * - +", COMPARISON: "!== === >= <= > < != ==", LOGICAL: "not or and ! || &&", BITWISE: ">> << ~ ^ | &", ASSIGNMENT: "^= |= &= %= /= *= -= += ="}
 _SIGNS = "".join(chr(0x100 + k) for k in range(1000))
+_NAMED = "0 BLOCK 1 IF 2 FOR 3 WHILE 4 SWITCH 5 RETURN 7 CONTINUE 8 BREAK 9 TRY 10 THROW 11 ASSIGN 20 EQ 21 NE 22 GT 23 LT 26 ADD 27 SUB 28 MUL 29 DIV 41 INDEX 42 FIELD_ACCESS 43 CALL 44 METHOD_CALL 45 LAMBDA 50 VARIABLE 51 NUMBER 52 STRING 60 FUNCTION 61 CLASS 62 STRUCT 65 VAR_DECL 99 UNKNOWN".split()
+TYPE_NAMES = dict(zip(map(int, _NAMED[::2]), _NAMED[1::2]))
 OPERATOR_TOKENS = {kind: tuple(tokens.split()) for kind, tokens in _TOKENS.items()}
 
 
@@ -62,6 +64,11 @@ def histogram(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("node_type").between(0, 99)).groupBy("unit", F.col("node_type").alias("term")).agg(F.count("*").alias("n"))
 
 
+def type_name(node_type: Column) -> Column:
+    """The name of a node type; "OTHER" for the types that have none of their own."""
+    return F.coalesce(F.create_map([F.lit(x) for kv in TYPE_NAMES.items() for x in kv])[node_type], F.lit("OTHER"))
+
+
 def unmapped(nodes: DataFrame) -> DataFrame:
     return nodes.filter("node_type = 99").groupBy("label").agg(F.count("*").alias("n"))
 

@@ -35,8 +35,8 @@ class Corpus:
     def of(cls, files: DataFrame) -> Corpus:
         """files has path, lang and text."""
         named = files.select(F.col("path").alias("unit"), "path", "lang", "text")
-        rows = X.lines(files)
-        return cls(named, cut(C.symbols(named)), cut(X.provenance(rows)), cut(X.line_stats(rows)), cut(G.import_rows(rows)))
+        rows, python = X.lines(files), N.language(F.col("path")) == "python"
+        return cls(named, cut(C.symbols(named)), cut(X.provenance(rows)), cut(X.line_stats(rows)), cut(G.import_rows(rows.filter(~python)).unionByName(G.python_imports(files.filter(python)))))
 
     def functions(self) -> DataFrame:
         fns = self.symbols.filter(F.col("kind").isin("FUNCTION", "IMPL_METHOD") & F.col("has_body"))

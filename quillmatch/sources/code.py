@@ -98,6 +98,15 @@ def strip_code(text: str, lang: str = "kotlin") -> tuple[str, str]:
     return blanked(text, lang), "\n".join(comments)
 
 
+def _of_trait(toks: list[tuple[str, str, int]], i: int) -> bool:
+    """Whether the head of an impl, which begins at i, names a trait: "for" before the body, and not as "for<"."""
+    while i + 1 < len(toks) and toks[i][1] not in ("{", ";", "}"):
+        if toks[i][1] == "for" and toks[i + 1][1] != "<":
+            return True
+        i += 1
+    return False
+
+
 def island(text: str, lang: str) -> tuple:
     """A tree of (type, [children]) or (type, label)."""
     toks = [t for t in lex(text, lang) if t[0] not in ("comment", "lifetime")]
@@ -126,7 +135,7 @@ def island(text: str, lang: str) -> tuple:
             elif kind == "name" and t in STARTERS.get(lang, ()) and i < len(toks):
                 out.append(function())
             elif kind == "name" and t in TYPES:
-                label = []
+                label, begin = [], i
                 while i < len(toks) and toks[i][1] not in ("{", ";", "}") and (lang != "kotlin" or toks[i][2] == line or toks[i][1] in (":", ",", "(", ")")):
                     if toks[i][0] == "name":
                         label.append((VARIABLE, toks[i][1]))
@@ -135,7 +144,13 @@ def island(text: str, lang: str) -> tuple:
                 if i < len(toks) and toks[i][1] == "{":
                     i += 1
                     body = [(BLOCK, upto("}"))]
-                out.append((TYPES[t], [*label, *body]))
+                made = TYPES[t]
+                if t == "impl":  # of a trait, it and its body are flattened away later; else it is a block like a class's body
+                    made = PACKAGE if _of_trait(toks, begin) else BLOCK
+                    body = [(made, b[1]) for b in body]
+                elif t == "object" and lang == "kotlin" and label and toks[begin - 2][1] != "companion" and not (body and body[0][1]):
+                    made = PACKAGE  # an empty object marks a module
+                out.append((made, [*label, *body]))
             elif kind == "name" and t in KEYWORDS:
                 out.append((KEYWORDS[t], []))
             elif kind == "name":

@@ -9,6 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from quillmatch.functions import packages
 from quillmatch.functions import names as N
 from quillmatch.functions import text as X
 from quillmatch.operators import graph as G
@@ -177,3 +178,33 @@ def test_the_rest_stands_without_llm():
     """With the llm folders and the pipeline hidden, the entry module imports and offers the other queries."""
     script = "import sys; sys.modules['quillmatch.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') and k[2].isdigit() or k == 'pipeline' for k in q); print(len(q))"
     assert int(subprocess.run([sys.executable, "-c", script], cwd=ROOT, capture_output=True, text=True, check=True).stdout) > 80
+
+
+def test_impls_and_empty_objects(spark):
+    def kinds(text, lang):
+        tree = C.island(text, lang)
+        return [(kind, [k[0] for k in kids if k[0] != C.VARIABLE]) for kind, kids in tree[1]]
+
+    assert kinds("impl A for B { fn f() {} }", "rust") == [(C.PACKAGE, [C.PACKAGE])]
+    assert kinds("impl B { fn f() {} }", "rust") == [(C.BLOCK, [C.BLOCK])]
+    assert kinds("impl<F> B<F> where F: for<'a> Fn(&'a u8) { }", "rust")[0][0] == C.BLOCK
+    assert kinds("object A\nobject B {}\nobject C { val x = 1 }", "kotlin") == [(C.PACKAGE, []), (C.PACKAGE, [C.BLOCK]), (C.CLASS, [C.BLOCK])]
+    assert kinds("companion object A {}", "kotlin")[-1][0] == C.CLASS
+
+
+def test_packages(spark):
+    files = [("src/a/mod.rs", "", ["a"]), ("lib.rs", "", []), ("src/a/b.rs", None, ["a", "b"]), ("a/__init__.py", "", ["a"]), ("x.kt", "// c\npackage a.`in`.b\n", ["a", "in", "b"]), ("x.kt", "val s = 1", []), ("x.kt", None, None), ("x.kt", "", []),
+             ("include/a/b.hpp", "namespace { int x; }", ["a", "b"]), ("b.cc", "namespace a::b { namespace c { } } namespace d { }", ["a", "b", "c"]), ("b.txt", "package a", []), (None, "package a", [])]
+    df = spark.createDataFrame([(i, *f[:2]) for i, f in enumerate(files)], "i int, path string, text string")
+    got = [r["p"] for r in df.select("i", packages.package_of(F.col("path"), F.col("text")).alias("p")).orderBy("i").collect()]
+    assert got == [f[2] for f in files]
+
+
+def test_streams_keep_their_result(spark, tmp_path):
+    from quillmatch.streaming import tasks as stream
+
+    folder = f"{tmp_path}/in"
+    spark.range(6).coalesce(1).write.parquet(folder)
+    now = spark.readStream.schema("id long").parquet(folder)
+    assert sorted(r["id"] for r in stream.run(now, "append").collect()) == list(range(6))
+    assert stream.run(now.groupBy().count(), "complete").collect()[0]["count"] == 6
