@@ -5,31 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmatch.llm import bpe, decontaminate, langid, minhash, toxicity
-from quillmatch.llm.common import new_path, remove, table
+from quillmatch.llm.common import new_path, remove, small_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go."""
+    small_batches(spark)
     return toxicity.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that lie too far from every language go."""
+    small_batches(spark)
     return langid.keep(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    small_batches(spark)
     return minhash.dedup(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark passage, or a paraphrase of one with its answer, go."""
+    small_batches(spark)
     return decontaminate.keep(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with the check that they decode to the text."""
+    small_batches(spark)
     return bpe.encode(docs)
 
 

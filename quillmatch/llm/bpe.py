@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import list_array, map_arrow
+from .common import Kept, list_array, map_arrow
 
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Distinct pieces that a worker remembers before it starts afresh: bounds memory only, never results.
@@ -72,15 +72,13 @@ def cuts_by_pattern(spec: dict) -> bool:
 
 
 class Codec:
-    """A tokeniser file with its byte table. One lives in each Python worker."""
+    """A tokeniser file with its byte table. One lives in each Python worker, until it does other work."""
 
-    _here: dict[str, Codec] = {}
+    _here = Kept()
 
     @classmethod
     def of(cls, path: str) -> Codec:
-        if path not in cls._here:
-            cls._here[path] = cls(path)
-        return cls._here[path]
+        return cls._here.made(path, lambda: cls(path))
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -263,7 +261,7 @@ def encode(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         there = batch.column("text").is_valid().to_numpy(zero_copy_only=False)
-        for i, j, codec, ids, ptr, b, o in encode_batch(batch, tokenizer):
+        for i, j, codec, ids, ptr, b, o in encode_batch(batch, tokenizer, K.CHUNK_BYTES):
             ok = there[i:j]
             yield {
                 "doc_id": batch.column("doc_id").slice(i, j - i),

@@ -16,6 +16,34 @@ from pyspark.sql import types as T
 
 _own_dir: str | None = None
 
+#: Bytes of the Arrow batches that pass between an executor and its Python workers; Spark's own limit is 64 MB, of which
+#: either side holds several.
+BATCH_BYTES = 4 << 20
+
+
+class Kept(dict):
+    """What a Python worker keeps from one partition to the next. tidy() empties it behind a partition that didn't ask for any."""
+
+    every: list[Kept] = []
+
+    def __init__(self):
+        super().__init__()
+        self.asked = False
+        self.every.append(self)
+
+    def made(self, key: object, make: Callable[[], object]) -> object:
+        self.asked = True
+        if key not in self:
+            self[key] = make()
+        return self[key]
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by ``BATCH_BYTES``, unless its application was started with a bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(name):
+        spark.conf.set(name, str(BATCH_BYTES))
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests, which run
@@ -91,6 +119,10 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
 
 def tidy() -> None:
     """Gives memory that a partition's arrays held back to the system, as workers live on for later stages."""
+    for kept in Kept.every:
+        if not kept.asked:
+            kept.clear()
+        kept.asked = False
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

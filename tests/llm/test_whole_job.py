@@ -5,7 +5,8 @@ from collections import Counter
 
 import numpy as np
 
-from quillmatch.llm import decontaminate, langid, lmscore
+import corpus_pipeline
+from quillmatch.llm import bpe, common, decontaminate, langid, lmscore
 
 from .test_text_ops import bench, docs, labels, prose, words_of
 
@@ -72,3 +73,23 @@ def test_unknown_latin_languages_and_junk_are_rejected(spark):
     assert {r["doc_id"] for r in kept.collect()} == {k for k, v in got.items() if not v}
     unlabelled = docs(spark, [(k, t, None) for k, t, _ in rows])
     assert langid.keep(unlabelled).count() == len(rows) and not any(r["rejected"] for r in langid.identify(unlabelled).collect())
+
+
+def test_pipeline_bounds_what_workers_hold(spark, monkeypatch):
+    """Batches are bounded by bytes, and a tokeniser goes from a worker that has turned to other work."""
+    monkeypatch.setattr(common, "BATCH_BYTES", 1 << 16)
+    rows = docs(spark, [(k, prose(k, 400), "en") for k in range(200)]).coalesce(1)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        assert corpus_pipeline.tokenize(spark, rows, "").filter("round_trip").count() == 200
+        sizes = common.map_arrow(rows.select("text"), lambda b: iter([{"n": [b.nbytes]}]), "n long").collect()
+    finally:
+        spark.conf.set(name, before)
+    assert max(r["n"] for r in sizes) < 1 << 17
+    codec = bpe.Codec.of(bpe.DEFAULT_TOKENIZER)
+    common.tidy()
+    assert bpe.Codec.of(bpe.DEFAULT_TOKENIZER) is codec
+    common.tidy()
+    common.tidy()
+    assert bpe.Codec.of(bpe.DEFAULT_TOKENIZER) is not codec
