@@ -2,14 +2,16 @@
 
 1. Over all documents, cut into passages of 64 words, the document frequencies of the benchmark's words.
 2. The passages of the corpus near the benchmark: those whose TF-IDF vector has a cosine of ``NEAR`` or more with that of
-   some benchmark passage (items of over 64 words are cut into passages of equal length, 64 words at most). They bring in
-   words that stand beside the benchmark's: up to ``EXTRA`` words, those in the most near passages and in three at least.
-3. A distributed randomised SVD of the TF-IDF matrix of both kinds of passages, its rows normalised and the near ones
-   scaled to weigh as much together as the benchmark's. Its rank is ``RANK`` or two thirds of the benchmark's passages,
-   whichever is less, so it keeps what passages have in common and merges words that stand for each other. In each round
-   over the rows a partition adds its x (x . Omega), whose range is Q; then its x (x . Q), ``POWERS`` times in all; the
-   small eigenproblem of one more round gives the right singular vectors. (All passages of the corpus were tried instead of the near ones: the largest directions
-   are then the corpus's own frequent words, in which a benchmark passage is hardly visible.)
+   some benchmark passage (items of over 64 words are cut into passages of equal length, 64 words at most). They only name
+   the words that the space has besides the benchmark's: those in the most near passages and in three at least, ``EXTRA`` at
+   most, which bounds the space's memory. Their document frequencies are counted over all passages.
+3. A distributed randomised SVD of the TF-IDF matrix of the benchmark's passages and of all the corpus's, its rows normalised.
+   A corpus passage weighs 1 from a cosine of ``NEAR`` on and (cosine / NEAR) ** FADE below, and all together as much as the
+   benchmark's. (With equal weights the largest directions are the corpus's own frequent words, in which a benchmark passage
+   is hardly visible.) Its rank is ``RANK`` or two thirds of the benchmark's passages, whichever is less, so it keeps what
+   passages have in common and merges words that stand for each other. In each round over the rows a partition adds its
+   x (x . Omega), whose range is Q; then its x (x . Q), ``POWERS`` times in all; the small eigenproblem of one more round gives
+   the right singular vectors.
 4. Every window of 32 words (items of 32 words or fewer) or 64 words (longer items), each overlapping the next by
    half, is projected and compared with every benchmark passage by cosine in the latent space. ``COSINE`` or more makes
    a candidate, if ``WITHIN`` of the window's weight lies in the space. Items of up to 16, 8 and 4 words are compared with
@@ -43,10 +45,10 @@ from . import kernel as K
 from .common import cut, fold_arrow, map_arrow, tidy
 
 PASSAGE, BLOCK, RANK, OVERSAMPLE, POWERS, LOT = 64, 16, 96, 16, 3, 4096
-NEAR, EXTRA, EXTRA_LEAST, WITHIN = 0.3, 1 << 14, 3, 0.05
+NEAR, EXTRA, EXTRA_LEAST, WITHIN, FADE = 0.3, 1 << 14, 3, 0.05, 8
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.5, 0.75, 0.55, 0.75
 COMMON, COMMON_LEAST = 0.05, 20
-_SIZE, _CELLS = 1 << 19, 512
+_SIZE, _CELLS, OFTEN = 1 << 19, 512, 1 << 10
 
 
 @dataclass
@@ -142,38 +144,57 @@ def frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
     return df, total
 
 
+class Nearness:
+    """Exact TF-IDF cosines of passages with the nearest benchmark passage."""
+
+    def __init__(self, items: Items, weight: np.ndarray):
+        mine = items.passages()
+        self.size, self.weight = len(mine), weight
+        terms = [np.unique(np.searchsorted(items.vocab, items.words[k][a:b]), return_counts=True) for k, a, b in mine]
+        norm = np.array([np.sqrt(max(float(((n * weight[r]) ** 2).sum()), 1e-9)) for r, n in terms])
+        word, passage = np.concatenate([r for r, _ in terms]), np.repeat(np.arange(self.size), [len(r) for r, _ in terms])
+        value = np.concatenate([n for _, n in terms]) * weight[word] ** 2 / norm[passage]
+        order = np.argsort(word, kind="stable")
+        self.passage, self.value = passage[order].astype(np.int64), value[order]
+        self.ptr = np.searchsorted(word[order], np.arange(len(weight) + 1))
+        #: Bytes of text to take at a time, as there is a number for each passage of the text and of the benchmark.
+        self.bytes = max(1 << 14, min(_SIZE, (1 << 28) // self.size))
+
+    def cosines(self, which: np.ndarray, row: np.ndarray, size: int) -> np.ndarray:
+        """Of ``size`` passages, from the passage and the vocabulary row of each word that weighs something."""
+        pair, n = np.unique(which * len(self.weight) + row, return_counts=True)
+        which, row = pair // len(self.weight), pair % len(self.weight)
+        square = np.bincount(which, (n * self.weight[row]) ** 2, minlength=size)
+        often = self.ptr[row + 1] - self.ptr[row]
+        post = K.gather(self.ptr, row)
+        key = np.repeat(which, often) * self.size + self.passage[post]
+        dot = np.bincount(key, self.value[post] * np.repeat(n, often), minlength=size * self.size).reshape(-1, self.size).max(1)
+        return dot / np.sqrt(np.maximum(square, 1e-9))
+
+
+def _placed(w: K.Words, at: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Passages of each text, the first of each, and the passage of each of some words."""
+    per = -(-np.diff(w.ptr) // PASSAGE)
+    base = np.cumsum(per) - per
+    return per, base, base[np.searchsorted(w.ptr, at, side="right") - 1] + inside // PASSAGE
+
+
 def near_passages(docs: DataFrame, items: Items, weight: np.ndarray) -> DataFrame:
     """words (hashes, as bytes) of the corpus passages near a benchmark passage, by exact TF-IDF cosine."""
-    mine = items.passages()
-    size = len(mine)
-    terms = [np.unique(np.searchsorted(items.vocab, items.words[k][a:b]), return_counts=True) for k, a, b in mine]
-    norm = np.array([np.sqrt(max(float(((n * weight[r]) ** 2).sum()), 1e-9)) for r, n in terms])
-    word, passage = np.concatenate([r for r, _ in terms]), np.repeat(np.arange(size), [len(r) for r, _ in terms])
-    value = np.concatenate([n for _, n in terms]) * weight[word] ** 2 / norm[passage]
-    order = np.argsort(word, kind="stable")
-    passage, value = passage[order].astype(np.int64), value[order]
-    ptr = np.searchsorted(word[order], np.arange(len(weight) + 1))
+    nearness = Nearness(items, weight)
     state: list = []
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         if not state:
             state.append(items.index())
-        for _, _, w in K.each_chunk(batch.column("text"), max(1 << 14, min(_SIZE, (1 << 28) // size))):
+        for _, _, w in K.each_chunk(batch.column("text"), nearness.bytes):
             row, at, inside = _tokens(w, state[0])
             on = weight[row] > 0
             row, at, inside = row[on], at[on], inside[on]
             if not len(row):
                 continue
-            per = -(-np.diff(w.ptr) // PASSAGE)
-            base = np.cumsum(per) - per
-            doc = np.searchsorted(w.ptr, at, side="right") - 1
-            pair, n = np.unique((base[doc] + inside // PASSAGE) * len(weight) + row, return_counts=True)
-            which, row = pair // len(weight), pair % len(weight)
-            square = np.bincount(which, (n * weight[row]) ** 2, minlength=int(per.sum()))
-            post = K.gather(ptr, row)
-            key = np.repeat(which, ptr[row + 1] - ptr[row]) * size + passage[post]
-            dot = np.bincount(key, value[post] * np.repeat(n, ptr[row + 1] - ptr[row]), minlength=len(square) * size).reshape(-1, size).max(1)
-            near = np.flatnonzero(dot >= NEAR * np.sqrt(np.maximum(square, 1e-9)))
+            per, base, which = _placed(w, at, inside)
+            near = np.flatnonzero(nearness.cosines(which, row, int(per.sum())) >= NEAR)
             owner = np.repeat(np.arange(len(per)), per)[near]
             begin = w.ptr[owner] + (near - base[owner]) * PASSAGE
             end = np.minimum(begin + PASSAGE, w.ptr[owner + 1])
@@ -182,15 +203,48 @@ def near_passages(docs: DataFrame, items: Items, weight: np.ndarray) -> DataFram
     return map_arrow(docs.select(F.col("text").cast("string")), run, "words binary")
 
 
+def all_passages(docs: DataFrame, items: Items, weight: np.ndarray, extra: np.ndarray) -> DataFrame:
+    """words (hashes, as bytes) and weight of every corpus passage. Of its words, those of the benchmark that weigh something
+    and the extra ones; a passage without any gives no row."""
+    nearness = Nearness(items, weight)
+    vocab = np.concatenate([items.vocab[weight > 0], extra])
+    own = np.flatnonzero(weight > 0)
+    state: list = []
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        if not state:
+            state.append(index_of(vocab))
+        for _, _, w in K.each_chunk(batch.column("text"), nearness.bytes):
+            row, at, inside = _tokens(w, state[0])
+            if not len(row):
+                continue
+            per, _, which = _placed(w, at, inside)
+            mine = row < len(own)
+            share = np.minimum(nearness.cosines(which[mine], own[row[mine]], int(per.sum())) / NEAR, 1.0) ** FADE if mine.any() else np.zeros(int(per.sum()))
+            first = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
+            off = np.append(first, len(row)).astype(np.int32) * np.int32(8)
+            words = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(off), pa.py_buffer(w.full[at])])
+            yield {"words": words, "weight": pa.array(share[which[first]].astype(np.float32))}
+
+    return map_arrow(docs.select(F.col("text").cast("string")), run, "words binary, weight float")
+
+
+def _flat(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a column of passages, and how many each has."""
+    texts = [x.as_buffer() for x in words]
+    return np.frombuffer(b"".join(texts), np.uint64), np.array([len(x) // 8 for x in texts], np.int64)
+
+
 def extra_words(near: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words of near passages that the benchmark lacks, and in how many of these passages each is."""
+    """The words of passages that the benchmark lacks, and in how many of these passages each is."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        found = [np.unique(np.frombuffer(x.as_buffer(), np.uint64)) for x in batch.column("words")]
-        if found:
-            word, n = np.unique(np.concatenate(found), return_counts=True)
-            new = vocab[np.minimum(np.searchsorted(vocab, word), len(vocab) - 1)] != word
-            yield {"word": word[new].view(np.int64), "n": n[new]}
+        flat, n = _flat(batch.column("words"))
+        new = vocab[np.minimum(np.searchsorted(vocab, flat), len(vocab) - 1)] != flat
+        if new.any():
+            word, code = np.unique(flat[new], return_inverse=True)
+            once = np.unique(np.repeat(np.arange(len(n)), n)[new] * len(word) + code)
+            yield {"word": word.view(np.int64), "n": np.bincount(once % len(word), minlength=len(word))}
 
     counted = map_arrow(near, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= EXTRA_LEAST)
     rows = counted.orderBy(F.desc("n"), "word").limit(EXTRA).collect()
@@ -198,36 +252,51 @@ def extra_words(near: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def products(near: DataFrame, items: Items, space: Space, right: np.ndarray, scale: float) -> np.ndarray:
-    """Sum of x (x . right) over the TF-IDF rows x of the near passages, times scale, and of the benchmark's."""
+    """Sum of x (x . right) over the TF-IDF rows x of the passages, times their weights (1 without any) and scale, and of
+    the benchmark's."""
     size, width = right.shape
+    weight = space.weight.astype(np.float32)
     weighted = (right * space.weight[:, None]).astype(np.float32)
-
-    def add(z: np.ndarray, index: K.HashIndex, texts: list[np.ndarray]) -> None:
-        ptr = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        row = index.find(np.concatenate(texts))
-        on = np.flatnonzero(row >= 0)
-        owner, row = np.searchsorted(ptr, on, side="right") - 1, row[on].astype(np.int64)
-        pair, n = np.unique(owner * size + row, return_counts=True)
-        owner, row = pair // size, pair % size
-        square = np.bincount(owner, (n * space.weight[row]) ** 2, minlength=len(texts))
-        y = np.zeros((len(texts), width), np.float32)
-        if not len(owner):
+    # the words that most passages have go through dense products, the others one by one
+    often = np.argsort(np.where(space.weight > 0, space.weight, np.inf), kind="stable")[:OFTEN]
+    column = np.full(size, -1, np.int32)
+    column[often] = np.arange(len(often))
+    weighted_often = weighted[often]
+
+    def add(z: np.ndarray, index: K.HashIndex, flat: np.ndarray, n: np.ndarray, share: np.ndarray | None = None) -> None:
+        row = index.find(flat)
+        on = (row >= 0) & (space.weight[row] > 0)
+        if not on.any():
             return
-        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        y[owner[first]] = np.add.reduceat(weighted[row] * n[:, None].astype(np.float32), first)
-        y /= np.maximum(square, 1e-9)[:, None].astype(np.float32)  # both factors are normalised
-        order = np.argsort(row, kind="stable")
-        row, owner, n = row[order], owner[order], n[order]
-        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        z[row[first]] += np.add.reduceat(y[owner] * (n * space.weight[row])[:, None].astype(np.float32), first)
+        pair, times = np.unique(np.repeat(np.arange(len(n)), n)[on] * size + row[on], return_counts=True)
+        owner, row = pair // size, pair % size
+        square = np.bincount(owner, (times * space.weight[row]) ** 2, minlength=len(n))
+        much = column[row] >= 0
+        dense = np.zeros((len(n), len(often)), np.float32)
+        dense[owner[much], column[row[much]]] = times[much]
+        owner, row = (np.repeat(x[~much], times[~much]) for x in (owner, row))
+        y = dense @ weighted_often
+        if len(owner):
+            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            y[owner[first]] += _segment_sums(weighted, row, first)
+        y *= ((1 if share is None else share) / np.maximum(square, 1e-9))[:, None].astype(np.float32)  # both factors are normalised
+        if len(owner):
+            order = np.argsort(row, kind="stable")
+            row, owner = row[order], owner[order]
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            z[row[first]] += _segment_sums(y, owner, first) * weight[row[first], None]
+        z[often] += (dense.T @ y) * weight[often, None]
 
     def start() -> list:
         return [index_of(space.vocab), np.zeros((size, width), np.float32)]
 
     def step(state: list, batch: pa.RecordBatch) -> None:
-        texts = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("words")]
-        for i in range(0, len(texts), 1024):
-            add(state[1], state[0], texts[i : i + 1024])
+        share = batch.column("weight").to_numpy() if "weight" in batch.schema.names else np.ones(batch.num_rows)
+        flat, n = _flat(batch.column("words"))
+        end = np.cumsum(n)
+        for i in range(0, len(n), 1024):
+            j = min(i + 1024, len(n))
+            add(state[1], state[0], flat[end[i] - n[i] : end[j - 1]], n[i:j], share[i:j])
 
     def parts(state: list) -> Iterator[dict]:
         at = [i for i in range(0, size, _CELLS) if state[1][i : i + _CELLS].any()]
@@ -243,14 +312,16 @@ def products(near: DataFrame, items: Items, space: Space, right: np.ndarray, sca
             yield {"part": [part], "z": [z.tobytes()]}
 
     out = np.zeros((size, width), np.float32)
-    partial = fold_arrow(near, start, step, parts, "part int, z binary")
+    few = near.coalesce(near.sparkSession.sparkContext.defaultParallelism)  # as each task sends a table of its own
+    partial = fold_arrow(few, start, step, parts, "part int, z binary")
     for part, z in fold_arrow(partial.repartition("part"), dict, merge, merged, "part int, z binary").collect():
         out[part : part + _CELLS] = np.frombuffer(bytes(z), np.float32).reshape(-1, width)
     out *= np.float32(scale)
     mine = items.passages()
     index = index_of(space.vocab)
     for i in range(0, len(mine), 1024):
-        add(out, index, [items.words[k][a:b] for k, a, b in mine[i : i + 1024]])
+        part = [items.words[k][a:b] for k, a, b in mine[i : i + 1024]]
+        add(out, index, np.concatenate(part), np.array([len(x) for x in part]))
     return out
 
 
@@ -263,8 +334,8 @@ class Space:
     basis: np.ndarray | None = None
 
 
-def latent(near: DataFrame, n_near: int, items: Items, space: Space) -> np.ndarray:
-    """Right singular vectors of the passages' TF-IDF matrix, largest first."""
+def latent(near: DataFrame, n_near: float, items: Items, space: Space) -> np.ndarray:
+    """Right singular vectors of the TF-IDF matrix of the benchmark's passages and of others, which weigh n_near together."""
     n = len(items.passages())
     rank = min(RANK, max(1, 2 * n // 3))
     scale = n / n_near if n_near else 0.0
@@ -439,12 +510,13 @@ def prepare(docs: DataFrame, items: Items) -> Search:
         if common[row].all():
             common[row] = False
     weight = np.where(common, 0.0, weight)
-    near = cut(near_passages(docs, items, weight))
-    n_near = near.count()
-    extra, n = extra_words(near, items.vocab)
-    idf = np.where((n > COMMON * n_near) & (n > COMMON_LEAST), 0.0, np.log((1 + n_near) / (1 + n)) + 0.01)
+    beside, _ = extra_words(near_passages(docs, items, weight), items.vocab)
+    every = cut(all_passages(docs, items, weight, beside))
+    mass = every.agg(F.sum("weight")).first()[0] or 0.0
+    extra, n = extra_words(every, items.vocab)
+    idf = np.where((n > COMMON * total) & (n > COMMON_LEAST), 0.0, np.log((1 + total) / (1 + n)) + 0.01)
     space = Space(np.concatenate([items.vocab, extra]), np.concatenate([weight, idf]))
-    space.basis = latent(near, n_near, items, space)
+    space.basis = latent(every, mass, items, space)
     return Search(items, space)
 
 

@@ -4,11 +4,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
-from quillmatch.llm import bpe, common, decontaminate, langid, lmscore
+from quillmatch.llm import bpe, common, decontaminate, kernel, langid, lmscore
 
-from .test_text_ops import bench, docs, labels, prose, words_of
+from .test_text_ops import bench, dense, docs, labels, prose, words_of
 
 
 def test_scores_tell_rare_words_apart(spark, monkeypatch):
@@ -93,3 +94,36 @@ def test_pipeline_bounds_what_workers_hold(spark, monkeypatch):
     common.tidy()
     common.tidy()
     assert bpe.Codec.of(bpe.DEFAULT_TOKENIZER) is not codec
+
+
+def test_latent_space_is_that_of_all_passages(spark, monkeypatch):
+    """Words beside the benchmark's are counted in all passages, and far passages enter the space by their cosine."""
+    monkeypatch.setattr(decontaminate, "RANK", 16)
+    g = random.Random(5)
+    items = [(k, " ".join(f"item{k}n{i}" if i % 2 else f"all{g.randrange(60)}" for i in range(40))) for k in range(30)]
+    rows = []
+    for k in range(240):
+        own = items[k % 30][1].split()
+        if k % 3 == 0:  # near
+            rows.append((k, " ".join([*own[:24], *(f"beside{g.randrange(300)}" for _ in range(20))]), "en"))
+        else:  # far, with words that stand beside the benchmark's
+            rows.append((k, " ".join(g.choices(own, k=2) + [f"all{g.randrange(60)}" for _ in range(6)] + [f"beside{g.randrange(300)}" for _ in range(9)] + [f"far{k}n{i}" for i in range(150)]), "en"))
+    lot = next(decontaminate.read_items(decontaminate.passages(bench(spark, items))))
+    space = decontaminate.prepare(docs(spark, rows), lot).space
+    w = next(x for _, _, x in kernel.each_chunk(pa.array([t for _, t, _ in rows])))
+    every = [w.full[i : min(i + 64, y)] for x, y in zip(w.ptr, w.ptr[1:]) for i in range(x, y, 64)]
+    df, size = Counter(h for p in every for h in set(p.tolist())), len(lot.vocab)
+    total = len(every) + len(items)
+    extra = space.vocab[size:].tolist()
+    assert len(extra) > 100 and (space.weight[size:] > 0).all()
+    for h, weight in zip(extra, space.weight[size:]):
+        assert abs(weight - (np.log((1 + total) / (1 + df[h])) + 0.01)) < 1e-9
+    own = [lot.words[k][a:b] for k, a, b in lot.passages()]
+    plain = decontaminate.Space(lot.vocab, space.weight[:size])
+    near = (dense(plain, every, len(every)) @ dense(plain, own, len(own)).T).max(1)
+    share = np.minimum(near / decontaminate.NEAR, 1) ** decontaminate.FADE
+    assert share[near < decontaminate.NEAR].sum() > 0.01 * share.sum()
+    x = dense(space, [*own, *every], len(own) + len(every))
+    x[len(own) :] *= np.sqrt(share * len(own) / share.sum())[:, None]
+    best = (np.linalg.svd(x, compute_uv=False)[:16] ** 2).sum()
+    assert space.basis.shape[1] == 16 and 0.97 * best <= ((x @ space.basis) ** 2).sum() <= 1.0001 * best
