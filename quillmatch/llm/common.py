@@ -147,6 +147,27 @@ def fold_arrow(df: DataFrame, start: Callable[[], object], step: Callable[[objec
     return df.mapInArrow(run, kind)
 
 
+def gather_arrow(df: DataFrame, start: Callable[[], object], step: Callable[[object, pa.RecordBatch], Iterator[dict]], end: Callable[[object], Iterator[dict]], schema: str) -> DataFrame:
+    """fold_arrow whose step() yields too, for what it can't hold until the end."""
+    kind = T.StructType.fromDDL(schema)
+    arrow = arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = start()
+        for batch in batches:
+            for out in step(state, batch):
+                yield _record(out, arrow)
+        tidy()
+        for out in end(state):
+            yield _record(out, arrow)
+
+    return df.mapInArrow(run, kind)
+
+
+def _record(out: dict, arrow: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(out[f.name]).cast(f.type) for f in arrow], schema=arrow)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow where fn yields dicts of columns for each batch; they are cast to the schema given."""
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema

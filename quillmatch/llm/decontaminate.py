@@ -1,14 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval with subsequence and answer checks.
 
 1. Over all documents, cut into passages of 64 words, the document frequencies of the benchmark's words.
-2. The passages of the corpus near the benchmark: those whose TF-IDF vector has a cosine of ``NEAR`` or more with that of
-   some benchmark passage (items of over 64 words are cut into passages of equal length, 64 words at most). They only name
-   the words that the space has besides the benchmark's: those in the most near passages and in three at least, ``EXTRA`` at
-   most, which bounds the space's memory. Their document frequencies are counted over all passages.
+2. Every passage of the corpus has a cosine with the nearest benchmark passage, of TF-IDF vectors of the benchmark's words
+   (items of over 64 words are cut into passages of equal length, 64 words at most). From ``NEAR`` on it weighs 1, and
+   (cosine / NEAR) ** FADE below. All words of all passages are counted: in how many passages each is, and what these weigh.
+   The space has, besides the benchmark's words, those that weigh most and are in three passages at least; ``EXTRA`` bounds
+   its memory.
 3. A distributed randomised SVD of the TF-IDF matrix of the benchmark's passages and of all the corpus's, its rows normalised.
-   A corpus passage weighs 1 from a cosine of ``NEAR`` on and (cosine / NEAR) ** FADE below, and all together as much as the
-   benchmark's. (With equal weights the largest directions are the corpus's own frequent words, in which a benchmark passage
-   is hardly visible.) Its rank is ``RANK`` or two thirds of the benchmark's passages, whichever is less, so it keeps what
+   The corpus's passages have these weights, and all together as much as the benchmark's. (With equal weights the largest
+   directions are the corpus's own frequent words, in which a benchmark passage is hardly visible.) Its rank is ``RANK`` or two thirds of the benchmark's passages, whichever is less, so it keeps what
    passages have in common and merges words that stand for each other. In each round over the rows a partition adds its
    x (x . Omega), whose range is Q; then its x (x . Q), ``POWERS`` times in all; the small eigenproblem of one more round gives
    the right singular vectors.
@@ -42,13 +42,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import cut, fold_arrow, map_arrow, tidy
+from .common import cut, fold_arrow, gather_arrow, map_arrow, tidy
 
 PASSAGE, BLOCK, RANK, OVERSAMPLE, POWERS, LOT = 64, 16, 96, 16, 3, 4096
 NEAR, EXTRA, EXTRA_LEAST, WITHIN, FADE = 0.3, 1 << 14, 3, 0.05, 8
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.5, 0.75, 0.55, 0.75
 COMMON, COMMON_LEAST = 0.05, 20
-_SIZE, _CELLS, OFTEN = 1 << 19, 512, 1 << 10
+_SIZE, _CELLS, _WORDS, _UNIT, OFTEN = 1 << 19, 512, 1 << 20, 1 << 30, 1 << 10
+_MATRIX = "n binary, row binary, factor binary"
 
 
 @dataclass
@@ -163,7 +164,10 @@ class Nearness:
     def cosines(self, which: np.ndarray, row: np.ndarray, size: int) -> np.ndarray:
         """Of ``size`` passages, from the passage and the vocabulary row of each word that weighs something."""
         pair, n = np.unique(which * len(self.weight) + row, return_counts=True)
-        which, row = pair // len(self.weight), pair % len(self.weight)
+        return self.counted(pair // len(self.weight), pair % len(self.weight), n, size)
+
+    def counted(self, which: np.ndarray, row: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+        """The same, from how often each word is in each passage."""
         square = np.bincount(which, (n * self.weight[row]) ** 2, minlength=size)
         often = self.ptr[row + 1] - self.ptr[row]
         post = K.gather(self.ptr, row)
@@ -171,6 +175,10 @@ class Nearness:
         dot = np.bincount(key, self.value[post] * np.repeat(n, often), minlength=size * self.size).reshape(-1, self.size).max(1)
         return dot / np.sqrt(np.maximum(square, 1e-9))
 
+    def shares(self, which: np.ndarray, row: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+        """What passages weigh in the space."""
+        return np.minimum(self.counted(which, row, n, size) / NEAR, 1.0) ** FADE if len(row) else np.zeros(size)
+
 
 def _placed(w: K.Words, at: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Passages of each text, the first of each, and the passage of each of some words."""
@@ -180,7 +188,8 @@ def _placed(w: K.Words, at: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray,
 
 
 def near_passages(docs: DataFrame, items: Items, weight: np.ndarray) -> DataFrame:
-    """words (hashes, as bytes) of the corpus passages near a benchmark passage, by exact TF-IDF cosine."""
+    """words (hashes, as bytes) of the corpus passages near a benchmark passage, by exact TF-IDF cosine. For small comparisons;
+    prepare() goes by all passages."""
     nearness = Nearness(items, weight)
     state: list = []
 
@@ -203,30 +212,120 @@ def near_passages(docs: DataFrame, items: Items, weight: np.ndarray) -> DataFram
     return map_arrow(docs.select(F.col("text").cast("string")), run, "words binary")
 
 
-def all_passages(docs: DataFrame, items: Items, weight: np.ndarray, extra: np.ndarray) -> DataFrame:
-    """words (hashes, as bytes) and weight of every corpus passage. Of its words, those of the benchmark that weigh something
-    and the extra ones; a passage without any gives no row."""
+def beside(docs: DataFrame, items: Items, weight: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """The words that the space has besides the benchmark's: of all words of all passages, the ``EXTRA`` whose passages weigh
+    most together (then those in most passages). Also in how many passages each is, and what all passages weigh."""
+    nearness = Nearness(items, weight)
+
+    def start() -> list:
+        return [items.index(), K.HashIndex(), [], np.zeros(0, np.int64), np.zeros(0, np.int64), 0]
+
+    def step(state: list, batch: pa.RecordBatch) -> Iterator[dict]:
+        own, index = state[:2]
+        for _, _, w in K.each_chunk(batch.column("text"), nearness.bytes):
+            if index.n > _WORDS:
+                yield from end(state)
+                own, index = state[:2]
+            if not len(w.full):
+                continue
+            per, _, which = _placed(w, np.arange(len(w.full)), np.arange(len(w.full)) - np.repeat(w.ptr[:-1], np.diff(w.ptr)))
+            size = int(per.sum())
+            row = own.find(w.full)
+            on = (row >= 0) & (weight[row] > 0)
+            pair, n = np.unique(which[on] * len(weight) + row[on], return_counts=True)
+            share = np.round(nearness.shares(pair // len(weight), pair % len(weight), n, size) * _UNIT).astype(np.int64)  # sums of integers are repeatable
+            state[5] += int(share.sum())
+            h, which = w.full[row < 0], which[row < 0]
+            code = index.find(h)
+            new = np.unique(h[code < 0])
+            if len(new):
+                index.add(new)
+                state[2].append(new)
+                code = index.find(h)
+                if index.n > len(state[3]):
+                    state[3], state[4] = (np.append(x, np.zeros(index.n, np.int64)) for x in state[3:5])
+            pair = np.unique(code.astype(np.int64) * size + which)
+            code, which = pair // size, pair % size
+            first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, int)
+            state[3][code[first]] += np.diff(np.append(first, len(code)))
+            state[4][code[first]] += np.add.reduceat(share[which], first) if len(first) else 0
+
+    def end(state: list) -> Iterator[dict]:
+        words = np.concatenate([*state[2], np.zeros(0, np.uint64)]).view(np.int64)
+        yield {"word": words, "n": state[3][: len(words)], "mass": state[4][: len(words)]}
+        yield {"word": pa.array([None], pa.int64()), "n": [0], "mass": [state[5]]}
+        state[:] = start()
+
+    counted = gather_arrow(docs.select(F.col("text").cast("string")), start, step, end, "word long, n long, mass long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass"))
+    most = max(COMMON * total, COMMON_LEAST)
+    best = counted.filter(F.col("word").isNull() | F.col("n").between(EXTRA_LEAST, most)).orderBy(F.expr("word IS NOT NULL"), F.desc("mass"), F.desc("n"), "word").limit(EXTRA + 1)
+    t = best.toArrow()
+    if not t.num_rows:
+        return np.zeros(0, np.uint64), np.zeros(0), 0.0
+    word, n, mass = (t.column(c).combine_chunks() for c in ("word", "n", "mass"))
+    return word[1:].to_numpy().view(np.uint64), n[1:].to_numpy().astype(np.float64), mass[0].as_py() / _UNIT
+
+
+def all_passages(docs: DataFrame, items: Items, weight: np.ndarray, space: Space) -> DataFrame:
+    """The corpus's rows of the matrix, as matrix() gives them; a passage that weighs nothing has none."""
     nearness = Nearness(items, weight)
-    vocab = np.concatenate([items.vocab[weight > 0], extra])
-    own = np.flatnonzero(weight > 0)
     state: list = []
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         if not state:
-            state.append(index_of(vocab))
+            state.append(index_of(space.vocab))
         for _, _, w in K.each_chunk(batch.column("text"), nearness.bytes):
             row, at, inside = _tokens(w, state[0])
-            if not len(row):
-                continue
+            on = space.weight[row] > 0
+            row, at, inside = row[on], at[on], inside[on]
             per, _, which = _placed(w, at, inside)
-            mine = row < len(own)
-            share = np.minimum(nearness.cosines(which[mine], own[row[mine]], int(per.sum())) / NEAR, 1.0) ** FADE if mine.any() else np.zeros(int(per.sum()))
-            first = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
-            off = np.append(first, len(row)).astype(np.int32) * np.int32(8)
-            words = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(off), pa.py_buffer(w.full[at])])
-            yield {"words": words, "weight": pa.array(share[which[first]].astype(np.float32))}
+            yield from _block(which, row, int(per.sum()), space, nearness)
+
+    return map_arrow(docs.select(F.col("text").cast("string")), run, _MATRIX)
+
+
+def _block(which: np.ndarray, row: np.ndarray, n: int, space: Space, nearness: Nearness | None = None) -> Iterator[dict]:
+    """One row of matrix(), of n passages, from the passage and the row of each word that weighs something."""
+    size = len(space.vocab)
+    key = np.sort(which.astype(np.int64) * size + row)
+    if not len(key):
+        return
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    times = np.diff(np.append(first, len(key)))
+    owner, word = key[first] // size, key[first] % size
+    factor = 1 / np.maximum(np.bincount(owner, (times * space.weight[word]) ** 2, minlength=n), 1e-9)
+    if nearness:
+        mine = word < len(nearness.weight)
+        factor *= nearness.shares(owner[mine], word[mine], times[mine], n)
+    count = np.bincount(key // size, minlength=n)
+    there = (count > 0) & (factor > 0)
+    row = (key % size)[np.repeat(there, count)].astype(np.int32)
+    if len(row):
+        yield {"n": [count[there].astype(np.int32).tobytes()], "row": [row.tobytes()], "factor": [factor[there].astype(np.float32).tobytes()]}
+
+
+def matrix(near: DataFrame, space: Space) -> DataFrame:
+    """Passages (words: hashes, as bytes) as rows of the TF-IDF matrix, some hundred at a time: how many words of the space
+    each has, their rows, and the square of what a row is multiplied by, 1 / norm and the root of the passage's weight."""
+    state: list = []
 
-    return map_arrow(docs.select(F.col("text").cast("string")), run, "words binary, weight float")
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        if not state:
+            state.append(index_of(space.vocab))
+        flat, n = _flat(batch.column("words"))
+        end = np.cumsum(n)
+        for i in range(0, len(n), 1024):
+            j = min(i + 1024, len(n))
+            yield from _block(*_weighing(state[0], space, flat[end[i] - n[i] : end[j - 1]], n[i:j]), j - i, space)
+
+    return map_arrow(near, run, _MATRIX)
+
+
+def _weighing(index: K.HashIndex, space: Space, flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Passage and row of the words that weigh something."""
+    row = index.find(flat)
+    on = (row >= 0) & (space.weight[row] > 0)
+    return np.repeat(np.arange(len(n)), n)[on], row[on]
 
 
 def _flat(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -251,11 +350,9 @@ def extra_words(near: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.array([r["word"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.float64)
 
 
-def products(near: DataFrame, items: Items, space: Space, right: np.ndarray, scale: float) -> np.ndarray:
-    """Sum of x (x . right) over the TF-IDF rows x of the passages, times their weights (1 without any) and scale, and of
-    the benchmark's."""
+def products(rows: DataFrame, items: Items, space: Space, right: np.ndarray, scale: float) -> np.ndarray:
+    """Sum of x (x . right) over the rows x of the corpus's matrix, times scale, and of the benchmark's."""
     size, width = right.shape
-    weight = space.weight.astype(np.float32)
     weighted = (right * space.weight[:, None]).astype(np.float32)
     # the words that most passages have go through dense products, the others one by one
     often = np.argsort(np.where(space.weight > 0, space.weight, np.inf), kind="stable")[:OFTEN]
@@ -263,45 +360,34 @@ def products(near: DataFrame, items: Items, space: Space, right: np.ndarray, sca
     column[often] = np.arange(len(often))
     weighted_often = weighted[often]
 
-    def add(z: np.ndarray, index: K.HashIndex, flat: np.ndarray, n: np.ndarray, share: np.ndarray | None = None) -> None:
-        row = index.find(flat)
-        on = (row >= 0) & (space.weight[row] > 0)
-        if not on.any():
-            return
-        pair, times = np.unique(np.repeat(np.arange(len(n)), n)[on] * size + row[on], return_counts=True)
-        owner, row = pair // size, pair % size
-        square = np.bincount(owner, (times * space.weight[row]) ** 2, minlength=len(n))
-        much = column[row] >= 0
-        dense = np.zeros((len(n), len(often)), np.float32)
-        dense[owner[much], column[row[much]]] = times[much]
-        owner, row = (np.repeat(x[~much], times[~much]) for x in (owner, row))
+    def add(z: np.ndarray, n: np.ndarray, row: np.ndarray, factor: np.ndarray) -> None:
+        owner, place = np.repeat(np.arange(len(n)), n), column[row]
+        much = place >= 0
+        dense = np.bincount(owner[much] * len(often) + place[much], minlength=len(n) * len(often)).astype(np.float32).reshape(len(n), -1)
         y = dense @ weighted_often
+        owner, row = owner[~much], row[~much]
         if len(owner):
             first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             y[owner[first]] += _segment_sums(weighted, row, first)
-        y *= ((1 if share is None else share) / np.maximum(square, 1e-9))[:, None].astype(np.float32)  # both factors are normalised
+        y *= factor[:, None]
         if len(owner):
-            order = np.argsort(row, kind="stable")
-            row, owner = row[order], owner[order]
+            key = np.sort(row.astype(np.int64) * len(n) + owner)
+            row, owner = key // len(n), key % len(n)
             first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-            z[row[first]] += _segment_sums(y, owner, first) * weight[row[first], None]
-        z[often] += (dense.T @ y) * weight[often, None]
+            z[row[first]] += _segment_sums(y, owner, first)
+        z[often] += dense.T @ y
 
     def start() -> list:
-        return [index_of(space.vocab), np.zeros((size, width), np.float32)]
+        return [np.zeros((size, width), np.float32)]
 
     def step(state: list, batch: pa.RecordBatch) -> None:
-        share = batch.column("weight").to_numpy() if "weight" in batch.schema.names else np.ones(batch.num_rows)
-        flat, n = _flat(batch.column("words"))
-        end = np.cumsum(n)
-        for i in range(0, len(n), 1024):
-            j = min(i + 1024, len(n))
-            add(state[1], state[0], flat[end[i] - n[i] : end[j - 1]], n[i:j], share[i:j])
+        for n, row, factor in zip(*(batch.column(c) for c in ("n", "row", "factor"))):
+            add(state[0], np.frombuffer(n.as_buffer(), np.int32), np.frombuffer(row.as_buffer(), np.int32), np.frombuffer(factor.as_buffer(), np.float32))
 
     def parts(state: list) -> Iterator[dict]:
-        at = [i for i in range(0, size, _CELLS) if state[1][i : i + _CELLS].any()]
+        at = [i for i in range(0, size, _CELLS) if state[0][i : i + _CELLS].any()]
         for k in range(0, len(at), 16):
-            yield {"part": at[k : k + 16], "z": [state[1][i : i + _CELLS].tobytes() for i in at[k : k + 16]]}
+            yield {"part": at[k : k + 16], "z": [state[0][i : i + _CELLS].tobytes() for i in at[k : k + 16]]}
 
     def merge(state: dict, batch: pa.RecordBatch) -> None:
         for part, z in zip(batch.column("part").to_pylist(), batch.column("z").to_pylist()):
@@ -312,17 +398,17 @@ def products(near: DataFrame, items: Items, space: Space, right: np.ndarray, sca
             yield {"part": [part], "z": [z.tobytes()]}
 
     out = np.zeros((size, width), np.float32)
-    few = near.coalesce(near.sparkSession.sparkContext.defaultParallelism)  # as each task sends a table of its own
+    few = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)  # as each task sends a table of its own
     partial = fold_arrow(few, start, step, parts, "part int, z binary")
     for part, z in fold_arrow(partial.repartition("part"), dict, merge, merged, "part int, z binary").collect():
         out[part : part + _CELLS] = np.frombuffer(bytes(z), np.float32).reshape(-1, width)
     out *= np.float32(scale)
-    mine = items.passages()
-    index = index_of(space.vocab)
+    mine, index = items.passages(), index_of(space.vocab)
     for i in range(0, len(mine), 1024):
         part = [items.words[k][a:b] for k, a, b in mine[i : i + 1024]]
-        add(out, index, np.concatenate(part), np.array([len(x) for x in part]))
-    return out
+        for block in _block(*_weighing(index, space, np.concatenate(part), np.array([len(x) for x in part])), len(part), space):
+            add(out, *(np.frombuffer(block[c][0], t) for c, t in (("n", np.int32), ("row", np.int32), ("factor", np.float32))))
+    return out * space.weight[:, None].astype(np.float32)
 
 
 @dataclass
@@ -335,16 +421,18 @@ class Space:
 
 
 def latent(near: DataFrame, n_near: float, items: Items, space: Space) -> np.ndarray:
-    """Right singular vectors of the TF-IDF matrix of the benchmark's passages and of others, which weigh n_near together."""
+    """Right singular vectors of the TF-IDF matrix of the benchmark's passages and of others, which weigh n_near together:
+    passages as words, or rows of their matrix."""
+    rows = cut(near if "row" in near.columns else matrix(near, space))
     n = len(items.passages())
     rank = min(RANK, max(1, 2 * n // 3))
     scale = n / n_near if n_near else 0.0
     omega = np.random.default_rng(5).normal(size=(len(space.vocab), min(len(space.vocab), rank + OVERSAMPLE))).astype(np.float32)
     q = omega
     for _ in range(POWERS):
-        q, r = np.linalg.qr(products(near, items, space, q, scale))
+        q, r = np.linalg.qr(products(rows, items, space, q, scale))
         q = np.ascontiguousarray(q[:, np.abs(np.diag(r)) > 1e-5 * max(float(np.abs(r).max()), 1e-30)])
-    b = q.T @ products(near, items, space, q, scale)
+    b = q.T @ products(rows, items, space, q, scale)
     values, vectors = np.linalg.eigh((b + b.T) / 2)
     order = np.argsort(-values)[:rank]
     return (q @ vectors[:, order[values[order] > 1e-9]]).astype(np.float32)
@@ -510,13 +598,9 @@ def prepare(docs: DataFrame, items: Items) -> Search:
         if common[row].all():
             common[row] = False
     weight = np.where(common, 0.0, weight)
-    beside, _ = extra_words(near_passages(docs, items, weight), items.vocab)
-    every = cut(all_passages(docs, items, weight, beside))
-    mass = every.agg(F.sum("weight")).first()[0] or 0.0
-    extra, n = extra_words(every, items.vocab)
-    idf = np.where((n > COMMON * total) & (n > COMMON_LEAST), 0.0, np.log((1 + total) / (1 + n)) + 0.01)
-    space = Space(np.concatenate([items.vocab, extra]), np.concatenate([weight, idf]))
-    space.basis = latent(every, mass, items, space)
+    extra, n, mass = beside(docs, items, weight, total)
+    space = Space(np.concatenate([items.vocab, extra]), np.concatenate([weight, np.log((1 + total) / (1 + n)) + 0.01]))
+    space.basis = latent(all_passages(docs, items, weight, space), mass, items, space)
     return Search(items, space)
 
 

@@ -127,3 +127,34 @@ def test_latent_space_is_that_of_all_passages(spark, monkeypatch):
     x[len(own) :] *= np.sqrt(share * len(own) / share.sum())[:, None]
     best = (np.linalg.svd(x, compute_uv=False)[:16] ** 2).sum()
     assert space.basis.shape[1] == 16 and 0.97 * best <= ((x @ space.basis) ** 2).sum() <= 1.0001 * best
+
+
+def test_words_of_the_space_come_from_all_passages(spark, monkeypatch):
+    """Words that no near passage has are in the space and counted; where there are too many, those whose passages weigh most."""
+    g = random.Random(8)
+    items = [(k, " ".join(f"item{k}n{i}" for i in range(40))) for k in range(20)]
+    rows = []
+    for k in range(120):
+        own = items[k % 20][1].split()
+        beside = [f"near{g.randrange(40)}" for _ in range(8)] if k % 3 == 0 else [f"away{g.randrange(40)}" for _ in range(8)]
+        rows.append((k, " ".join([*g.sample(own, 20 if k % 3 == 0 else 1), *beside, *(f"fill{g.randrange(60)}" for _ in range(30))]), "en"))
+    rows.append((500, " ".join(f"gone{i % 3}" for i in range(300)), "en"))
+    lot = next(decontaminate.read_items(decontaminate.passages(bench(spark, items))))
+    words = [f"{kind}{i}" for kind in ("near", "away", "fill", "gone") for i in range(60)]
+    w = next(x for _, _, x in kernel.each_chunk(pa.array([" ".join(words)])))
+    name = dict(zip(w.full.tolist(), words))
+    df = Counter(x for _, t, _ in rows[:-1] for x in set(t.split())) + Counter({f"gone{i}": 5 for i in range(3)})
+    space = decontaminate.prepare(docs(spark, rows), lot).space
+    away = {x for x, y in df.items() if x.startswith("away") and 3 <= y <= decontaminate.COMMON_LEAST}
+    assert len(away) > 20 and away <= {name[x] for x in space.vocab[len(lot.vocab) :].tolist()}
+    for step in (1 << 20, 50):  # the second hands words on before the end
+        monkeypatch.setattr(decontaminate, "_WORDS", step)
+        extra, n, mass = decontaminate.beside(docs(spark, rows), lot, np.ones(len(lot.vocab)), 1000)
+        got = {name[x]: int(y) for x, y in zip(extra.tolist(), n)}
+        assert got == {x: y for x, y in df.items() if x in words and 3 <= y <= 50} and any(x.startswith("away") for x in got) and got["gone1"] == 5
+        assert 40 < mass < 41
+    monkeypatch.setattr(decontaminate, "EXTRA", 20)
+    extra, _, _ = decontaminate.beside(docs(spark, rows), lot, np.ones(len(lot.vocab)), 1000)
+    near = Counter(x for k, t, _ in rows if k % 3 == 0 for x in set(t.split()))
+    least = min(near[name[x]] for x in extra.tolist())
+    assert len(extra) == 20 and all(name[x] in got for x in extra.tolist()) and sum(near[x] > least for x in got) < 20
