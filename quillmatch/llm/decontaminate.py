@@ -10,8 +10,8 @@
    The corpus's passages have these weights, and all together as much as the benchmark's. (With equal weights the largest
    directions are the corpus's own frequent words, in which a benchmark passage is hardly visible.) Its rank is ``RANK`` or two thirds of the benchmark's passages, whichever is less, so it keeps what
    passages have in common and merges words that stand for each other. In each round over the rows a partition adds its
-   x (x . Omega), whose range is Q; then its x (x . Q), ``POWERS`` times in all; the small eigenproblem of one more round gives
-   the right singular vectors.
+   x (x . Omega), whose range is Q; then its x (x . Q), ``POWERS`` times in all; the right singular vectors are those of
+   the Nystrom approximation from the last round, whose range is what one more round would start from.
 4. Every window of 32 words (items of 32 words or fewer) or 64 words (longer items), each overlapping the next by
    half, is projected and compared with every benchmark passage by cosine in the latent space. ``COSINE`` or more makes
    a candidate, if ``WITHIN`` of the window's weight lies in the space. Items of up to 16, 8 and 4 words are compared with
@@ -48,7 +48,7 @@ PASSAGE, BLOCK, RANK, OVERSAMPLE, POWERS, LOT = 64, 16, 96, 16, 3, 4096
 NEAR, EXTRA, EXTRA_LEAST, WITHIN, FADE = 0.3, 1 << 14, 3, 0.05, 8
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.5, 0.75, 0.55, 0.75
 COMMON, COMMON_LEAST = 0.05, 20
-_SIZE, _CELLS, _WORDS, _UNIT, OFTEN = 1 << 19, 512, 1 << 20, 1 << 30, 1 << 10
+_SIZE, _CELLS, _WORDS, _UNIT, OFTEN = 1 << 19, 512, 1 << 20, 1 << 30, 1 << 8
 _MATRIX = "n binary, row binary, factor binary"
 
 
@@ -244,7 +244,8 @@ def beside(docs: DataFrame, items: Items, weight: np.ndarray, total: int) -> tup
                 code = index.find(h)
                 if index.n > len(state[3]):
                     state[3], state[4] = (np.append(x, np.zeros(index.n, np.int64)) for x in state[3:5])
-            pair = np.unique(code.astype(np.int64) * size + which)
+            pair = np.sort(code.astype(np.int64) * size + which)  # faster than np.unique
+            pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
             code, which = pair // size, pair % size
             first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, int)
             state[3][code[first]] += np.diff(np.append(first, len(code)))
@@ -429,13 +430,21 @@ def latent(near: DataFrame, n_near: float, items: Items, space: Space) -> np.nda
     scale = n / n_near if n_near else 0.0
     omega = np.random.default_rng(5).normal(size=(len(space.vocab), min(len(space.vocab), rank + OVERSAMPLE))).astype(np.float32)
     q = omega
-    for _ in range(POWERS):
-        q, r = np.linalg.qr(products(rows, items, space, q, scale))
-        q = np.ascontiguousarray(q[:, np.abs(np.diag(r)) > 1e-5 * max(float(np.abs(r).max()), 1e-30)])
-    b = q.T @ products(rows, items, space, q, scale)
-    values, vectors = np.linalg.eigh((b + b.T) / 2)
-    order = np.argsort(-values)[:rank]
-    return (q @ vectors[:, order[values[order] > 1e-9]]).astype(np.float32)
+    for k in range(POWERS):
+        y = products(rows, items, space, q, scale).astype(np.float64)
+        if k < POWERS - 1:
+            q, r = np.linalg.qr(y)
+            q = np.ascontiguousarray(q[:, np.abs(np.diag(r)) > 1e-5 * max(float(np.abs(r).max()), 1e-30)]).astype(np.float32)
+    return nystrom(q, y, rank)
+
+
+def nystrom(q: np.ndarray, y: np.ndarray, rank: int) -> np.ndarray:
+    """The leading eigenvectors of a, from y = a . q: those of y (q' . y)^-1 y', which has the range of y."""
+    c = q.astype(np.float64).T @ y
+    values, vectors = np.linalg.eigh((c + c.T) / 2)
+    on = values > 1e-6 * max(float(values.max(initial=0.0)), 1e-30)
+    left, size, _ = np.linalg.svd(y @ (vectors[:, on] / np.sqrt(values[on])), full_matrices=False)
+    return np.ascontiguousarray(left[:, :rank][:, size[:rank] ** 2 > 1e-9], np.float32)
 
 
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
@@ -504,12 +513,17 @@ class Search:
             pairs.append((int(r[o]) * (len(self.live) + 1) + (int(r[o + 1]) if len(r) > 1 else len(self.live)), k, o))
         self.pairs = sorted(pairs)
         self.pair = np.array([x for x, _, _ in self.pairs], np.int64)
+        #: Rows of the words that begin a pair, and of those that are one.
+        self.begins, self.alone = np.zeros((2, len(self.live) + 1), bool)
+        first, second = np.divmod(self.pair, len(self.live) + 1)
+        self.begins[first], self.alone[first[second == len(self.live)]] = True, True
 
     def _copies(self, w: K.Words, row: np.ndarray, at: np.ndarray, inside: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(text, item, where it would begin in the text) wherever an item's pair of words occurs."""
         size = len(self.live) + 1
-        follows = np.flatnonzero((at[1:] == at[:-1] + 1) & (inside[1:] > 0))
-        for i, key in ((follows, row[follows].astype(np.int64) * size + row[follows + 1]), (np.arange(len(row)), row.astype(np.int64) * size + size - 1)):
+        follows = np.flatnonzero(self.begins[row[:-1]] & (at[1:] == at[:-1] + 1) & (inside[1:] > 0))
+        alone = np.flatnonzero(self.alone[row])
+        for i, key in ((follows, row[follows].astype(np.int64) * size + row[follows + 1]), (alone, row[alone].astype(np.int64) * size + size - 1)):
             lo, hi = np.searchsorted(self.pair, key), np.searchsorted(self.pair, key, side="right")
             for x in np.flatnonzero(hi > lo).tolist():
                 d = int(np.searchsorted(w.ptr, at[i[x]], side="right")) - 1
@@ -547,8 +561,10 @@ class Search:
             sums[own[first]] = _segment_sums(self.table, row, first)
             last = len(squares) - 1
             for blocks, which, m in groups:
-                start = np.unique((own[first, None] - np.arange(blocks)).ravel())
-                start = start[start >= 0]
+                some = np.zeros(len(squares) + blocks, bool)  # a place for each start, those before the first text at the end
+                for k in range(blocks):
+                    some[own[first] - k] = True
+                start = np.flatnonzero(some[: len(squares)])
                 start = start[owner[start] == owner[np.minimum(start + blocks - 1, last)]]
                 if blocks == 4:
                     start = start[(start - base[owner[start]]) & 1 == 0]

@@ -158,3 +158,18 @@ def test_words_of_the_space_come_from_all_passages(spark, monkeypatch):
     near = Counter(x for k, t, _ in rows if k % 3 == 0 for x in set(t.split()))
     least = min(near[name[x]] for x in extra.tolist())
     assert len(extra) == 20 and all(name[x] in got for x in extra.tolist()) and sum(near[x] > least for x in got) < 20
+
+
+def test_nystrom_gives_the_leading_vectors_without_another_round():
+    """From the last round alone, nearly what the small eigenproblem of one more round would hold; a rank that isn't full too."""
+    g = np.random.default_rng(3)
+    u = np.linalg.qr(g.normal(size=(300, 300)))[0]
+    a = (u * (1 / (1 + np.arange(300)))) @ u.T
+    q = np.linalg.qr(a @ np.linalg.qr(a @ g.normal(size=(300, 40)))[0])[0].astype(np.float32)
+    v = decontaminate.nystrom(q, a @ q, 24)
+    assert v.shape == (300, 24) and np.allclose(v.T @ v, np.eye(24), atol=1e-4)
+    assert 0.995 * (1 / (1 + np.arange(24))).sum() <= np.trace(v.T @ a @ v)
+    low = (u[:, :5] * np.arange(1, 6)) @ u[:, :5].T
+    q = np.linalg.qr(low @ g.normal(size=(300, 40)))[0].astype(np.float32)
+    v = decontaminate.nystrom(q, low @ q, 24)
+    assert v.shape == (300, 5) and np.allclose(u[:, :5].T @ v @ v.T @ u[:, :5], np.eye(5), atol=1e-4)
