@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..arrow import small_batches
+from ..functions import tokenbytes as B
 from ..functions.names import canonical
 
 ALIASES = {"i8": "byte", "u8": "ubyte", "i16": "short", "u16": "ushort", "shortarray": "vecshort", "arrayvec": "vec"}
 KGRAM = 5
+_ALIAS_BYTES = {k.encode(): v.encode() for k, v in ALIASES.items()}
+#: Most hashes that are sent to all workers; beyond, texts meet them by a join.
+KNOWN = 1 << 20
 _OPERATORS = r"::|\?\.|->|=>|==|!=|<=|>=|&&|\|\||\+=|-=|\*=|/=|%="
 _RAW = {"rust": r'|\bb?r"[^"]*"|\bb?r#"(?s:.*?)"#'}
 _TICKS = {"kotlin": r"|`[^`]*`?"}
@@ -19,8 +27,8 @@ _TICKS = {"kotlin": r"|`[^`]*`?"}
 def pattern(lang: str = "", any_sign: str = r"\S") -> str:
     """Comments, raw strings, quoted names, strings, numbers, names, operators, signs - the first that fits."""
     life = r"'[_A-Za-z][0-9A-Za-z_]*(?!')|" if lang == "rust" else ""
-    strings = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"?|' + life + r"'[^'\\]*+(?:\\.[^'\\]*+)*+'?"
-    return r"//[^\n]*|/\*(?s:.*?)(?:\*/|$)" + _RAW.get(lang, "") + _TICKS.get(lang, "") + "|" + strings + r"|[0-9][A-Za-z0-9_.]*|[_A-Za-z][0-9A-Za-z_]*|" + _OPERATORS + "|" + any_sign
+    strings = r'"[^"\\]*+(?:\\[^\n][^"\\]*+)*+"?|' + life + r"'[^'\\]*+(?:\\[^\n][^'\\]*+)*+'?"
+    return r"//[^\n]*|/\*(?s:.*?)(?:\*/|\z)" + _RAW.get(lang, "") + _TICKS.get(lang, "") + "|" + strings + r"|[0-9][A-Za-z0-9_.]*|[_A-Za-z][0-9A-Za-z_]*|" + _OPERATORS + "|" + any_sign
 
 
 def tokens(text: Column, lang: str = "", non_ascii: str = "bytes") -> Column:
@@ -78,3 +86,38 @@ def exploded(units: DataFrame, terms: Column, *keys: str, lang: str | None = Non
     if lang is not None:
         rows = rows.select(*keys, normal(F.col("term"), lang).alias("term")).filter("term <> ''")
     return rows.groupBy(*keys, "term").agg(F.count("*").alias("n"))
+
+
+def kgram_rows(units: DataFrame, key: str, known: np.ndarray | None = None) -> DataFrame:
+    """key and g of units (key, text): the hash of each run of KGRAM tokens that a text has, none of fewer tokens; with
+    ``known`` (sorted, as signed numbers), of those hashes alone. The runs are of ``tokens``, from bytes."""
+    small_batches(units.sparkSession)
+    seen = None
+    if known is not None:
+        known = known.astype(np.int64)
+        seen = np.zeros(1 << 20, bool)
+        seen[known & (len(seen) - 1)] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, _, t in B.each_chunk(b.column(1), _ALIAS_BYTES):
+                text, g = B.kgrams(t, KGRAM)
+                g = g.view(np.int64)
+                if known is not None:
+                    maybe = np.flatnonzero(seen[g & (len(seen) - 1)])
+                    hit = maybe[known[np.minimum(np.searchsorted(known, g[maybe]), len(known) - 1)] == g[maybe]] if len(known) else maybe[:0]
+                    text, g = text[hit], g[hit]
+                order = np.lexsort((g, text))
+                text, g = text[order], g[order]
+                new = np.ones(len(g), bool)
+                new[1:] = (text[1:] != text[:-1]) | (g[1:] != g[:-1])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text[new] + i)), pa.array(g[new])], names=[key, "g"])
+
+    return units.select(key, "text").mapInArrow(run, T.StructType([units.schema[key], T.StructField("g", T.LongType())]))
+
+
+def known_kgrams(rows: DataFrame, most: int | None = None) -> np.ndarray | None:
+    """The distinct g of rows, sorted; None if they are more than ``most``."""
+    most = KNOWN if most is None else most
+    found = rows.select("g").distinct().limit(most + 1).toArrow().column("g").to_numpy()
+    return np.sort(found) if len(found) <= most else None

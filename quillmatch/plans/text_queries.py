@@ -265,13 +265,11 @@ bg AS (SELECT DISTINCT id AS item_id, array_to_string(toks[i:i+4], chr(1)) AS g
 s AS (SELECT item_id, count(*) AS total FROM bg GROUP BY 1)
 SELECT doc_id, item_id, count(*) AS shared, round(count(*)::DOUBLE / any_value(total), 6) AS share FROM dg JOIN bg USING (g) JOIN s USING (item_id) GROUP BY doc_id, item_id""")
 def kgram_contamination(spark: SparkSession, sf: str) -> DataFrame:
-    def grams(name, key):
-        t = spread(table(spark, sf, name).select(key, "text")).select(key, K.tokens(F.col("text")).alias("t")).filter(F.size("t") >= K.KGRAM)
-        return t.select(key, F.explode(K.kgram_hashes(F.col("t"))).alias("g"))
-
-    items = grams("benchmark", "item_id")
+    texts = lambda name, key: spread(table(spark, sf, name).select(key, "text"))
+    items = K.kgram_rows(texts("benchmark", "item_id"), "item_id").distinct()
     total = items.groupBy("item_id").agg(F.count("*").alias("total"))
-    return grams("documents", "doc_id").join(items, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared")).join(total, "item_id").select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("total"), 6).alias("share"))
+    docs = K.kgram_rows(texts("documents", "doc_id"), "doc_id", K.known_kgrams(items)).distinct()
+    return docs.join(items, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared")).join(total, "item_id").select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("total"), 6).alias("share"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
