@@ -19,6 +19,8 @@ KGRAM = 5
 _ALIAS_BYTES = {k.encode(): v.encode() for k, v in ALIASES.items()}
 #: Most hashes that are sent to all workers; beyond, texts meet them by a join.
 KNOWN = 1 << 20
+#: Most repeated keys that are sent to all executors, and terms that a worker gathers before it hands them on.
+REPEATED, GATHERED = 1 << 20, 1 << 18
 _OPERATORS = r"::|\?\.|->|=>|==|!=|<=|>=|&&|\|\||\+=|-=|\*=|/=|%="
 _RAW = {"rust": r'|\bb?r"[^"]*"|\bb?r#"(?s:.*?)"#'}
 _TICKS = {"kotlin": r"|`[^`]*`?"}
@@ -121,3 +123,58 @@ def known_kgrams(rows: DataFrame, most: int | None = None) -> np.ndarray | None:
     most = KNOWN if most is None else most
     found = rows.select("g").distinct().limit(most + 1).toArrow().column("g").to_numpy()
     return np.sort(found) if len(found) <= most else None
+
+
+def frequencies(units: DataFrame, key: str) -> DataFrame:
+    """term, n and docs of units (key, text): how often a term occurs, and in the texts of how many keys. Terms are
+    counted where the texts are; only texts of a key that others have too are counted by key and term."""
+    again = units.select(key).filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").select(key)
+    repeated = again.count()
+    if repeated > REPEATED:
+        return _by_key(units, key)
+    if not repeated:
+        return _total(_counted(units, key))
+    again = F.broadcast(again)
+    return _total(_counted(units.join(again, key, "left_anti"), key).unionByName(_by_key(units.join(again, key, "left_semi"), key)))
+
+
+def _total(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def _by_key(units: DataFrame, key: str) -> DataFrame:
+    return exploded(units, raw_tokens(F.col("text")), key, lang="").groupBy("term").agg(F.sum("n").alias("n"), F.count(key).alias("docs"))
+
+
+def _counted(units: DataFrame, key: str) -> DataFrame:
+    """term, n and docs, several rows a term; every text is of a key of its own or of none."""
+    small_batches(units.sparkSession)
+
+    def merged(parts: list[tuple]) -> tuple:
+        h, first, of = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+        add = lambda k: np.bincount(of, np.concatenate([p[k] for p in parts]), len(h)).astype(np.int64)
+        return h, add(1), add(2), np.concatenate([p[3] for p in parts])[first]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            _, n, docs, terms = merged(parts)
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(n), pa.array(docs)], names=["term", "n", "docs"])
+
+        for b in batches:
+            valid = b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            for i, j, t in B.each_chunk(b.column(1), _ALIAS_BYTES):
+                h, first, of = np.unique(t.hash, return_index=True, return_inverse=True)
+                each = np.unique(t.text() * len(h) + of)  # a term and a text that has it
+                docs = np.bincount(each % len(h), valid[i:j][each // len(h)], len(h)).astype(np.int64) if len(h) else np.zeros(0, np.int64)
+                parts.append((h, np.bincount(of, minlength=len(h)), docs, np.array([t.term(k, _ALIAS_BYTES) for k in first.tolist()], object)))
+            if sum(len(p[0]) for p in parts) > GATHERED:
+                parts = [merged(parts)]
+                if len(parts[0][0]) > GATHERED // 2:
+                    yield out()
+                    parts = []
+        if parts:
+            yield out()
+
+    return units.select(key, "text").mapInArrow(run, "term string, n long, docs long")

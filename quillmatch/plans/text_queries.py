@@ -254,8 +254,7 @@ def translit_turn_similarity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH t AS (SELECT unnest({_ALIAS_LIST % _NORMAL}) AS term, doc_id FROM documents) SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t GROUP BY term ORDER BY n DESC, term LIMIT 100")
 def token_freq_top(spark: SparkSession, sf: str) -> DataFrame:
-    d = K.exploded(spread(table(spark, sf, "documents").select("doc_id", "text")), K.raw_tokens(F.col("text")), "doc_id", lang="")
-    return d.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).orderBy(F.desc("n"), "term").limit(100)
+    return K.frequencies(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id").orderBy(F.desc("n"), "term").limit(100)
 
 
 @query(f"""WITH g AS (SELECT doc_id AS id, toks FROM (SELECT doc_id, {_ALIAS_LIST % _NORMAL} AS toks FROM documents) WHERE len(toks) >= 5),

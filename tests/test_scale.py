@@ -75,3 +75,22 @@ def test_kgrams_from_bytes(spark, most):
     assert got == {k: n for k, n in want.items() if n}
     if known is not None:
         assert found.count() == sum(len(g & set().union(*map(runs, items))) for g in of.values())  # others don't leave the workers
+
+
+def test_frequencies_from_bytes(spark, monkeypatch):
+    texts = [*odd_texts(300), "b b a", None, "a c", "_1 1"]
+    keys = [None, 7, 7, *range(10, 10 + len(texts) - 5), 7, 8]  # a key of three texts, and a text without one
+    units = spark.createDataFrame(list(zip(keys, texts)), "doc_id long, text string").repartition(3)
+    n, docs = {}, {}
+    for key, text in zip(keys, texts):
+        for w in plain(text or ""):
+            n[w] = n.get(w, 0) + 1
+            docs.setdefault(w, set()).update([key] if key is not None else [])
+    want = {w: (n[w], len(docs[w])) for w in n}
+    for gathered, repeated in ((1 << 18, 1 << 20), (5, 1 << 20), (5, 0)):  # all at the end, as they come, and by key
+        monkeypatch.setattr(K, "GATHERED", gathered)
+        monkeypatch.setattr(K, "REPEATED", repeated)
+        assert {r["term"]: (r["n"], r["docs"]) for r in K.frequencies(units, "doc_id").collect()} == want
+    monkeypatch.setattr(K, "REPEATED", 1 << 20)
+    plan = K.frequencies(units.filter("doc_id > 8"), "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "regexp_extract_all" not in plan  # no rows of key and term are shuffled
