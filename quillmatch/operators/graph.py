@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..partitions import by_key
 from .matching import within
 
+#: Most distinct items that are sent to all executors; beyond, imports meet them by a join.
+ITEMS = 1 << 20
+
 
 def resolve(imports: DataFrame, units: DataFrame) -> DataFrame:
     """importer and target: the unit whose stem equals the imported item, in normal form; of several, the first by
@@ -30,6 +34,30 @@ def degrees(units: DataFrame, imports: DataFrame, links: DataFrame) -> DataFrame
     return units.select("key").join(out, "key", "left").join(into, "key", "left").select("key", z("dependencies"), z("dependents"))
 
 
+def id_links(units: DataFrame, pairs: DataFrame) -> DataFrame:
+    """importer and target of the distinct imports that pairs (importer, item) of ids of units (id, key, stem) are: ids, each
+    unit's its own, so that no text of a name goes with an import. Imports of what is no unit are left out; the target is
+    null if the item resolves to none. All of an importer's rows are in one partition, of a bounded size."""
+    named = units.filter("key IS NOT NULL").select("id", "stem")
+    wanted = pairs.select(F.col("item").alias("id")).distinct()
+    items = units.select("id", "stem").join(wanted, "id", "left_semi")
+    index = by_key(named.select(N.canonical(F.col("stem")).alias("norm"), "stem", F.col("id").alias("key")), "norm", rows=units.count())
+    found = resolve(items.select(F.col("id").alias("importer"), F.col("stem").alias("item"), F.lit(False).alias("wildcard")), index)
+    known = items.select(F.col("id").alias("item")).join(found.select(F.col("importer").alias("item"), "target"), "item", "left")
+    known = F.broadcast(known) if wanted.count() <= ITEMS else known
+    apart = by_key(pairs, "importer").distinct()
+    return apart.join(named.select(F.col("id").alias("importer")).hint("merge"), "importer").join(known, "item").select("importer", "target")
+
+
+def id_degrees(units: DataFrame, pairs: DataFrame) -> DataFrame:
+    """units (id, key, stem) with what degrees() gives for the imports that pairs of ids are."""
+    links = id_links(units, pairs)
+    out = links.groupBy(F.col("importer").alias("id")).agg(F.count("*").alias("dependencies"))
+    into = edges(links).groupBy(F.col("target").alias("id")).agg(F.count("*").alias("dependents"))
+    z = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return units.join(out, "id", "left").join(into, "id", "left").select(*units.columns, z("dependencies"), z("dependents"))
+
+
 def status(dependents: Column) -> Column:
     return F.when(dependents >= 5, "CORE").when(dependents == 0, "leaf").otherwise("")
 
@@ -39,6 +67,14 @@ def top_importers(links: DataFrame, most: int = 5) -> DataFrame:
     return links.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("target", "importer", "rank")
 
 
+def id_top_importers(units: DataFrame, pairs: DataFrame, most: int = 5) -> DataFrame:
+    """top_importers() of the imports that pairs of ids of units (id, key, stem) are."""
+    names = units.select(F.col("id").alias("importer"), F.col("key").alias("name")).hint("merge")
+    named = edges(id_links(units, pairs)).join(names, "importer").select("target", F.col("name").alias("importer"))
+    top = top_importers(by_key(named, "target", rows=pairs.count()), most)
+    return top.join(units.select(F.col("id").alias("target"), F.col("key").alias("name")), "target").select(F.col("name").alias("target"), "importer", "rank")
+
+
 def contains_edges(imports: DataFrame, units: DataFrame) -> DataFrame:
     """Edges where a normalised import contains a unit's stem, by an equi-join on the import's parts."""
     a = imports.select(F.col("importer"), N.canonical(F.regexp_replace("item", r"[./:-]", "")).alias("norm")).distinct()

@@ -168,8 +168,8 @@ def stub_mismatch(src: DataFrame, tgt: DataFrame) -> DataFrame:
     return only(tgt).exceptAll(only(src))
 
 
-def missing_by_dependents(units: DataFrame, degrees: DataFrame, matches: DataFrame) -> DataFrame:
-    return unmatched(units, matches, "src").join(degrees.select("key", "dependents"), "key").orderBy(F.desc("dependents"), "key")
+def missing_by_dependents(degrees: DataFrame, matches: DataFrame) -> DataFrame:
+    return unmatched(degrees.select("key", "dependents"), matches, "src").orderBy(F.desc("dependents"), "key")
 
 
 def ranked(df: DataFrame, by: list[Column], name: str = "rank", partition: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..operators import graph as G
 from ..operators import matching as J
 from ..operators import reports as R
 from ..operators import similarity as M
@@ -14,7 +13,7 @@ from ..operators import symbols as P
 from ..operators import tasks as K
 from ..streaming import tasks as S
 from .registry import query, table, values
-from .tree_queries import _IMPORTS, _links, imports, units
+from .tree_queries import _IMPORTS, degrees, unit_degrees, units
 
 AZ, az = N.UPPER, N.LOWER
 _PASCAL = "array_to_string(list_transform(string_split(%s, '_'), p -> upper(p[1:1]) || p[2:]), '')"
@@ -327,7 +326,7 @@ def symbol_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_SYMS}, {_IMPORTS} SELECT name, n, dependents FROM (SELECT name, count(*) AS n, max(dependents) AS dependents FROM ts JOIN units u ON u.p_partkey = ts.id JOIN deg ON deg.key = u.key GROUP BY name HAVING count(DISTINCT file) > 1) ORDER BY dependents DESC, name LIMIT 30")
 def symbol_duplicates_ranked(spark: SparkSession, sf: str) -> DataFrame:
-    d = G.degrees(units(spark, sf), imports(spark, sf), _links(spark, sf)).join(units(spark, sf).select("key", F.col("p_partkey").alias("id")), "key")
+    d = unit_degrees(spark, sf).select(F.col("p_partkey").alias("id"), "dependents")
     j = symbols(spark, sf)[1].join(d, "id").groupBy("name").agg(F.count("*").alias("n"), F.max("dependents").alias("dependents"), F.count_distinct("file").alias("files"))
     return j.filter("files > 1").select("name", "n", "dependents").orderBy(F.desc("dependents"), "name").limit(30)
 
@@ -339,10 +338,8 @@ u.p_partkey % 5 AS src_types, u.p_partkey % 4 AS tgt_types, CASE WHEN u.p_partke
 
 
 def matches(spark: SparkSession, sf: str) -> DataFrame:
-    u, i = units(spark, sf), imports(spark, sf)
-    d = G.degrees(u, i, G.edges(G.resolve(i, u))).select("key", "dependents")
     k = F.col("p_partkey")
-    return u.join(d, "key").select(
+    return unit_degrees(spark, sf).select(
         F.col("key").alias("src"), k.alias("id"), "dependents", (((k * 37) % 100) / 100.0).alias("similarity"), (k % 17 == 0).alias("stub"), (k % 9).alias("src_functions"), (k % 7).alias("tgt_functions"), (k % 5).alias("src_types"), (k % 4).alias("tgt_types"),
         F.when(k % 13 == 0, 2).otherwise(0).alias("todos"), F.when(k % 11 == 0, 1).otherwise(0).alias("lint"), (k % 3).alias("tests"), (k % 40).alias("src_docs"), (k % 23).alias("tgt_docs"),
     )
@@ -396,9 +393,9 @@ def doc_coverage_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_MATCHES} SELECT key, dependents FROM deg WHERE key NOT IN (SELECT src FROM mt WHERE id % 3 <> 0) ORDER BY dependents DESC, key")
 def missing_by_dependents(spark: SparkSession, sf: str) -> DataFrame:
-    u, i = units(spark, sf), imports(spark, sf)
-    found = u.filter("p_partkey % 3 <> 0").select(F.col("key").alias("src"))
-    return J.missing_by_dependents(u.select("key"), G.degrees(u, i, G.edges(G.resolve(i, u))), found)
+    u = degrees(spark, sf).filter("key IS NOT NULL")
+    found = units(spark, sf).filter("p_partkey % 3 <> 0").select(F.col("key").alias("src"))
+    return J.missing_by_dependents(u, found)
 
 
 @query(f"WITH {_MATCHES} SELECT src, dependents FROM mt WHERE similarity < 0.85 AND dependents >= 10 AND id % 3 <> 0 UNION ALL SELECT src, dependents FROM mt WHERE dependents >= 10 AND id % 3 = 0")
