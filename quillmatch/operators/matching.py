@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..checkpoint import cut
+from ..partitions import by_key
 
 
 def header_scores(src: DataFrame, tgt: DataFrame, strict: bool = False) -> DataFrame:
@@ -138,34 +139,53 @@ def function_score(candidates: DataFrame, sources: DataFrame) -> DataFrame:
     return n.join(sums, "pair", "left").select("pair", F.coalesce("matched", F.lit(0)).alias("matched"), (F.coalesce("total", F.lit(0.0)) / F.col("functions")).alias("score"))
 
 
+def _both_sides(src: DataFrame, tgt: DataFrame, *more: str) -> DataFrame:
+    """src and tgt (pair, name, and ``more`` that both have) in one table, with the canonical name and whether it is of src.
+    A pair's rows are in one partition, of a bounded size, so that whatever is counted of its names needs no other shuffle,
+    and no table of names where the rows come from."""
+    side = lambda d, own: d.select("pair", N.canonical(F.col("name")).alias("name"), F.lit(own).alias("own"), *(F.expr(c) for c in more))
+    return by_key(side(src, True).unionByName(side(tgt, False)), "pair", rows=src.count() + tgt.count())
+
+
+def _counts() -> tuple[Column, Column]:
+    return F.count_if("own").alias("s"), F.count_if(~F.col("own")).alias("t")
+
+
+def _met() -> Column:
+    """Whether a name of a pair is one of the target's; nulls equal nothing."""
+    return (F.col("t") > 0) & F.col("pair").isNotNull() & F.col("name").isNotNull()
+
+
 def name_coverage(src: DataFrame, tgt: DataFrame) -> DataFrame:
     """pair, total and matched of functions (pair, name, is_test, pos): distinct source names that the target has; a test
     needs a target test. Whether a name is a test is told by its first occurrence."""
-    s = src.groupBy("pair", N.canonical(F.col("name")).alias("name")).agg(F.min(F.struct("pos", "is_test")).getField("is_test").alias("is_test"))
-    t = tgt.groupBy("pair", N.canonical(F.col("name")).alias("name")).agg(F.bool_or("is_test").alias("tests"), F.lit(True).alias("there"))
-    ok = F.coalesce("there", F.lit(False)) & (~F.col("is_test") | F.coalesce("tests", F.lit(False)))
-    return s.join(t, ["pair", "name"], "left").groupBy("pair").agg(F.count("*").alias("total"), F.count_if(ok).alias("matched"))
+    mine = lambda c: F.when(F.col("own"), c)
+    pos, is_ = F.col("pos"), F.col("is_test")
+    # numbers only, which a hash table can hold; where both are first at one place, it is no test
+    first = F.min(mine(F.when(is_, pos))).alias("test"), F.min(mine(F.when(~is_, pos))).alias("plain"), F.min(mine(is_)).alias("least")
+    names = _both_sides(src, tgt, "is_test", "pos").groupBy("pair", "name").agg(*_counts(), *first, F.max(F.when(~F.col("own"), is_)).alias("tests"))
+    test, plain = F.col("test"), F.col("plain")
+    is_test = F.when(test.isNull() & plain.isNull(), F.col("least")).when(plain.isNull(), True).when(test.isNull(), False).otherwise(test < plain)
+    ok = _met() & (~is_test | F.coalesce("tests", F.lit(False)))
+    return names.filter("s > 0").groupBy("pair").agg(F.count("*").alias("total"), F.count_if(ok).alias("matched"))
 
 
 def bag_coverage(src: DataFrame, tgt: DataFrame) -> DataFrame:
     """pair, total and matched where names count as often as they occur on both sides."""
-    s = src.groupBy("pair", N.canonical(F.col("name")).alias("name")).agg(F.count("*").alias("ns"))
-    t = tgt.groupBy("pair", N.canonical(F.col("name")).alias("name")).agg(F.count("*").alias("nt"))
-    return s.join(t, ["pair", "name"], "left").groupBy("pair").agg(F.sum("ns").alias("total"), F.sum(F.least("ns", F.coalesce("nt", F.lit(0)))).alias("matched"))
+    names = _both_sides(src, tgt).groupBy("pair", "name").agg(*_counts())
+    return names.filter("s > 0").groupBy("pair").agg(F.sum("s").alias("total"), F.sum(F.when(_met(), F.least("s", "t")).otherwise(0)).alias("matched"))
 
 
 def type_coverage(src: DataFrame, tgt: DataFrame) -> DataFrame:
     """pair, total, matched and the missing names of distinct types."""
-    s = src.select("pair", "name", N.canonical(F.col("name")).alias("k")).groupBy("pair", "k").agg(F.min("name").alias("name"))
-    t = tgt.select("pair", N.canonical(F.col("name")).alias("k"), F.lit(True).alias("there")).distinct()
-    j = s.join(t, ["pair", "k"], "left")
-    return j.groupBy("pair").agg(F.count("*").alias("total"), F.count("there").alias("matched"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("there").isNull(), F.col("name")))), ",").alias("missing"))
+    names = _both_sides(src, tgt, "name AS given").groupBy("pair", "name").agg(*_counts(), F.min(F.when(F.col("own"), F.col("given"))).alias("first")).filter("s > 0")
+    return names.groupBy("pair").agg(F.count("*").alias("total"), F.count_if(_met()).alias("matched"), F.array_join(F.array_sort(F.collect_list(F.when(~_met(), F.col("first")))), ",").alias("missing"))
 
 
 def stub_mismatch(src: DataFrame, tgt: DataFrame) -> DataFrame:
     """pair and name of the target's stubs beyond those that the source has, as often as they are too many."""
-    only = lambda d: d.filter("has_stub").select("pair", N.canonical(F.col("name")).alias("name"))
-    return only(tgt).exceptAll(only(src))
+    names = _both_sides(src.filter("has_stub"), tgt.filter("has_stub")).groupBy("pair", "name").agg(*_counts())
+    return names.filter("t > s").select("pair", "name", F.explode(F.sequence(F.col("s") + 1, F.col("t")))).select("pair", "name")
 
 
 def missing_by_dependents(degrees: DataFrame, matches: DataFrame) -> DataFrame:

@@ -148,3 +148,27 @@ def test_graph_moves_ids_in_bounded_tasks(spark, monkeypatch):
     assert int(re.search(r"hashpartitioning\(importer#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)[1]) >= 6000 // 500
     texts = re.compile(r"Exchange hashpartitioning\((importer|target)[^\n]*string")
     assert not texts.search(plan) and not re.search(r"hashpartitioning\(l_partkey#\d+L, l_suppkey", plan)  # as before: pairs, then pairs with names
+
+
+COVERAGE = ["bag_coverage", "function_name_coverage", "type_coverage", "stub_mismatch"]
+
+
+@pytest.mark.parametrize("rows", [1 << 18, 300])
+def test_coverage_of_odd_rows(spark, tmp_path, monkeypatch, rows):
+    monkeypatch.setattr(partitions, "ROWS", rows)
+    line = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").filter("l_orderkey < 400")
+    hot = line.withColumn("l_orderkey", F.when(F.col("l_orderkey") < 100, 1).otherwise(F.col("l_orderkey")))  # many rows of one pair
+    blank = lambda c, k: F.when(F.hash("l_partkey", "l_suppkey", "l_extendedprice") % 11 == k, None).otherwise(F.col(c)).alias(c)
+    odd = {"l_orderkey": 1, "l_returnflag": 2, "l_linestatus": 3, "l_quantity": 4}
+    hot.select(*(blank(c, odd[c]) if c in odd else c for c in hot.columns)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    for name in COVERAGE:
+        df = QUERIES[name](spark, str(tmp_path))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        columns = sorted(df.columns)
+        cursor = duck.execute(ORACLE[name])
+        order = [[d[0] for d in cursor.description].index(c) for c in columns]
+        assert sorted(tuple(normal(r[c]) for c in columns) for r in df.collect()) == sorted(tuple(normal(r[i]) for i in order) for r in cursor.fetchall()), name
+        assert len(re.findall(r"\n[^\n]*Exchange hash", plan)) == 1 and "Join" not in plan  # one shuffle, in as many parts as the rows need
+        assert int(re.search(r"hashpartitioning\(pair#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)[1]) >= line.filter("l_quantity < 9" if name == "stub_mismatch" else "true").count() // rows
