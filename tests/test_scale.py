@@ -13,6 +13,7 @@ from quillmatch.functions import tokenbytes as B
 from quillmatch.operators import graph
 from quillmatch.operators import tokens as K
 from quillmatch.plans import ORACLE, QUERIES
+from quillmatch.sources import code as C
 
 from .test_queries import normal
 
@@ -172,3 +173,21 @@ def test_coverage_of_odd_rows(spark, tmp_path, monkeypatch, rows):
         assert sorted(tuple(normal(r[c]) for c in columns) for r in df.collect()) == sorted(tuple(normal(r[i]) for i in order) for r in cursor.fetchall()), name
         assert len(re.findall(r"\n[^\n]*Exchange hash", plan)) == 1 and "Join" not in plan  # one shuffle, in as many parts as the rows need
         assert int(re.search(r"hashpartitioning\(pair#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)[1]) >= line.filter("l_quantity < 9" if name == "stub_mismatch" else "true").count() // rows
+
+
+def test_parsers_hand_on_rows_in_parts(spark):
+    class Files:  # in place of a table: gives what would run in a worker
+        sparkSession = spark  # noqa: N815
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    page = "<html><body>" + "<p>a<b>c</b></p>" * 500 + "</body></html>"
+    texts = pa.RecordBatch.from_pydict({"unit": [str(k) for k in range(100)], "lang": ["html"] * 100, "text": [page] * 99 + [None]})
+    sizes = [b.num_rows for b in C.parse_nodes(Files(), {})(iter([texts]))]
+    assert sum(sizes) == 99 * 1003 and max(sizes) < C.PART_ROWS + 1003
+    rust = pa.RecordBatch.from_pydict({"unit": ["a"] * 50, "lang": ["rust"] * 50, "text": ["fn a() { b(c); }\n" * 400] * 50})
+    assert max(b.num_rows for b in C.symbols(Files())(iter([rust]))) < C.PART_ROWS + 400
