@@ -100,9 +100,8 @@ def annotation_path(c: Column) -> Column:
 
 def match_key(path: Column) -> Column:
     """The annotation path with each part in package form, the file name without its extension."""
-    parts = F.split(annotation_path(path), "/")
-    n = F.size(parts)
-    return F.array_join(F.transform(parts, lambda p, i: F.when(i == n - 1, package_normal(F.regexp_replace(p, r"(?<=.)\.[^.]*$", ""))).otherwise(package_normal(p))), "/")
+    # signs of paths stay as they are, so the whole path is worked on at once, without an array of its parts
+    return package_normal(F.regexp_replace(annotation_path(path), r"(?<=[^/\n\r\u0085\u2028\u2029])\.[^./]*$", ""))
 
 
 def match_keys(path: Column) -> Column:
@@ -114,7 +113,7 @@ def match_keys(path: Column) -> Column:
 
 
 def base_key(path: Column) -> Column:
-    return F.element_at(F.split(match_key(path), "/"), -1)
+    return F.substring_index(match_key(path), "/", -1)
 
 
 def is_test_origin(c: Column) -> Column:

@@ -11,6 +11,7 @@ from ..operators import reports as R
 from ..operators import similarity as M
 from ..operators import symbols as P
 from ..operators import tasks as K
+from ..partitions import by_key
 from ..streaming import tasks as S
 from .registry import query, table, values
 from .tree_queries import _IMPORTS, degrees, unit_degrees, units
@@ -33,7 +34,9 @@ scores AS (SELECT src, tgt, max(score) AS score FROM (
 
 
 def corpora(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    u = units(spark, sf).select("p_partkey", F.split("key", "/")[0].alias("dir"), "stem")
+    # a small file can be one task's, whatever its rows; their paths are worked on where they are spread
+    part = by_key(table(spark, sf, "part").select("p_partkey", "p_name", "p_type"), "p_partkey")
+    u = units(spark, sf, part).select("p_partkey", F.split("key", "/")[0].alias("dir"), "stem")
     path = F.concat(F.lit("src/"), "dir", F.lit("/"), "stem", F.lit(".rs"))
     k = F.col("p_partkey")
     origin = F.when(k % 2 == 1, F.lit(None)).when(k % 4 == 0, path).when(k % 6 == 2, F.concat(F.lit("lib/"), path)).otherwise(F.concat(F.lit("old/"), "stem", F.lit(".rs")))

@@ -9,10 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmatch import partitions
+from quillmatch.functions import names as N
 from quillmatch.functions import tokenbytes as B
 from quillmatch.operators import graph
 from quillmatch.operators import tokens as K
-from quillmatch.plans import ORACLE, QUERIES
+from quillmatch.plans import ORACLE, QUERIES, match_queries
 from quillmatch.sources import code as C
 
 from .test_queries import normal
@@ -191,3 +192,25 @@ def test_parsers_hand_on_rows_in_parts(spark):
     assert sum(sizes) == 99 * 1003 and max(sizes) < C.PART_ROWS + 1003
     rust = pa.RecordBatch.from_pydict({"unit": ["a"] * 50, "lang": ["rust"] * 50, "text": ["fn a() { b(c); }\n" * 400] * 50})
     assert max(b.num_rows for b in C.symbols(Files())(iter([rust]))) < C.PART_ROWS + 400
+
+
+def test_units_are_matched_where_they_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(partitions, "ROWS", 30)  # 200 parts, in a file that one task reads
+    src, tgt = match_queries.corpora(spark, "/root/testdata/sf0.001")
+    assert src.rdd.getNumPartitions() >= 200 // 30 and tgt.rdd.getNumPartitions() >= 200 // 30
+    plan = spark.range(1).select(N.match_keys(F.col("id").cast("string")), N.base_key(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan  # an array of parts was walked for each key, and split anew for each part
+
+
+def test_match_key_by_parts(spark):
+    pieces = ["a", "B_c", "-", ".", "..", "/", "./", "src/", "/src/", ".rs", "é", "\n", "x.y"]
+    rng = np.random.default_rng(5)
+    paths = ["", *("".join(rng.choice(pieces, rng.integers(0, 8))) for _ in range(400))]
+    package = lambda p: "".join(c.lower() if "A" <= c <= "Z" else c for c in p if c not in "_-")
+
+    def plain(path: str) -> str:
+        *dirs, last = re.sub(r"^(\./)+", "", path).split("/")
+        return "/".join(package(d) for d in (*dirs, re.sub(r"(?<=.)\.[^.]*$", "", last)))
+
+    df = spark.createDataFrame([(p,) for p in paths], "p string").select("p", N.match_key(F.col("p")).alias("k"), N.base_key(F.col("p")).alias("b"))
+    assert [(r["k"], r["b"]) for r in df.collect()] == [(plain(p), plain(p).split("/")[-1]) for p in paths]
